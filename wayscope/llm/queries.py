@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, substring_dedup
+from . import exact_dedup, packing, pii, substring_dedup, token_counts
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _tokenizer() -> str:
+    """Where this machine, and every executor with the same Python, has the vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +30,31 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_docs(spark, sf_dir))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_docs(spark, sf_dir), _tokenizer())))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), _tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_substring_dedup)}
+    return {f.__name__: f for f in (op1_pii, op3_substring_dedup, op5_exact_dedup, op8_token_counts, op9_packing)}
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE = {
+    "op5_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, sha256({_FOLDED}) AS h FROM documents),
+             g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256 FROM d JOIN g USING (h)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
