@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, substring_dedup, token_counts
+from . import exact_dedup, near_dedup, neighbours, packing, pii, substring_dedup, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_docs(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_docs(spark, sf_dir), _tokenizer())))
 
@@ -42,8 +46,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _tokenizer())
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, lambda vec_id: vec_id % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_substring_dedup, op5_exact_dedup, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_pii, op3_substring_dedup, op5_exact_dedup, op6_near_dedup, op8_token_counts, op9_packing, op10_neighbours)}
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
