@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, neighbours, packing, pii, substring_dedup, token_counts
+from . import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, substring_dedup, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     """Where this machine, and every executor with the same Python, has the vocabulary."""
     import public_tokenizers
 
@@ -26,10 +26,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_docs(spark, sf_dir)))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_docs(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_docs(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_docs(spark, sf_dir)).drop("kept_text")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_docs(spark, sf_dir))
 
@@ -38,12 +46,16 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_docs(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_docs(spark, sf_dir), _tokenizer())))
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(_docs(spark, sf_dir), tokenizer())))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_docs(spark, sf_dir), _tokenizer())
+    return packing.pack(_docs(spark, sf_dir), tokenizer())
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +64,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_substring_dedup, op5_exact_dedup, op6_near_dedup, op8_token_counts, op9_packing, op10_neighbours)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_substring_dedup, op4_line_dedup, op5_exact_dedup, op6_near_dedup, op7_toxicity, op8_token_counts, op9_packing, op10_neighbours)}
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op2_mixing": mixing.oracle_sql(),
+    "op4_line_dedup": line_dedup.oracle_sql(),
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_FOLDED}) AS h FROM documents),
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
