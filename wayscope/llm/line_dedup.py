@@ -58,8 +58,8 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", t
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:
     return f"""
-        WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
+        WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
              t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
              b AS (SELECT k FROM t WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= {min_sites})
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM b)) AS n_removed,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE k NOT IN (SELECT k FROM b)), '')) AS kept_sha256 FROM t GROUP BY doc_id"""
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE k NOT IN (SELECT k FROM b)), '')) AS kept_sha256 FROM t GROUP BY doc_id"""
