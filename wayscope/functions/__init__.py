@@ -1 +1,6 @@
-"""Part of wayscope."""
+"""Column expressions: numbers and times as text, distances, guards."""
+
+from .geo import finite, haversine
+from .parsing import clock, epoch_ms, js_number, parse_float
+
+__all__ = ["clock", "epoch_ms", "finite", "haversine", "js_number", "parse_float"]

@@ -1 +1 @@
-"""Part of wayscope."""
+"""Audit operators: tables of points in, tables of findings out."""

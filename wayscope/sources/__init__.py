@@ -1 +1,7 @@
-"""Part of wayscope."""
+"""Where points come from: GPX documents, tables, generators."""
+
+from .gpx import found_points, read_gpx
+from .synthetic import linear_track, to_gpx
+from .tables import event_points, order_points
+
+__all__ = ["event_points", "found_points", "linear_track", "order_points", "read_gpx", "to_gpx"]

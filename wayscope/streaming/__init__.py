@@ -1 +1,5 @@
-"""Part of wayscope."""
+"""Audits of tracks that are still growing."""
+
+from .online import classify_stream
+
+__all__ = ["classify_stream"]
