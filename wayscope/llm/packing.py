@@ -27,7 +27,7 @@ from .words import chunks
 
 CAPACITY = 4096
 PIECE = 1024
-GROUP = 16_384
+GROUP = 6144
 END_ID = 2
 
 
@@ -44,7 +44,7 @@ def differencing(sizes: list[int], parts: int) -> list[list[int]]:
             a, b = b, a
         over = max(0, len(a) + len(b) - parts)  # so many meet; the others of one meet empty parts of the other
         met = [(x[0] + y[0], next(order), (x[2], y[2])) for x, y in zip(a[:over], b[:over][::-1], strict=True)]
-        a = a[over:]
+        del a[:over]
         for x in itertools.chain(b[over:], met):
             bisect.insort(a, x)
         heapq.heappush(heap, (-(a[-1][0] - (a[0][0] if len(a) == parts else 0)), next(ties), a))

@@ -1,11 +1,12 @@
 """Token ids of whole texts in Python workers, a word at a time.
 
 The tokenizer lets no token cross white space, so a text's ids are those of its words; each different word is encoded once
-and kept by the worker in two generations of bounded size.
+and kept by the worker, up to a bound.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import sys
 import types
@@ -14,67 +15,83 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_ENDS = (".", ",")
+
 
 class WordEncoder:
-    """Ids of words by the tokenizer at path; most_words bounds each of the two generations of kept words."""
+    """Ids of words by the tokenizer at path; at most about most_words different ones are kept."""
 
-    def __init__(self, path: str, most_words: int = 150_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.last = np.array([(x or "").endswith("</w>") for x in names])  # ids that end a run of letters
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
+        self.stop = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in _ENDS}
+        if any(len(x) != 1 for x in self.stop.values()):
+            raise ValueError("a full stop and a comma should be one token each")
 
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}  # of a word: its place in begin and size
+        self.flat, self.begin, self.size = (np.zeros(0, t) for t in (np.uint32, np.int32, np.int32))
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Words of letters go through the tokenizer side by side, which is faster; each has one id that ends it, or they go one by one."""
-        out: dict[str, bytes] = {}
+    def _encode(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
+        """Arrays of ids and of words' numbers of ids, and the words in that order. Words of letters go through the tokenizer side by side,
+        which is faster: each has one id that ends it, or they go one by one."""
+        flat, size, order = [], [], []
         letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
         groups = [letters[i : i + 100] for i in range(0, len(letters), 100)]
         for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(x.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
-                out.update(zip(group, (ids[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._one_by_one(rest), strict=True))
-        return [out[w] for w in words]
+                flat.append(ids)
+                size.append(np.diff(ends, prepend=0))
+                order += group
+            else:
+                rest += group
+        single = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        flat.append(np.fromiter(itertools.chain.from_iterable(single), np.uint32))
+        size.append(np.fromiter(map(len, single), np.int64, len(single)))
+        return flat, size, order + rest
 
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the words, as bytes."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        out = [self.new.get(w) or self.old.get(w) for w in words]
-        if lacking := [w for w, x in zip(words, out, strict=True) if x is None]:
-            # ASCII letters and digits lose only their case to the tokenizer, and a full stop or comma after them is a token of its own.
-            stems = [w[:-1] if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalnum() else w for w in lacking]
-            plain = [s.lower() if s.isascii() and s.isalnum() else s for s in stems]
-            ends = {x: self._encode([x])[0] for x in (".", ",")}
-            todo = [s for s in dict.fromkeys(plain) if s not in self.new and s not in self.old]
-            self.new.update(zip(todo, self._encode(todo), strict=True))
-            for w, s, p in zip(lacking, stems, plain, strict=True):
-                ids = self.new[p] if p in self.new else self.old[p]
-                self.new[w] = ids + ends[w[-1]] if len(s) < len(w) else ids
-            out = [self.new[w] if w in self.new else self.old[w] for w in words]
-        return out
+    def _slots(self, words: list[str]) -> np.ndarray:
+        if len(self.slot) > self.most:
+            self._forget()
+        if lacking := [w for w in words if w not in self.slot]:
+            flat, size, order = self._encode(lacking)
+            self.slot.update(zip(order, itertools.count(len(self.slot))))
+            size = np.concatenate(size).astype(np.int32)
+            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(size, dtype=np.int32) - size))
+            self.size = np.concatenate((self.size, size))
+            self.flat = np.concatenate((self.flat, *flat))
+        return np.fromiter(map(self.slot.__getitem__, words), np.int32, len(words))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, text after text, and where each text's begin (one more entry for the end); null counts as empty."""
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         of, each = words.offsets.to_numpy(), words.values.dictionary_encode()
-        kept = self._lookup(each.dictionary.to_pylist())
-        size = np.fromiter(map(len, kept), np.int64, len(kept)) // 4
-        begin, flat = np.cumsum(size) - size, np.frombuffer(b"".join(kept), np.uint32)
+        # ASCII letters and digits lose only their case to the tokenizer, and a full stop or comma after them is a token of its own.
+        whole = each.dictionary
+        stem = pc.replace_substring_regex(whole, "^([0-9A-Za-z]+)[.,]$", "\\1")
+        plain = pc.if_else(pc.ascii_is_alnum(stem), pc.ascii_lower(stem), stem).dictionary_encode()
+        end = np.zeros(len(whole), np.uint32)
+        for x in _ENDS:
+            end[pc.and_(pc.ends_with(whole, x), pc.not_equal(stem, whole)).to_numpy(zero_copy_only=False)] = self.stop[x][0]
+        slot = self._slots(plain.dictionary.to_pylist())[plain.indices.to_numpy()]
         index = each.indices.to_numpy()
+        size = self.size[slot] + (end > 0)
         counts = size[index]
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        where = np.arange(upto[-1]) + np.repeat(begin[index] - upto[:-1], counts)
-        return flat[where], upto[of]
+        upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32)))
+        where = np.arange(upto[-1], dtype=np.int32) + np.repeat(self.begin[slot][index] - upto[:-1], counts)
+        ended = np.flatnonzero(end[index] > 0)
+        where[upto[ended + 1] - 1] = 0
+        out = self.flat[where] if len(self.flat) else np.zeros(len(where), np.uint32)
+        out[upto[ended + 1] - 1] = end[index[ended]]
+        return out, upto[of]
 
 
 def encoder(path: str) -> WordEncoder:
