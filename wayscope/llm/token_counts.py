@@ -27,7 +27,7 @@ def lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in chunks(batch, "text", 4 << 20):
                 _, at = own.ids(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at))], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64())], ["doc_id", "tokens"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tokens long")
