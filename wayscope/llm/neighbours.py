@@ -3,7 +3,7 @@
 Vectors get one more component that makes all their norms equal, so that the largest inner product is the smallest distance.
 Centroids come from a bounded sample, by k-means whose assignment is charged for a list's size. They form a graph in memory, searched
 best-first. A vector is filed under its nearest centroid and, at a boundary, under further ones whose distance is nearly as small. A query
-opens the lists whose distance is within a ratio of the nearest one's. Every vector is indexed, and lists are searched whole: in blocks of
+opens the lists whose distance is within a ratio of the nearest one's, LEAST_OPEN of them at least. Every vector is indexed, and lists are searched whole: in blocks of
 bounded size, against blocks of queries, so that a list of copies of one vector spreads over tasks.
 """
 
@@ -23,7 +23,7 @@ SAMPLE = 20_000  # vectors that centroids are fitted on, at most
 PER_LIST = 800
 MOST_LISTS = 4096  # broadcast with the tasks: 2 MB at 64 components
 COPIES, COPY_RATIO = 3, 1.02
-OPEN_RATIO = 1.12
+OPEN_RATIO, LEAST_OPEN = 1.12, 12
 BLOCK = 2048
 DEGREE = 24
 
@@ -105,7 +105,10 @@ def _file(lists: Centroids, size: int, ratio: float, most: int, query: bool):
                     x = _units(x, lists.most)
                 width = most or len(lists.points)
                 found, d = lists.search(x, width)
-                row, rank = np.nonzero(d <= np.maximum(d[:, :1] * ratio, 1e-9))
+                near = d <= np.maximum(d[:, :1] * ratio, 1e-9)
+                if query:
+                    near |= (np.arange(d.shape[1]) < LEAST_OPEN) & np.isfinite(d)
+                row, rank = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(found[row, rank].astype(np.int32)), part.column("id").take(pa.array(row)), part.column("vector").take(pa.array(row))], ["list", "id", "vector"])
 
     return run
@@ -141,12 +144,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", open_ratio: float = OPEN_RATIO) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", open_ratio: float = OPEN_RATIO, per_list: int = PER_LIST) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows with the largest inner product found for each row where is_query holds.
 
     A query's own id is no candidate; ties go to the smaller id; with fewer candidates all found are returned. Rows with a null id, and
     vectors that are null, empty, zero or hold null or non-finite components take no part; nor do vectors of another size than the most
-    common one. Rows that repeat an id and a vector are one candidate. An empty table gives no rows.
+    common one. Where norms differ much, a larger open_ratio keeps recall up. Rows that repeat an id and a vector are one candidate. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     names = "query_id long, rank int, vec_id long, score double"
@@ -155,7 +158,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     if facts is None:
         return spark.createDataFrame([], names)
     clean = clean.where(F.col("size") == facts["size"]).drop("size")
-    lists = int(min(MOST_LISTS, max(1, facts["n"] // PER_LIST)))
+    lists = int(min(MOST_LISTS, max(1, facts["n"] // per_list)))
     sample = np.array([r.vector for r in clean.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()])
     sample = np.unique(_units(sample, facts["most"]), axis=0)
     index = Centroids(balanced_centroids(sample, min(lists, len(sample))), facts["most"])
