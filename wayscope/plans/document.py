@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import ingest, motion, sampling, temporal
 from ..operators.classify import classify
@@ -25,10 +28,24 @@ def ingestion_section(found: DataFrame, tracks: DataFrame) -> DataFrame:
     return s.select("track_id", F.struct(counts.alias("counts"), context.alias("context"), F.struct(F.coalesce("events", F.array().cast(_EMPTY)).alias("events")).alias("rejections")).alias("ingestion"))
 
 
-def _blank(section: DataFrame, of: DataFrame, build) -> DataFrame:
-    """section, and for tracks of `of` that it lacks what build() makes of no points at all."""
-    lacking = of.select("track_id").join(section.select("track_id"), "track_id", "left_anti")
-    return section.unionByName(build(lacking))
+#: Fields that are null, not 0, where a track has no valid points.
+_NULL = {"rawSessionDurationSec", "maxDepthFromAnchorMs", "minMs", "maxMs", "medianMs", "normalization", "meanSpeedMps", "medianSpeedMps", "maxSpeedMps"}
+
+
+def _blank(kind: T.DataType, name: str = ""):
+    """What a section says of no points at all."""
+    if name in _NULL:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _blank(f.dataType, f.name) for f in kind}
+    if name == "insertionRelativeThreshold":
+        return sampling.ALPHA
+    return [] if isinstance(kind, T.ArrayType) else False if isinstance(kind, T.BooleanType) else 0.0 if isinstance(kind, T.DoubleType) else 0
+
+
+def _or_blank(frame: DataFrame, name: str):
+    kind = frame.schema[name].dataType
+    return F.coalesce(name, F.from_json(F.lit(json.dumps(_blank(kind))), kind)).alias(name)
 
 
 def audit_documents(found: DataFrame, tracks: DataFrame | None = None, generated_at: str | None = None, zone: str = "UTC") -> DataFrame:
@@ -46,7 +63,7 @@ def audit_documents(found: DataFrame, tracks: DataFrame | None = None, generated
         F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(generated_at).cast("string").alias("generatedAtUtc"), F.struct(F.col("file_name").alias("fileName")).alias("source"),
         F.struct(F.col("ingestion.counts.totalPointCount").alias("totalPointCount")).alias("summary"),
     )
-    return doc.select("track_id", metadata.alias("metadata"), F.struct("ingestion", "temporal", "sampling", "motion").alias("audit"))
+    return doc.select("track_id", metadata.alias("metadata"), F.struct("ingestion", *(_or_blank(doc, x) for x in ("temporal", "sampling", "motion"))).alias("audit"))
 
 
 def to_json_rows(documents: DataFrame) -> DataFrame:
