@@ -44,9 +44,10 @@ def uniform(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def _shares(cells: DataFrame, key: str, temperature: float) -> DataFrame:
-    """key and share, by default: tokens to the power of temperature. One row per value; the sum is a row of its own."""
+    """key and share, by default: tokens to the power of temperature. One row per value."""
     powers = cells.groupBy(key).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temperature)).alias("power")).where("power > 0")
-    return powers.crossJoin(F.broadcast(powers.agg(F.sum("power").alias("all")))).select(key, (F.col("power") / F.col("all")).alias("share"))
+    total = powers.agg(F.sum("power")).first()[0] or 1.0
+    return powers.select(key, (F.col("power") / F.lit(total)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
@@ -107,7 +108,7 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget:
         (topic_of(text) if topic is None else topic).alias("topic"), tokens_of(text).alias("n_tokens"),
     )
     facts = written(facts, "facts")
-    cells = facts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    cells = written(facts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "cells")
     targets = targets or {k: _shares(cells, k, temperature) for k in ("source", "lang", "topic")}
     raked = written(rake(cells, targets, budget).select("source", "lang", "topic", F.round("probability", 6).alias("probability")), "raked")
     # A hot source's rows are split by AQE where the cells are too many to be broadcast.

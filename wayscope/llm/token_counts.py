@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .tokens import encoder
 from .words import chunks
 
@@ -44,29 +45,33 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     Sums run within bands of lengths and over the bands' totals, so no task sorts the whole table. An empty table gives no rows.
     """
+    hist = written(hist, "histogram")  # texts are encoded once
     per = hist.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "band": F.floor(F.col("length") / BAND)})
     whole = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = per.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     # One row for each BAND lengths: the longest document's length over BAND at most.
     above = bands.select("band", F.coalesce(F.sum("d").over(whole), F.lit(0)).alias("docs_above"), F.coalesce(F.sum("t").over(whole), F.lit(0)).alias("tokens_above"))
-    totals = bands.agg(F.sum("d").alias("all_docs"), F.sum("t").alias("all_tokens"))
+    all_docs, all_tokens = bands.agg(F.coalesce(F.sum("d"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     within = Window.partitionBy("band").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
-    out = per.join(above, "band").crossJoin(F.broadcast(totals))  # one row
+    out = per.join(above, "band")
     docs, tokens = F.sum("n_docs").over(within) + F.col("docs_above"), F.sum("n_tokens").over(within) + F.col("tokens_above")
-    return out.select("length", "n_docs", "n_tokens", docs.alias("docs_at_least"), tokens.alias("tokens_at_least"), "all_docs", "all_tokens").select(
+    return out.select("length", "n_docs", "n_tokens", docs.alias("docs_at_least"), tokens.alias("tokens_at_least")).select(
         "length", "n_docs", "n_tokens", "docs_at_least", "tokens_at_least",
-        (F.col("all_tokens") - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least")).alias("tokens_truncated"),
-        ((F.col("all_docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("all_docs")).alias("share_at_most"),
+        (F.lit(all_tokens) - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least")).alias("tokens_truncated"),
+        ((F.lit(all_docs) - F.col("docs_at_least") + F.col("n_docs")) / F.lit(max(1, all_docs))).alias("share_at_most"),
     )
 
 
-def truncated_totals(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """limit, n_docs_cut and tokens: all documents cut to each limit, whether or not a document has that length; limits: a column limit."""
-    at_least = sums.select("length", "docs_at_least", "tokens_at_least")
-    total = F.broadcast(sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens")))  # one row
-    least = limits.select("limit").distinct().join(at_least, F.col("length") > F.col("limit"), "left").groupBy("limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "length").alias("x"))
-    docs, tokens = F.coalesce("x.docs_at_least", F.lit(0)), F.coalesce("x.tokens_at_least", F.lit(0))
-    return least.crossJoin(total).select("limit", docs.alias("n_docs_cut"), (F.col("all_tokens") - tokens + docs * F.col("limit")).alias("tokens"))
+def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """limit, n_docs_cut and tokens: all documents cut to each limit, whether or not a document has that length."""
+    longer = [F.min_by(F.when(F.col("length") > x, F.struct("docs_at_least", "tokens_at_least")), F.when(F.col("length") > x, F.col("length"))).alias(f"x{i}") for i, x in enumerate(limits)]
+    one = sums.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"), *longer)
+
+    def answer(i: int, x: int):
+        docs, tokens = F.coalesce(f"x{i}.docs_at_least", F.lit(0)), F.coalesce(f"x{i}.tokens_at_least", F.lit(0))
+        return F.struct(F.lit(x).cast("long").alias("limit"), docs.alias("n_docs_cut"), (F.col("all_tokens") - tokens + docs * F.lit(x)).alias("tokens"))
+
+    return one.select(F.explode(F.array(*(answer(i, x) for i, x in enumerate(limits)))).alias("x")).select("x.*")
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
