@@ -104,8 +104,8 @@ def test_token_counts(spark, docs, ids):
     for r in sums.collect():
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.tokens_truncated) == ((n == r.length).sum(), (n >= r.length).sum(), n[n >= r.length].sum(), np.minimum(n, r.length).sum())
         assert abs(r.share_at_most - (n <= r.length).mean()) < 1e-12
-    limits = spark.createDataFrame([(x,) for x in (0, 1, 50, 10**6)], "limit long")
-    assert {r.limit: (r.n_docs_cut, r.tokens) for r in token_counts.truncated_totals(sums, limits).collect()} == {x: ((n > x).sum(), np.minimum(n, x).sum()) for x in (0, 1, 50, 10**6)}
+    limits = [0, 1, 50, 10**6]
+    assert {r.limit: (r.n_docs_cut, r.tokens) for r in token_counts.truncated_totals(sums, limits).collect()} == {x: ((n > x).sum(), np.minimum(n, x).sum()) for x in limits}
     assert {r.share: r.length for r in token_counts.quantiles(sums, [0.5, 1.0]).collect()} == {0.5: np.sort(n)[-(-len(n) // 2) - 1], 1.0: n.max()}
     assert token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(docs.limit(0), tokenizer()))).count() == 0
 
