@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where that is unset (local tests) a temporary folder, kept for the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.wayscope.scratch", None)
+    at = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.wayscope.scratch", "")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="wayscope-")
         spark.conf.set("spark.wayscope.scratch", at)
