@@ -52,6 +52,23 @@ def peaks(curve: DataFrame) -> DataFrame:
     return near.where("y > before and y > after").drop("before", "after")
 
 
+def nearest_grid(curve: DataFrame, x_log: float) -> DataFrame:
+    """Each track's grid point nearest to a cursor at x_log, the first of equally near ones."""
+    best = curve.groupBy("track_id").agg(F.min_by(F.struct("grid_i", "x_log", "x_linear", "y"), F.struct(F.abs(F.col("x_log") - F.lit(float(x_log))), "grid_i")).alias("p"))
+    return best.select("track_id", "p.*")
+
+
+def overview(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
+    """track_id with bandwidths and numbers of peaks of both densities; null where a track has no positive values of a kind."""
+
+    def one(values: DataFrame, column: str, name: str) -> DataFrame:
+        found = peaks(kde(values, column)).groupBy("track_id").agg(F.count(F.lit(1)).alias(f"{name}_peaks"))
+        own = bandwidth(values, column).select("track_id", F.col("h").alias(f"{name}_bandwidth")).join(found, "track_id", "left")
+        return own.withColumn(f"{name}_peaks", F.coalesce(f"{name}_peaks", F.lit(0)))
+
+    return one(time_values, "dt_sec", "time").join(one(distance_values, "dd_meters", "distance"), "track_id", "full_outer")
+
+
 def bandwidth_range(curve: DataFrame, bandwidths: DataFrame) -> DataFrame:
     """track_id, low, high, step of a control for the bandwidth h: a fiftieth to a fifth of the range of logs, widened to hold h."""
     span = curve.groupBy("track_id").agg((F.max("x_log") - F.min("x_log")).alias("span"))

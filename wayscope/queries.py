@@ -19,6 +19,7 @@ from .sources.tables import EVENT_SQL, ORDER_SQL
 
 BLOCK = (10, 60)
 CENTRE, REACH = 50, 20
+CURSOR = 8.0
 DIGITS = 6
 
 
@@ -86,6 +87,10 @@ def _deltas(s: SparkSession, d: str) -> DataFrame:
     return sampling.time_deltas(_classified(s, d))
 
 
+def _primary(s: SparkSession, d: str) -> DataFrame:
+    return sampling.primary_distances(_classified(s, d))
+
+
 def _joint(s: SparkSession, d: str) -> DataFrame:
     return sampling.joint_pairs(_classified(s, d))
 
@@ -132,7 +137,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_point": _nearest,
     "bandwidth": lambda s, d: _rounded(density.bandwidth(_deltas(s, d), "dt_sec")),
     "kde_curve": lambda s, d: _rounded(density.kde(_deltas(s, d), "dt_sec")),
-    "kde_distance_peaks": lambda s, d: _rounded(density.peaks(density.kde(sampling.primary_distances(_classified(s, d)), "dd_meters"))),
+    "bandwidth_distance": lambda s, d: _rounded(density.bandwidth(_primary(s, d), "dd_meters")),
+    "kde_distance_curve": lambda s, d: _rounded(density.kde(_primary(s, d), "dd_meters")),
+    "kde_nearest_grid": lambda s, d: _rounded(density.nearest_grid(density.kde(_deltas(s, d), "dt_sec"), CURSOR)),
+    "density_overview": lambda s, d: _rounded(density.overview(_deltas(s, d), _primary(s, d))),
+    "chart_ticks": lambda s, d: density.legend(_joint(s, d)).select("track_id", "share", density.tick(F.col("meters")).alias("tick")),
+    "export_distance_deltas": lambda s, d: delta_documents(sampling.distance_deltas(_classified(s, d))),
+    "kde_distance_peaks": lambda s, d: _rounded(density.peaks(density.kde(_primary(s, d), "dd_meters"))),
     "kde_peaks": lambda s, d: _rounded(density.peaks(density.kde(_deltas(s, d), "dt_sec"))),
     "bandwidth_range": lambda s, d: _rounded(density.bandwidth_range(density.kde(_deltas(s, d), "dt_sec"), density.bandwidth(_deltas(s, d), "dt_sec"))),
     "chart_domains": lambda s, d: _rounded(density.domains(_joint(s, d))),
@@ -152,6 +163,8 @@ _MOTION_SUM = """SELECT *, CASE WHEN valid_sec + invalid_sec > 0 THEN round(inva
     round(median(dd_meters / dt_sec) FILTER (pair_class = 'forward'), 6) AS median_mps, round(max(dd_meters / dt_sec) FILTER (pair_class = 'forward'), 6) AS max_mps,
     round(sum(dd_meters) FILTER (pair_class = 'forward') / sum(dt_sec) FILTER (pair_class = 'forward'), 6) AS mean_mps FROM mp GROUP BY track_id)"""
 _PEAKS = "SELECT track_id, grid_i, round(x_log, 6) AS x_log, round(exp(x_log), 6) AS x_linear, round(y, 6) AS y FROM (SELECT *, lag(y) OVER w AS b, lead(y) OVER w AS a FROM kde WINDOW w AS (PARTITION BY track_id ORDER BY grid_i)) WHERE y > b AND y > a"
+_CURVE = "SELECT track_id, grid_i, round(x_log, 6) AS x_log, round(exp(x_log), 6) AS x_linear, round(y, 6) AS y FROM kde"
+_OVERVIEW = f"SELECT track_id, round(any_value(h), 6) AS h, count(p.grid_i) AS peaks FROM s LEFT JOIN ({_PEAKS}) p USING (track_id) GROUP BY track_id"
 _DISTANCES = "SELECT track_id, prev_index AS from_index, gpx_index AS to_index, round(prev_m, 6) AS dd_meters, coalesce(dt_ms > 0, false) AS on_progress FROM cls WHERE prev_index IS NOT NULL AND prev_m >= 0"
 _KDE_M = _KDE.replace("SELECT track_id, ln(dt_ms / 1000.0::DOUBLE) AS x FROM cls WHERE dt_ms > 0", "SELECT track_id, ln(prev_m) AS x FROM cls JOIN (SELECT track_id, coalesce(bool_or(dt_ms > 0), false) AS moving FROM cls GROUP BY ALL) USING (track_id) WHERE prev_m > 0 AND (coalesce(dt_ms > 0, false) OR NOT moving)")
 
@@ -188,7 +201,14 @@ ORACLE: dict[str, str] = {
     "nearest_point": f"""WITH {EVENT_SQL}{_PTS}, q AS (SELECT track_id, (min(lat) + max(lat)) / 2 AS y, (min(lon) + max(lon)) / 2 AS x FROM pts GROUP BY track_id),
         r AS (SELECT p.*, row_number() OVER (PARTITION BY track_id ORDER BY (lat - y) * (lat - y) + (lon - x) * (lon - x), gpx_index) AS n FROM pts p JOIN q USING (track_id)) SELECT track_id AS probe_id, track_id, gpx_index, lat, lon FROM r WHERE n = 1""",
     "bandwidth": _events("SELECT track_id, round(h, 6) AS h, n FROM s", _KDE),
-    "kde_curve": _events("SELECT track_id, grid_i, round(x_log, 6) AS x_log, round(exp(x_log), 6) AS x_linear, round(y, 6) AS y FROM kde", _KDE),
+    "kde_curve": _events(_CURVE, _KDE),
+    "bandwidth_distance": _events("SELECT track_id, round(h, 6) AS h, n FROM s", _KDE_M),
+    "kde_distance_curve": _events(_CURVE, _KDE_M),
+    "kde_nearest_grid": _events(f"{_CURVE} QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY abs(kde.x_log - {CURSOR}), grid_i) = 1", _KDE),
+    "density_overview": f"""WITH t AS ({_events(_OVERVIEW, _KDE)}), m AS ({_events(_OVERVIEW, _KDE_M)})
+        SELECT track_id, t.h AS time_bandwidth, t.peaks AS time_peaks, m.h AS distance_bandwidth, m.peaks AS distance_peaks FROM t FULL OUTER JOIN m USING (track_id)""",
+    "chart_ticks": _events("""SELECT track_id, share, CASE WHEN abs(m) >= 1 THEN CAST(CAST(round(m) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', m) END AS tick FROM (SELECT track_id, share, exp(ln(1 + most) * share) - 1 AS m
+        FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) AS t(share))""", _JOINT),
     "kde_peaks": _events(_PEAKS, _KDE),
     "kde_distance_peaks": _events(_PEAKS, _KDE_M),
     "bandwidth_range": _events("""SELECT track_id, round(lo, 6) AS low, round(hi, 6) AS high, round(greatest(1e-3, (hi - lo) / 100), 6) AS step FROM
