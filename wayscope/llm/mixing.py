@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are reduced to the tokens of each cell (source, language, topic). Cells' weights are raked in turn to the target shares of the
-sources, languages and topics, sweep by sweep; a cell never gets more than all its tokens. A document is then sampled with its cell's
+sources, languages and topics, sweep by sweep; a cell never gets more than all its tokens, nor a language or topic more than nearly all of its own. A document is then sampled with its cell's
 share of its tokens as probability, by a hash of its id, so that the same documents are sampled wherever and however often this runs.
 
 DataFrame functions do all work on documents and cells. The driver holds one number per language and topic pair.
@@ -20,6 +20,7 @@ SWEEPS = 12
 TEMPERATURE = 0.7  # default targets: shares in proportion to tokens to this power, which evens sources out
 BUDGET = 0.7  # of all tokens
 MOST_PAIRS = 100_000
+ROUNDS, SLACK = 8, 0.98
 SEED = 42
 WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 
@@ -50,6 +51,17 @@ def _shares(cells: DataFrame, key: str, temperature: float) -> DataFrame:
     return powers.select(key, (F.col("power") / F.lit(total)).alias("share"))
 
 
+def fillable(shares: dict[str, float], room: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
+    """Shares of a sample, none above the room that its value's tokens leave; what is cut goes to the others in proportion."""
+    cut = {k: room.get(k, 0.0) * SLACK for k in shares}
+    for _ in range(rounds):
+        full = {k for k in shares if shares[k] >= cut[k]}
+        free = sum(v for k, v in shares.items() if k not in full)
+        left = 1 - sum(cut[k] for k in full)
+        shares = {k: cut[k] if k in full else v * left / free for k, v in shares.items()}
+    return shares
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
     """cells (source, lang, topic, tokens) with weight, their share of the sample, and probability = weight * budget tokens / tokens.
 
@@ -63,7 +75,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     if len(pairs) > MOST_PAIRS:
         raise ValueError(f"more than {MOST_PAIRS} pairs of a language and a topic")
     all_tokens = sum(pairs.values())
-    share = {k: dict(targets[k].limit(MOST_PAIRS).collect()) for k in part}
+    room = {k: {} for k in part}
+    for p, t in pairs.items():
+        for i, k in enumerate(part):
+            room[k][p[i]] = room[k].get(p[i], 0.0) + t / (budget * all_tokens)
+    share = {k: fillable(dict(targets[k].limit(MOST_PAIRS).collect()), room[k]) for k in part}
     factor = {p: float(share["lang"].get(p[0], 0) > 0 and share["topic"].get(p[1], 0) > 0) for p in pairs}
     spark = cells.sparkSession
     most = F.col("tokens") / F.lit(budget * max(1, all_tokens))
@@ -140,7 +156,12 @@ def oracle_sql(sweeps: int = SWEEPS, budget: float = BUDGET, temperature: float
         for k in ("source", "lang", "topic")
     )
     sql = f"WITH {_CELL_SQL}, cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM facts GROUP BY ALL){margins}, "
-    sql += f"live AS MATERIALIZED (SELECT c.*, s.share AS ss, l.share AS ls, t.share AS ts, tokens / ({budget} * sum(tokens) OVER ()) AS most FROM cells c JOIN by_source s USING (source) JOIN by_lang l USING (lang) JOIN by_topic t USING (topic) WHERE tokens > 0)"
+    for k in ("lang", "topic"):  # as in fillable()
+        sql += f"{k}_0 AS MATERIALIZED (SELECT {k}, any_value(share) AS share, {SLACK} * sum(tokens) / ({budget} * (SELECT sum(tokens) FROM cells)) AS cut FROM by_{k} JOIN cells USING ({k}) GROUP BY {k}), "
+        for i in range(ROUNDS):
+            free, left = "sum(CASE WHEN share < cut THEN share END) OVER ()", "(1 - coalesce(sum(CASE WHEN share >= cut THEN cut END) OVER (), 0))"
+            sql += f"{k}_{i + 1} AS MATERIALIZED (SELECT {k}, CASE WHEN share >= cut THEN cut ELSE share * {left} / {free} END AS share, cut FROM {k}_{i}), "
+    sql += f"live AS MATERIALIZED (SELECT c.*, s.share AS ss, l.share AS ls, t.share AS ts, tokens / ({budget} * sum(tokens) OVER ()) AS most FROM cells c JOIN by_source s USING (source) JOIN lang_{ROUNDS} l USING (lang) JOIN topic_{ROUNDS} t USING (topic) WHERE tokens > 0)"
     sql += ", f0 AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS f FROM live)"
     weight = "least(f * tokens * ss / sum(f * tokens) OVER (PARTITION BY source), most)"
     for i in range(sweeps):
