@@ -4,7 +4,7 @@ Vectors get one more component that makes all their norms equal, so that the lar
 Centroids come from a bounded sample, by k-means whose assignment is charged for a list's size. They form a graph in memory, searched
 best-first. A vector is filed under its nearest centroid and, at a boundary, under further ones whose distance is nearly as small. A query
 opens the lists whose distance is within a ratio of the nearest one's, LEAST_OPEN of them at least. Every vector is indexed, and lists are searched whole: in blocks of
-bounded size, against blocks of queries, so that a list of copies of one vector spreads over tasks.
+bounded size, against blocks of queries, so that a list of copies of one vector spreads over tasks; small lists that lie close share a block.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ PER_LIST = 800
 MOST_LISTS = 4096  # broadcast with the tasks: 2 MB at 64 components
 COPIES, COPY_RATIO = 3, 1.02
 OPEN_RATIO, LEAST_OPEN = 1.12, 12
-BLOCK = 2048
+WIDTH = 64  # centroids that a query's search keeps
+BLOCK = 8192  # vectors, and queries, that one task compares at a time
 DEGREE = 24
 
 
@@ -90,53 +91,97 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
 
-def _file(lists: Centroids, size: int, ratio: float, most: int, query: bool):
-    """Rows (list, id, vector): each vector under the lists within ratio of the nearest one, most of them at most (0: all of those)."""
+def _file(lists: Centroids, size: int):
+    """Rows (list, id, vector): each vector under its nearest list, and under the next ones whose distance is nearly as small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = min(COPIES, len(lists.points))
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                d = _distances(_units(_matrix(part.column("vector"), size), lists.most), lists.points)
+                near = np.sort(np.argpartition(d, most - 1, axis=1)[:, :most], axis=1)
+                own = np.take_along_axis(d, near, axis=1)
+                row, rank = np.nonzero(own <= np.maximum(own.min(axis=1, keepdims=True) * COPY_RATIO, 1e-9))
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, rank].astype(np.int32)), part.column("id").take(pa.array(row)), part.column("vector").take(pa.array(row))], ["list", "id", "vector"])
+
+    return run
+
+
+def _open(lists: Centroids, size: int, ratio: float, shelf: np.ndarray):
+    """Rows (shelf, id, vector, lists): for each query and shelf the lists there that it opens. Any length of a query gives the same order of
+    vectors; the one that stored vectors have makes distances comparable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
                 x = _matrix(part.column("vector"), size)
-                if query:  # any length of a query gives the same order; the centroids' scale is the right one to compare ratios on
-                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    x = np.hstack((x / norm * lists.most, np.zeros((len(x), 1))))
-                else:
-                    x = _units(x, lists.most)
-                width = most or len(lists.points)
-                found, d = lists.search(x, width)
-                near = d <= np.maximum(d[:, :1] * ratio, 1e-9)
-                if query:
-                    near |= (np.arange(d.shape[1]) < LEAST_OPEN) & np.isfinite(d)
-                row, rank = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(found[row, rank].astype(np.int32)), part.column("id").take(pa.array(row)), part.column("vector").take(pa.array(row))], ["list", "id", "vector"])
+                x = np.hstack((x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * lists.most, np.zeros((len(x), 1))))
+                found, d = lists.search(x, WIDTH)
+                near = (d <= np.maximum(d[:, :1] * ratio, 1e-9)) | ((np.arange(d.shape[1]) < LEAST_OPEN) & np.isfinite(d))
+                row, rank = np.nonzero(near & (shelf[found] >= 0))
+                own = found[row, rank]
+                order = np.lexsort((own, shelf[own], row))
+                row, own = row[order], own[order]
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(shelf[own]) != 0)))) if len(row) else np.zeros(0, np.int64)
+                edge = pa.array(np.concatenate((new, [len(row)])).astype(np.int32))
+                at = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(shelf[own[new]].astype(np.int32)), part.column("id").take(at), part.column("vector").take(at), pa.ListArray.from_arrays(edge, pa.array(own.astype(np.int32)))], ["shelf", "id", "vector", "lists"])
 
     return run
 
 
 def _best(k: int):
+    """Of one block of a shelf and one block of queries: each query's k best among the lists it opens."""
+
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(vectors):
-            q, x = (np.array(t.vector.tolist(), np.float64) for t in (queries, vectors))
+            q, x = (np.stack(t.vector.to_numpy()).astype(np.float64) for t in (queries, vectors))
             ids = vectors.id.to_numpy()
-            for first in range(0, len(q), 256):
-                near = q[first : first + 256] @ x.T
-                for i, own in enumerate(queries.id.to_numpy()[first : first + 256]):
-                    score = np.where(ids == own, -np.inf, near[i])
-                    n = min(k, int((ids != own).sum()))
+            own_list = vectors.list.to_numpy()
+            for first in range(0, len(q), 128):
+                near = q[first : first + 128] @ x.T
+                for i, (own, lists) in enumerate(zip(queries.id.to_numpy()[first : first + 128], queries.lists.to_numpy()[first : first + 128], strict=True)):
+                    score = np.where(np.isin(own_list, lists) & (ids != own), near[i], -np.inf)
+                    every = int(np.isfinite(score).sum())
+                    n = min(COPIES * k, every)
+                    while n:
+                        # Sums in one order for every vector, so that equal vectors have equal scores wherever they lie.
+                        least = np.partition(score, -n)[-n]
+                        at = np.flatnonzero(score >= least - 1e-9 * (1 + abs(least)))
+                        exact = (x[at] * q[first + i]).sum(axis=1)
+                        top = np.lexsort((ids[at], -exact))
+                        top = top[np.sort(np.unique(ids[at][top], return_index=True)[1])][:k]  # a vector in several lists, or rows, counts once
+                        if len(top) == k or n == every:
+                            break
+                        n = min(4 * n, every)
                     if not n:
                         continue
-                    # Sums in one order for every vector, so that equal vectors have equal scores wherever they lie.
-                    at = np.flatnonzero(score >= np.partition(score, -n)[-n] - 1e-9 * (1 + abs(score[np.isfinite(score)]).max()))
-                    exact = (x[at] * q[first + i]).sum(axis=1)
-                    top = np.lexsort((ids[at], -exact))[:n]
-                    found.append(pd.DataFrame({"query_id": own, "vec_id": ids[at][top], "score": exact[top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    found.append((np.full(len(top), own), ids[at][top], exact[top]))
+        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
     return run
 
 
+def shelves(counts: dict[int, int], centroids: Centroids) -> tuple[np.ndarray, dict[int, int]]:
+    """The shelf of each list (-1: no vectors), and each shelf's number of blocks. Lists that lie close share a shelf of about BLOCK vectors,
+    so a query meets few shelves; a list larger than that fills a shelf of its own, in blocks."""
+    points = centroids.points - centroids.points.mean(axis=0)
+    order = np.argsort(points @ np.linalg.svd(points, full_matrices=False)[2][0], kind="stable")
+    shelf, rows = np.full(len(points), -1), [0]
+    for x in order.tolist():
+        n = counts.get(x, 0)
+        if n:
+            if rows[-1] and rows[-1] + n > BLOCK:
+                rows.append(0)
+            shelf[x] = len(rows) - 1
+            rows[-1] += n
+    return shelf, {i: max(1, -(-n // BLOCK)) for i, n in enumerate(rows)}
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and vector (doubles) of the rows that take part: no nulls, finite, not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -163,17 +208,19 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     sample = np.unique(_units(sample, facts["most"]), axis=0)
     index = Centroids(balanced_centroids(sample, min(lists, len(sample))), facts["most"])
 
-    rows = "list int, id long, vector array<double>"
-    filed = written(clean.mapInArrow(_file(index, facts["size"], COPY_RATIO, COPIES, False), rows), "lists")
-    opened = written(clean.where(is_query(F.col("id"))).mapInArrow(_file(index, facts["size"], open_ratio, 0, True), rows), "opened")
-    count = lambda t, c: t.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(c))
-    # One row per list, MOST_LISTS of them at most.
-    blocks = F.broadcast(count(filed, "vs").join(count(opened, "qs"), "list"))
+    filed = written(clean.mapInArrow(_file(index, facts["size"]), "list int, id long, vector array<double>"), "lists")
+    counts = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_LISTS rows at most
+    shelf, blocks = shelves(counts, index)
+    opened = written(clean.where(is_query(F.col("id"))).mapInArrow(_open(index, facts["size"], open_ratio, shelf), "shelf int, id long, vector array<double>, lists array<int>"), "opened")
+    # Tables of one row per list or shelf: MOST_LISTS of them at most.
+    place = F.broadcast(spark.createDataFrame([(x, int(shelf[x])) for x in counts], "list int, shelf int"))
+    size = spark.createDataFrame(list(blocks.items()), "shelf int, vs int").join(opened.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")), "shelf")
+    size = F.broadcast(size)
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = opened.join(blocks, "list").select("list", part("qs").alias("q"), every("vs").alias("v"), "id", "vector")
-    right = filed.join(blocks, "list").select("list", part("vs").alias("v"), every("qs").alias("q"), "id", "vector")
-    met = left.groupBy("list", "v", "q").cogroup(right.groupBy("list", "v", "q")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+    left = opened.join(size, "shelf").select("shelf", part("qs").alias("q"), every("vs").alias("v"), "id", "vector", "lists")
+    right = filed.join(place, "list").join(size, "shelf").select("shelf", part("vs").alias("v"), every("qs").alias("q"), "id", "vector", "list")
+    met = left.groupBy("shelf", "v", "q").cogroup(right.groupBy("shelf", "v", "q")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
     # k rows for each block that a query meets; copies of a vector in several lists are one element of the set.
     best = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
