@@ -11,11 +11,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .scratch import written
 
 # Only these letters are folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BUCKETS = 64
+HOT = 1000  # a digest with more than this part of a batch's rows is hot; so there are fewer than HOT of them
 
 
 def digest(text):
@@ -35,9 +37,8 @@ class DigestIndex:
             return self.spark.table(self.name)
         return self.spark.createDataFrame([], "digest binary, keep_id long, group_size long, batch long")
 
-    def append(self, digests: DataFrame, batch: int) -> None:
-        """digests (doc_id, digest) of a batch: those that the index lacks are appended with the batch's largest id and size of group."""
-        groups = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    def append(self, groups: DataFrame, batch: int) -> None:
+        """groups (digest, keep_id, group_size), one per digest of a batch: those that the index lacks are appended."""
         if self.spark.catalog.tableExists(self.name):
             groups = groups.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
         new = groups.withColumn("batch", F.lit(batch).cast("long")).repartition(self.buckets, "digest")
@@ -61,24 +62,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     Equal: identical after lower-casing A-Z; null counts as empty. Of equal rows in a batch the one with the largest id stays, unless an
     earlier batch has the text already; then none does. Of rows that also share the id, one stays. A null id is smaller than any other.
     """
-    own = digests(docs, id_col, text_col)
+    own = written(digests(docs, id_col, text_col), "digests")  # the one pass over texts
+    groups = written(own.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     index = index or _fresh(docs.sparkSession)
-    index.append(own, batch)
-    # Rows with the same id and digest become one with a count, so that exactly one of them is kept; a hot digest is combined here too.
-    counted = own.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = index.rows().select("digest", "keep_id", "group_size", F.col("batch").alias("_batch"))
-    met = counted.join(groups, "digest").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    kept = (F.col("i") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_batch") == F.lit(batch))
-    return met.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    index.append(groups, batch)
+    known = index.rows().select("digest", "keep_id", "group_size", F.col("batch").alias("_batch"))
+    # Rows of hot digests stay where they are and meet a broadcast table of fewer than HOT rows; the others are joined by digest.
+    hot = F.broadcast(groups.where(F.col("group_size") > F.lit(max(1, own.count()) / HOT)).select("digest"))
+    rest = own.join(hot, "digest", "left_anti").join(known, "digest")
+    met = own.join(F.broadcast(known.join(hot, "digest")), "digest").unionByName(rest)
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_batch") == F.lit(batch))
+    # Of rows that share the id too, one is kept: rows that stay are few per digest, so only they are numbered.
+    stay = met.where(first).groupBy("doc_id", "digest", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    out = stay.select("doc_id", "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "digest").unionByName(met.where(~first).select("doc_id", "keep_id", "group_size", F.lit(False).alias("kept"), "digest"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
     out = dedup(docs, id_col, text_col)
-    # Only the ids that go are sent to the documents; whole texts stay where they are if Spark finds these ids few.
+    # The ids that go are hashed, so that whole texts are dealt out by id but not sorted.
     gone = out.groupBy("doc_id").agg(F.max("kept").alias("_any"), F.count(F.lit(1)).alias("_n"), F.count_if("kept").alias("_kept"))
     unique = gone.where("not _any").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(unique, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    left = docs.join(unique.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
     if not gone.where("_any and _n > _kept").isEmpty():  # ids that aren't unique: choose among their rows by the text too
         left = left.withColumn("_digest", digest(F.col(text_col).cast("string")))
         stay = out.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_d"))
