@@ -78,6 +78,24 @@ def test_many_lists(spark):
     assert sum(len(set(r.v) & {i for i, _ in want[r.query_id]}) for r in got) / (20 * len(want)) >= 0.9
 
 
+def test_ratio_decides_among_hundreds_of_lists(spark):
+    rng = np.random.default_rng(11)
+    x, ratio = rng.normal(size=(4000, 32)), 1.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    unit = neighbours._units(x, 1.0)
+    index = neighbours.Centroids(neighbours.balanced_centroids(unit, 400), 1.0)
+    exact = neighbours._distances(unit[:100], index.points)
+    inside = exact <= exact.min(axis=1, keepdims=True) * ratio
+    assert np.median(inside.sum(axis=1)) > 64
+    found, d = index.within(unit[:100], ratio)
+    own = [set(f[e <= e[0] * ratio]) & set(np.flatnonzero(i)) for f, e, i in zip(found, d, inside, strict=True)]
+    assert sum(map(len, own)) / inside.sum() > 0.99
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = brute(np.arange(4000), x)
+    got = neighbours.nearest(frame, lambda c: c % 20 == 0, open_ratio=ratio, per_list=10).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
+    assert sum(len(set(r.v) & {i for i, _ in want[r.query_id]}) for r in got) / (20 * len(want)) >= 0.9
+
+
 def test_few_vectors(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(d, lambda c: c % 20 == 0).orderBy("query_id", "rank").collect()]

@@ -3,7 +3,7 @@
 Vectors get one more component that makes all their norms equal, so that the largest inner product is the smallest distance.
 Centroids come from a bounded sample, by k-means whose assignment is charged for a list's size. They form a graph in memory, searched
 best-first. A vector is filed under its nearest centroid and, at a boundary, under further ones whose distance is nearly as small. A query
-opens the lists whose distance is within a ratio of the nearest one's, LEAST_OPEN of them at least. Every vector is indexed, and lists are searched whole: in blocks of
+opens all lists found whose distance is within a ratio of the nearest one's, however many, and LEAST_OPEN of them at least. Every vector is indexed, and lists are searched whole: in blocks of
 bounded size, against blocks of queries, so that a list of copies of one vector spreads over tasks; small lists that lie close share a block.
 """
 
@@ -24,7 +24,7 @@ PER_LIST = 800
 MOST_LISTS = 4096  # broadcast with the tasks: 2 MB at 64 components
 COPIES, COPY_RATIO = 3, 1.02
 OPEN_RATIO, LEAST_OPEN = 1.12, 12
-WIDTH = 64  # centroids that a query's search keeps
+WIDTH = 64  # centroids that a query's search keeps at first; it grows until the ratio's edge is among them
 BLOCK = 8192  # vectors, and queries, that one task compares at a time
 DEGREE = 24
 
@@ -87,6 +87,19 @@ class Centroids:
         return order, np.take_along_axis(dist, order, axis=1)
 
 
+    def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """As search(), with a width that grows for each row until the farthest centroid found lies outside the ratio, or all are found."""
+        width = min(max(WIDTH, LEAST_OPEN), len(self.points))
+        found, d = self.search(x, width)
+        while width < len(self.points) and len(more := np.flatnonzero(d[:, -1] <= np.maximum(d[:, 0] * ratio, 1e-9))):
+            new = min(2 * width, len(self.points))
+            found = np.pad(found, ((0, 0), (0, new - width)))
+            d = np.pad(d, ((0, 0), (0, new - width)), constant_values=np.inf)
+            found[more], d[more] = self.search(x[more], new)
+            width = new
+        return found, d
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
@@ -118,7 +131,7 @@ def _open(lists: Centroids, size: int, ratio: float, shelf: np.ndarray):
                 part = batch.slice(first, 512)
                 x = _matrix(part.column("vector"), size)
                 x = np.hstack((x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * lists.most, np.zeros((len(x), 1))))
-                found, d = lists.search(x, WIDTH)
+                found, d = lists.within(x, ratio)
                 near = (d <= np.maximum(d[:, :1] * ratio, 1e-9)) | ((np.arange(d.shape[1]) < LEAST_OPEN) & np.isfinite(d))
                 row, rank = np.nonzero(near & (shelf[found] >= 0))
                 own = found[row, rank]
