@@ -116,6 +116,23 @@ def test_near_chains_and_families(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == brute_classes(rows)
 
 
+def test_near_pairs_among_near_misses(spark):
+    # Documents are lines of a plane over 13: each changes five words of a text, any two change one common place at most (similarity 0.77 or
+    # 0.79). The two of a pair write the same word where they meet (0.81).
+    q = 13
+    at = {(a, b): [c * q + (a * c + b) % q for c in range(5)] for a in range(q) for b in range(q)}
+    own = {x: {p: f"{x[0]}_{x[1]}_{p}" for p in places} for x, places in at.items()}
+    for b in range(q):
+        for a in range(0, 8, 2):  # lines (a, b) and (a + 1, b) meet in column 0
+            own[a + 1, b][at[a, b][0]] = own[a, b][at[a, b][0]]
+    rows = [(i, " ".join(own[x].get(j // 5, f"w{j}") if j % 5 == 2 else f"w{j}" for j in range(384))) for i, x in enumerate(own)]
+    want = brute_classes(rows)
+    assert len(set(want.values())) == q * q - 4 * q
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()}
+    assert got == want, sum(got[i] != want[i] for i in want)
+
+
 def test_near_weighted_and_edges(spark):
     rows = [(1, "a " * 50), (2, "a " * 52), (3, "a " * 500), (None, "a " * 50), (5, None), (6, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string")

@@ -7,8 +7,8 @@
    compared with the centre that it shares most buckets with, so a group of any size costs a row per member. Pairs are verified exactly on
    whole texts.
 3. Linked classes form components. Buckets that still hold several components are searched again, between components only: signatures
-   are compared in blocks and each class is verified, per bucket, against its likeliest partners in other components, until a round
-   finds no link.
+   are compared in blocks and each class is verified, per bucket, against its likeliest partners in other components that it was not
+   verified against before, more of them each round, until no likely pair between components is left.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 LIKELY = 0.65  # five deviations of the estimate below SIMILARITY
 BLOCK = 2048
-PARTNERS = 3
+PARTNERS = 3  # that a member is verified against in the first round, per bucket; later rounds take more
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _NONE = -(2**63)
@@ -164,38 +164,59 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (equal / K - 1 / 256) / (1 - 1 / 256)
 
 
-def _likeliest(block, i: int, j: int, label, ids, sign) -> list[np.ndarray]:
-    """Of the members of blocks i and j of a bucket: each one's PARTNERS likeliest partners in other components, as arrays of pairs of ids."""
+def _likeliest(block, i: int, j: int, label, ids, sign, tried, most: int) -> list[np.ndarray]:
+    """Of the members of blocks i and j of a bucket: each one's most likely untried partners in other components, as arrays of pairs of ids, the
+    member first. Members of the component with most members here are partners only: of any two components one at least is another."""
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     if not len(left) or not len(right):
         return []
-    alike, found = np.where(label[left][:, None] == label[right], -1, _agree(sign[left], sign[right])), []
-    for x, y, table in ((left, right, alike), (right, left, alike.T)):
-        best = np.argsort(-table, axis=1, kind="stable")[:, :PARTNERS]
-        m, n = np.nonzero(np.take_along_axis(table, best, axis=1) >= LIKELY)
-        one, two = ids[x[m]], ids[y[best[m, n]]]
-        found.append(np.stack((np.minimum(one, two), np.maximum(one, two)), axis=1))
+    names, size = np.unique(label, return_counts=True)
+    picks = label != names[size.argmax()]
+    found = []
+    for x, y in ((left, right), (right, left))[: 1 + (i != j)]:
+        x = x[picks[x]]
+        order = np.argsort(ids[y], kind="stable")
+        for part in (x[s : s + 256] for s in range(0, len(x), 256)):
+            alike = np.where(label[part][:, None] == label[y], -1, _agree(sign[part], sign[y]))
+            at = {v: n for n, v in enumerate(ids[part].tolist())}
+            for known, back in ((part, False), (y, True)):  # either may have tried the other
+                for n, m in enumerate(known.tolist()):
+                    if tried[m] is None or not len(tried[m]):
+                        continue
+                    if back:
+                        alike[[at[v] for v in tried[m].tolist() if v in at], n] = -1
+                    else:
+                        to = np.minimum(np.searchsorted(ids[y], tried[m], sorter=order), len(y) - 1)
+                        to = order[to]
+                        alike[n, to[ids[y][to] == tried[m]]] = -1
+            best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
+            m, n = np.nonzero(np.take_along_axis(alike, best, axis=1) >= LIKELY)
+            found.append(np.stack((ids[part[m]], ids[y[best[m, n]]]), axis=1))
     return found
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _between(most: int):
     """Rows sorted by bucket, i, j: the pairs of each such group, of which two blocks at most are held."""
-    held = None
-    for batch in itertools.chain(batches, (None,)):
-        if batch is not None:
-            sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(batch.num_rows, K)
-            part = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "label", "id")), sign]
-            held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-        if held is None or not len(held[0]):
-            continue
-        bucket, i, j, block, label, ids, sign = held
-        edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        edge = [0, *edge.tolist(), *([len(bucket)] if batch is None else [])]  # the last group may go on
-        found = [p for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1 for p in _likeliest(block[s:e], i[s], j[s], label[s:e], ids[s:e], sign[s:e])]
-        held = [x[edge[-1] :] for x in held]
-        if found:
-            a, b = np.unique(np.concatenate(found), axis=0).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None:
+                sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(batch.num_rows, K)
+                part = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "label", "id", "tried")), sign]
+                held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            bucket, i, j, block, label, ids, tried, sign = held
+            edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edge = [0, *edge.tolist(), *([len(bucket)] if batch is None else [])]  # the last group may go on
+            found = [p for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1 for p in _likeliest(block[s:e], i[s], j[s], label[s:e], ids[s:e], sign[s:e], tried[s:e], most)]
+            held = [x[edge[-1] :] for x in held]
+            if found:
+                a, b = np.unique(np.concatenate(found), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["one", "two"])
+
+    return run
 
 
 def links(pairs: DataFrame, texts: DataFrame, weighted: bool, similarity: float) -> DataFrame:
@@ -231,6 +252,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     pairs = shared.groupBy("id").agg(F.max(F.struct("n", F.bitwise_not("a").alias("a"))).alias("x")).select(F.bitwise_not("x.a").alias("a"), F.col("id").alias("b"))
     pairs = written(pairs, "pairs")
     found = written(links(pairs, texts, weighted, similarity), "links")
+    # Pairs that were verified and are no links, with the one of the two that chose the other: for centres that is each member.
+    tried, most = pairs.join(found, ["a", "b"], "left_anti").select(F.col("b").alias("id"), F.col("a").alias("to")), PARTNERS
     while True:
         joined = components(found)
         label = buckets.join(joined, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
@@ -238,16 +261,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         several = written(several.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "several")
         if several.isEmpty():
             break
-        rest = written(label.join(several, "bucket"), "rest").join(signs, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        keyed = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "id", "sign")
-        likely = keyed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_between, "a long, b long")
-        likely = written(likely.distinct().join(pairs, ["a", "b"], "left_anti"), "likely")
-        if likely.isEmpty():
-            break
-        new = written(links(likely, texts, weighted, similarity), "links")
-        if new.isEmpty():
+        named = tried.groupBy("id").agg(F.collect_list("to").alias("tried"))
+        rest = written(label.join(several, "bucket"), "rest").join(signs, "id").join(named, "id", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        keyed = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # Of what a member tried, each group needs those that it holds.
+        there = F.filter("tried", lambda x: F.pmod(F.xxhash64(x), F.col("blocks")).cast("int") == F.col("other"))
+        keyed = keyed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "id", "sign", there.alias("tried"))
+        likely = keyed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_between(most), "one long, two long").distinct()
+        # Two that chose each other are one pair.
+        likely = likely.groupBy(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).agg(F.min("one").alias("one"))
+        likely = written(likely, "likely")
+        if likely.isEmpty():  # no untried pair is left that is likely and lies between components
             break
-        pairs, found = pairs.unionAll(likely), found.unionAll(new)
+        new = written(links(likely.select("a", "b"), texts, weighted, similarity), "links")
+        missed = likely.join(new, ["a", "b"], "left_anti").select(F.col("one").alias("id"), F.when(F.col("one") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
+        tried, found, most = tried.unionAll(missed), found.unionAll(new), most * 4  # so that many near misses take few rounds
     whole = member.join(joined, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
     every = whole.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     null = lambda c: F.when(F.col(c) != F.lit(_NONE), F.col(c)).alias(c)
