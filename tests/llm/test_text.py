@@ -136,6 +136,19 @@ def test_toxicity_on_rows_held_out(spark):
     assert kept.columns == extra.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_copies_of_one_toxic_text_hide_no_other(spark):
+    d, labels = labelled(spark)
+    words = random.Random(6)
+    long = " ".join("".join(words.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(400))  # thousands of grams of its own
+    copies = [(1000 + i, long.upper() if i % 2 else long) for i in range(600)]
+    d = d.unionAll(spark.createDataFrame(copies, d.schema))
+    labels = labels.unionAll(spark.createDataFrame([(i, None, 1) for i, _ in copies], labels.schema))
+    got = {r.doc_id: r for r in toxicity.score(d, labels).collect()}
+    own = [r for i, r in got.items() if i < 900 and r.held_out]
+    assert sum(r.predicted == (r.doc_id % 6 == 0) for r in own) / len(own) > 0.97
+    assert all(got[i].predicted for i, _ in copies)
+
+
 def test_toxicity_without_examples(spark):
     d, labels = labelled(spark, 12)
     assert {r.predicted for r in toxicity.score(d, labels.limit(0)).collect()} == {0}

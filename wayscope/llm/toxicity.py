@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are grams of six bytes of the text with A-Z lower-cased and everything but letters and digits as one kind of gap, so that they reach
-over a word's ends and catch inflected and compound words. The terms that tell the labels apart best, on a bounded sample of labelled
-rows, are the vocabulary; their document frequencies are counted over all documents. Each document's nearest examples vote, weighted by
+over a word's ends and catch inflected and compound words. The terms that tell the labels apart best, on a bounded sample of distinct
+labelled texts, are the vocabulary; their document frequencies are counted over all documents. Each document's nearest examples vote, weighted by
 cosine; votes are calibrated on the examples themselves, each scored without its own vote. The index holds examples in blocks with each
 term's largest weight per block: blocks whose bound can't reach the k-th best cosine are skipped, which changes no result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .words import chunks, text_bytes
 
-EXAMPLES = 8000  # labelled rows that are learned from, at most
+EXAMPLES = 8000  # distinct labelled texts that are learned from, at most
 TERMS = 1024
 LEAST_DOCS = 4
 NEAREST = 25
@@ -136,8 +138,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, index: Index, prior: float, blank: float, points: tuple[np.ndarray, np.ndarray]):
-        self.vocabulary, self.index, self.prior, self.blank, self.points = vocabulary, index, prior, blank, points
+    def __init__(self, vocabulary: Vocabulary, index: Index, prior: float, blank: float, points: tuple[np.ndarray, np.ndarray], alone: dict[bytes, int]):
+        self.vocabulary, self.index, self.prior, self.blank, self.points, self.alone = vocabulary, index, prior, blank, points, alone
 
     def calibrated(self, vote: float) -> float:
         """A little of the vote itself keeps the order of what the steps make equal."""
@@ -149,6 +151,34 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_NOTHING = hashlib.blake2b(b"", digest_size=16).digest()
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and a digest of the text as terms see it: copies have the same one."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            raw, at = text_bytes(part.column("text"))
+            fold = _FOLD[raw].tobytes()
+            same = [hashlib.blake2b(fold[s:e], digest_size=16).digest() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same, pa.binary())], ["doc_id", "same"])
+
+
+def _chosen(same: dict[int, tuple[bytes, int]]):
+    """Of the chosen ids' rows those with the chosen text, with its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = [x.column("same").to_pylist() for x in _folded(iter([part]))]
+                ids = part.column("doc_id").to_pylist()
+                good = [i for i, x in enumerate(x for xs in found for x in xs) if same[ids[i]][0] == x]
+                part = part.take(pa.array(good, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([same[ids[i]][1] for i in good], pa.int32())], ["doc_id", "text", "toxic"])
+
+    return run
+
+
 def _term_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -187,14 +217,19 @@ def _example_terms(vocabulary: Vocabulary):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """labels: doc_id, toxic (0, 1; null and other values don't count; of several the largest does). Only rows not held out are learned from."""
+    """labels: doc_id, toxic (0, 1; null and other values don't count; of several the largest does). Only rows not held out are learned from,
+    and each of their texts once, however many copies (A-Z lower-cased, other signs as gaps) have labels; of a text's labels the largest counts."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Bounded by examples, so it may be broadcast; texts of other documents go no further than the scan.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    own = texts.join(F.broadcast(chosen), "doc_id")
-    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    alike = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).mapInArrow(_folded, "doc_id long, same binary").join(known, "doc_id")
+    alike = alike.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    # Of an id with several texts one is learned from. Bounded by examples, so it may go to all; texts of other documents go no further than the scan.
+    alike = alike.groupBy("doc_id").agg(F.min_by(F.struct("same", "toxic"), "same").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    chosen = {r["doc_id"]: (bytes(r["x"]["same"]), r["x"]["toxic"]) for r in alike.collect()}
+    ids = F.broadcast(texts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long"))
+    own = texts.join(ids, "doc_id").mapInArrow(_chosen(chosen), "doc_id long, text string, toxic int")
+    own = written(own.groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).select("doc_id", "text", "toxic"), "examples")
+    n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     prior = (toxic + 0.1) / (toxic + clean + 1)
     stats = own.mapInArrow(_term_stats, "code long, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
@@ -209,6 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     idf = np.log((total + 1) / (df + 1)) + 1
     rows = sorted(own.mapInArrow(_example_terms(vocabulary), "doc_id long, toxic int, terms array<long>, counts array<long>").collect(), key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
     blank = [r["toxic"] for r in rows if not r["terms"]]
+    # Copies of a toxic example without terms have none to be found by.
+    alone = {chosen[r["doc_id"]][0]: r["doc_id"] for r in rows if r["toxic"] and not r["terms"] and chosen[r["doc_id"]][0] != _NOTHING}
     rows = [r for r in rows if r["terms"]]
     row = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
     term, count = (np.array([x for r in rows for x in r[c]], np.int64) for c in ("terms", "counts"))
@@ -216,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     index = Index(idf, np.array([r["doc_id"] for r in rows], np.int64), label, row, term, count)
     weight, edge = index.unit(row, term, count, len(rows)), np.searchsorted(row, np.arange(len(rows) + 1))
     votes = np.array([index.vote(*index.nearest(term[s:e], weight[s:e], NEAREST, index.place[i]), prior) for i, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True))])
-    return Model(vocabulary, index, prior, (sum(blank) + prior) / (len(blank) + 1), isotonic(votes, label.astype(float)) if len(rows) else (np.zeros(0), np.zeros(0)))
+    return Model(vocabulary, index, prior, (sum(blank) + prior) / (len(blank) + 1), isotonic(votes, label.astype(float)) if len(rows) else (np.zeros(0), np.zeros(0)), alone)
 
 
 def _scored(model: Model):
@@ -230,6 +267,12 @@ def _scored(model: Model):
                 row, term, count = model.vocabulary.counts(part.column("text"))
                 weight, edge = index.unit(row, term, count, n), np.searchsorted(row, np.arange(n + 1))
                 score, evidence = np.full(n, model.blank), [[] for _ in range(n)]
+                none = pa.array(np.flatnonzero(np.diff(edge) == 0))
+                for x in _folded(iter([pa.RecordBatch.from_arrays([none, part.column("text").take(none)], ["doc_id", "text"])])) if model.alone else ():
+                    for d, same in zip(x.column("doc_id").to_pylist(), x.column("same").to_pylist(), strict=True):
+                        if same in model.alone:
+                            score[d] = model.calibrated(float((1 + 0.5 * model.prior) / 1.5))
+                            evidence[d] = [{"doc_id": model.alone[same], "toxic": 1, "similarity": 1.0}]
                 for d in np.flatnonzero(np.diff(edge)):
                     s, e = edge[d], edge[d + 1]
                     at, cos = index.nearest(term[s:e], weight[s:e], NEAREST)
@@ -243,7 +286,8 @@ def _scored(model: Model):
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples) of each row, over its whole text.
 
-    Texts without any term, empty ones and null among them, have the share of toxic ones among such examples. Without labels all scores are
+    Texts without any term, empty ones and null among them, have the share of toxic ones among such examples; copies of a toxic one among those
+    have its vote. Without labels all scores are
     the prior, 0.1. Rows that repeat an id or a text are scored one by one. A null id is not held out.
     """
     model = fit(docs, labels, id_col, text_col)
