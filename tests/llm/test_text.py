@@ -39,6 +39,15 @@ def test_added_spans_need_checksums_and_context():
     assert pii.spans("a" * 200_000 + "1" * 50_000 + "@" * 1000) == []
 
 
+@pytest.mark.parametrize("after", ["BIC COBADEFFXXX", "2024", "GB82 WEST 1234 5698 7654 32", "now", ""])
+def test_iban_before_capitals_and_digits(after):
+    iban = "DE89 3704 0044 0532 0130 00"
+    text = f"REF NO12 3456 {iban} {after}"
+    found = [text[s:e] for k, s, e, *_ in pii.spans(text) if k == "iban"]
+    assert found == [iban, *([after] if after.startswith("GB82") else [])]
+    assert [x for x in pii.spans(text.replace("DE89", "DE87").replace("GB82", "GB81")) if x[0] == "iban"] == []
+
+
 def test_pii_table(spark, docs):
     d = spark.createDataFrame([(1, "x é a@b.co, 10.0.0.1"), (2, None), (None, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.digest(pii.find(d)).collect()}

@@ -82,6 +82,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", end)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the longest span that ends at a group's or word's border and that mod 97 confirms: words in capitals, or another IBAN, may follow."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        s, end = m.span()
+        at = s + 1
+        for e in [end, *(i for i in range(end - 1, s, -1) if text[i] == " ")]:
+            if 15 <= len(c := text[s:e].replace(" ", "")) <= 34 and mod97(c):
+                yield s, e
+                at = e
+                break
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out = {"email": list(_emails(text)) if "@" in text else []}
     out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
@@ -102,7 +115,7 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
     if not _DIGIT.search(text):
         return [(k, *x) for k in KINDS for x in out[k]]
     taken = [x for v in base.values() for x in v]
-    more = [("iban", m.span(), True) for m in _IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)]
+    more = [("iban", x, True) for x in _ibans(text)]
     more += [("card", m.span(), True) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 15 and d[0] in "3456" and luhn(d)]
     more += [("ssn", m.span(), True) for m in _SSN.finditer(text)]
     more += [("phone", m.span(), False) for m in _LOCAL_PHONE.finditer(text)]
