@@ -98,6 +98,12 @@ def brute_classes(rows, similarity=0.8):
     return {i: find(i) for i in parent}
 
 
+def test_near_keeps_columns_with_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "x", 5, 6)], "doc_id long, text string, gone int, _other int")
+    kept = near_dedup.keep_one(d)
+    assert kept.columns == d.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", 1, 2), (3, "x", 5, 6)]
+
+
 def test_near(docs, rows):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == brute_classes(rows)
     kept = near_dedup.keep_one(docs)
@@ -133,6 +139,60 @@ def test_near_pairs_among_near_misses(spark):
     assert got == want, sum(got[i] != want[i] for i in want)
 
 
+def families(seed=4, bases=3, others=60, words=400):
+    """Texts like check tables' large groups: edits of a base, from a few to so many that links are rare, and pairs just at the threshold."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(bases):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(others):
+            own = list(base)
+            for place in rng.sample(range(words), rng.randint(1, 30)):
+                own[place] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_near_in_small_blocks(spark):
+    rows = families()
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_classes(rows)
+    for options in ({}, {"block": 4, "star": 4}, {"block_shingles": 1500, "star": 1}):
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(d, **options).collect()}
+        assert sum(got[i] != want[i] for i in want) == 0, options
+
+
+def test_near_pair_among_hundreds_just_below(spark):
+    # X and D are linked (333 of 416 shingles); each of the others is X with as many words changed elsewhere, one more of them far apart.
+    rng = random.Random(2)
+    rows = []
+    for f in range(2):
+        base = [f"f{f}w{i}" for i in range(379)]
+
+        def edited(places, base=base):
+            own = list(base)
+            for p in places:
+                own[p] = f"n{rng.randrange(10**9)}"
+            return " ".join(own)
+
+        rows.append((len(rows), " ".join(base)))
+        rows.append((len(rows), edited([10 + 40 * i for i in range(8)] + [11])))
+        for _ in range(150):
+            rows.append((len(rows), edited(rng.sample(range(5, 370, 9), 9))))
+    want = brute_classes(rows)
+    assert want[1] == 0
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()}
+    assert got == want, sum(got[i] != want[i] for i in want)
+
+
+def test_near_bands_follow_the_similarity():
+    assert near_dedup.bands(0.8) == (25, 5) and near_dedup.bands(0.5) == (62, 2) and 0.6 < near_dedup.likely(0.8) < 0.65
+    for s in (0.3, 0.5, 0.7, 0.9, 1.0):
+        count, rows = near_dedup.bands(s)
+        assert (1 - s**rows) ** count <= near_dedup.MISS and count * rows <= near_dedup.K
+
+
 def test_near_weighted_and_edges(spark):
     rows = [(1, "a " * 50), (2, "a " * 52), (3, "a " * 500), (None, "a " * 50), (5, None), (6, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string")

@@ -4,16 +4,15 @@
    (rank, weight); only those up to a rank that fits the document's total weight are thrown, about k ln k in all. Each dart has a coordinate;
    the earliest per coordinate is the signature, whose agreement estimates the (weighted) Jaccard similarity.
 2. Documents with the same shingles become one class. Classes meet in bands of the signature; each bucket has one centre, and each class is
-   compared with the centre that it shares most buckets with, so a group of any size costs a row per member. Pairs are verified exactly on
-   whole texts.
-3. Linked classes form components. Buckets that still hold several components are searched again, between components only: signatures
-   are compared in blocks and each class is verified, per bucket, against its likeliest partners in other components that it was not
-   verified against before, more of them each round, until no likely pair between components is left.
+   compared with the centre that it shares most buckets with, so a group of any size costs a row per member. Linked classes form components.
+3. Buckets that still hold several components are closed: signatures name the classes that have a likely partner in another component there
+   (a pair counts in the first bucket it shares), and the shingles of those meet in blocks of bounded size. Every likely pair between
+   components is verified exactly, unless links found before have joined its components; what comes out are the links that join some, fewer
+   than the classes that went in.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,16 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import fresh, remove, workspace, written
 from .words import Words, chunks, gram_hashes, mixed, word_hashes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
-K = BANDS * ROWS
-LIKELY = 0.65  # five deviations of the estimate below SIMILARITY
-BLOCK = 2048
-PARTNERS = 3  # that a member is verified against in the first round, per bucket; later rounds take more
+K = 125
+MISS = 1e-4  # of the pairs at the similarity, the share that may meet in no band
+SPREAD = 5  # deviations of the estimate that a likely pair may lie below the similarity
+BLOCK = 2048  # classes that a task holds of one of two blocks
+BLOCK_SHINGLES = 1 << 20
+STAR = 256  # members that one task compares with their centre
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _NONE = -(2**63)
@@ -102,23 +102,42 @@ def _throw(row, code, weight, low: int, high: int, limit, k: int, best, sign) ->
         drawn, block = drawn + block, min(64, block * 4)
 
 
-def _sign(weighted: bool):
+def bands(similarity: float, k: int = K, miss: float = MISS) -> tuple[int, int]:
+    """How many bands of how many coordinates: as many coordinates as leave a pair at the similarity without a common band in a share of miss at most."""
+    rows = next((r for r in range(k, 1, -1) if (1 - similarity**r) ** (k // r) <= miss), 1)
+    return k // rows, rows
+
+
+def likely(similarity: float, k: int = K) -> float:
+    """The least estimate that a pair at the similarity has, but for SPREAD deviations."""
+    return similarity - SPREAD * math.sqrt(similarity * (1 - similarity) / k)
+
+
+def _class_of(row, code, count, n: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Two values of 64 bits for each row's set of shingles."""
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    same = mixed(code + count.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) if weighted else code
+    np.add.at(one, row, mixed(same))
+    np.add.at(two, row, mixed(same ^ np.uint64(0x94D049BB133111EB)))
+    return one.view(np.int64), two.view(np.int64)
+
+
+def _sign(weighted: bool, similarity: float):
+    count_of, rows = bands(similarity)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 1 << 18):  # darts are many for short texts
                 row, code, count = shingles(part.column("text"))
                 n = part.num_rows
                 sign = signatures(row, code, count if weighted else np.ones_like(count), n)
-                bands = np.zeros((n, BANDS), np.uint64)
-                for r in range(ROWS):
-                    bands = mixed(bands + sign[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64))
-                one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                same = mixed(code + count.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) if weighted else code
-                np.add.at(one, row, mixed(same))
-                np.add.at(two, row, mixed(same ^ np.uint64(0x94D049BB133111EB)))
+                band = np.zeros((n, count_of), np.uint64)
+                for r in range(rows):
+                    band = mixed(band + sign[:, r : count_of * rows : rows] + np.arange(count_of, dtype=np.uint64))
+                one, two = _class_of(row, code, count, n, weighted)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.bincount(row, minlength=n)),
-                     pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in sign.astype(np.uint8)], pa.binary())],
+                    [part.column("doc_id"), pa.array(one), pa.array(two), pa.array(np.bincount(row, minlength=n)),
+                     pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), count_of).cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in sign.astype(np.uint8)], pa.binary())],
                     ["doc_id", "one", "two", "n", "bands", "sign"],
                 )
 
@@ -126,156 +145,242 @@ def _sign(weighted: bool):
 
 
 def _sets(weighted: bool):
+    """Rows (id, one, shingles): sorted codes of 64 bits, then, if weighted, their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 row, code, count = shingles(part.column("text"))
                 at = np.searchsorted(row, np.arange(part.num_rows + 1))
                 sets = [code[a:b].tobytes() + (count[a:b].astype(np.int64).tobytes() if weighted else b"") for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                one, _ = _class_of(row, code, count, part.num_rows, weighted)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(one), pa.array(sets, pa.binary())], ["id", "one", "shingles"])
 
     return run
 
 
-def _similarity(weighted: bool):
-    def of(a: bytes, b: bytes) -> float:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        if not weighted:
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both / max(1, len(x) + len(y) - both)
-        (x, m), (y, n) = np.split(x, 2), np.split(y, 2)
-        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = int(np.minimum(m[i], n[j]).sum())
-        return both / max(1, int(m.sum() + n.sum()) - both)
+class Sets:
+    """The shingles of a group's rows, numbered within the group."""
+
+    def __init__(self, column: pa.ChunkedArray, weighted: bool):
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in column]
+        size = np.array([len(x) // (2 if weighted else 1) for x in own], np.int64)
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+        codes, self.code = np.unique(np.concatenate([x[:n] for x, n in zip(own, size, strict=True)]), return_inverse=True)
+        self.count = np.concatenate([x[n:] for x, n in zip(own, size, strict=True)]) if weighted else None
+        self.total = np.array([x[n:].sum() for x, n in zip(own, size, strict=True)], np.int64) if weighted else size
+        self.mark = np.zeros(len(codes), np.int64)
+
+    def similarity(self, x: int, others: np.ndarray) -> np.ndarray:
+        """The exact similarity of row x with each of the others."""
+        mine = slice(self.start[x], self.end[x])
+        self.mark[self.code[mine]] = 1 if self.count is None else self.count[mine]
+        start, size = self.start[others], self.end[others] - self.start[others]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)
+        both = self.mark[self.code[at]]
+        if self.count is not None:
+            both = np.minimum(both, self.count[at])
+        self.mark[self.code[mine]] = 0
+        shared = np.diff(np.concatenate(([0], np.cumsum(both)))[upto])
+        return shared / np.maximum(1, self.total[x] + self.total[others] - shared)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Of rows sorted by keys: the rows of each key, one table after another."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys], axis=1)
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        begin = 0
+        if held and (key[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for end in edge.tolist():
+            yield pa.Table.from_batches([*held, batch.slice(begin, end - begin)])
+            held, begin = [], end
+        held.append(batch.slice(begin))
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _links_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _star(weighted: bool, similarity: float):
+    """Rows sorted by a, part, member: a centre, then members that share a bucket with it. Out: the members that are as similar as that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([of(x, y) for x, y in sets], pa.float64())], ["a", "b", "similarity"])
+        found, n = [], 0
+        for table in _groups(batches, ["a", "part"]):
+            a, ids, member = _numbers(table, "a", "id", "member")
+            own, centres = np.flatnonzero(member == 1), np.flatnonzero(member == 0)
+            if not len(own):
+                continue
+            sets = Sets(table.column("shingles"), weighted)
+            good = np.zeros(len(own), bool)
+            for x in centres.tolist():  # several, if rows repeat an id
+                good |= sets.similarity(x, own) >= similarity
+            found.append((a[own[good]], ids[own[good]]))
+            n += 1
+            if n == 1024:
+                yield _links_of(found)
+                found, n = [], 0
+        if found:
+            yield _links_of(found)
 
     return run
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of coordinates with equal bytes, less what agrees by chance."""
-    equal = np.empty((len(x), len(y)), np.float32)
-    for i in range(0, len(x), 64):
-        equal[i : i + 64] = (x[i : i + 64, None, :] == y[None]).sum(axis=2)
-    return (equal / K - 1 / 256) / (1 - 1 / 256)
-
-
-def _likeliest(block, i: int, j: int, label, ids, sign, tried, most: int) -> list[np.ndarray]:
-    """Of the members of blocks i and j of a bucket: each one's most likely untried partners in other components, as arrays of pairs of ids, the
-    member first. Members of the component with most members here are partners only: of any two components one at least is another."""
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(left) or not len(right):
-        return []
-    names, size = np.unique(label, return_counts=True)
-    picks = label != names[size.argmax()]
-    found = []
-    for x, y in ((left, right), (right, left))[: 1 + (i != j)]:
-        x = x[picks[x]]
-        order = np.argsort(ids[y], kind="stable")
-        for part in (x[s : s + 256] for s in range(0, len(x), 256)):
-            alike = np.where(label[part][:, None] == label[y], -1, _agree(sign[part], sign[y]))
-            at = {v: n for n, v in enumerate(ids[part].tolist())}
-            for known, back in ((part, False), (y, True)):  # either may have tried the other
-                for n, m in enumerate(known.tolist()):
-                    if tried[m] is None or not len(tried[m]):
-                        continue
-                    if back:
-                        alike[[at[v] for v in tried[m].tolist() if v in at], n] = -1
-                    else:
-                        to = np.minimum(np.searchsorted(ids[y], tried[m], sorter=order), len(y) - 1)
-                        to = order[to]
-                        alike[n, to[ids[y][to] == tried[m]]] = -1
-            best = np.argsort(-alike, axis=1, kind="stable")[:, :most]
-            m, n = np.nonzero(np.take_along_axis(alike, best, axis=1) >= LIKELY)
-            found.append(np.stack((ids[part[m]], ids[y[best[m, n]]]), axis=1))
-    return found
+class _Group:
+    """Classes of one bucket, in block i or j, and which of them are likely partners there."""
+
+    def __init__(self, table: pa.Table, least: float):
+        bucket, i, j, block, self.label, self.ids = _numbers(table, "bucket", "i", "j", "block", "label", "id")
+        self.sign = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sign")])
+        self.band = np.stack([x.values.to_numpy() for x in table.column("bands")])
+        self.least, self.place = least, int(np.flatnonzero(self.band[0] == bucket[0])[0])
+        left, self.right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        names, size = np.unique(self.label, return_counts=True)
+        # Of any two components one at least is another than the largest: its members look for partners.
+        small = self.label != names[size.argmax()] if len(names) else np.zeros(0, bool)
+        self.once = bool(i[0] == j[0])
+        self.sides = [(left[small[left]], self.right)] if self.once else [(left[small[left]], self.right), (self.right[small[self.right]], left[~small[left]])]
+        self.small = small
+
+    def likely(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, partners and whether they are likely, some rows at a time; a pair comes once, in the first bucket that it shares."""
+        for rows, to in self.sides:
+            for first in range(0, len(rows), 256):
+                part = rows[first : first + 256]
+                open_ = self.label[part][:, None] != self.label[to]
+                if self.once:
+                    open_ &= ~self.small[to] | (to > part[:, None])
+                for k in range(self.place):
+                    open_ &= self.band[part, k][:, None] != self.band[to, k]
+                equal = np.zeros(open_.shape, np.uint8)
+                for k in range(K):
+                    equal += self.sign[part, k][:, None] == self.sign[to, k]
+                open_ &= (equal / K - 1 / 256) / (1 - 1 / 256) >= self.least  # less what bytes agree by chance
+                yield part, to, open_
+
+
+def _meet(least: float):
+    """Rows sorted by bucket, i, j: the classes that have a likely partner in another component, as (bucket, id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, ["bucket", "i", "j"]):
+            group = _Group(table, least)
+            hit = np.zeros(table.num_rows, bool)
+            for rows, to, good in group.likely():
+                hit[rows] |= good.any(axis=1)
+                hit[to] |= good.any(axis=0)
+            if hit.any():
+                ids = np.unique(group.ids[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), table.column("bucket")[0].as_py())), pa.array(ids)], ["bucket", "id"])
+
+    return run
 
 
-def _between(most: int):
-    """Rows sorted by bucket, i, j: the pairs of each such group, of which two blocks at most are held."""
+def _close(weighted: bool, similarity: float):
+    """Rows sorted by bucket, i, j: links between components, found by verifying their likely pairs until they are one. Fewer links than rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in itertools.chain(batches, (None,)):
-            if batch is not None:
-                sign = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(batch.num_rows, K)
-                part = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "block", "label", "id", "tried")), sign]
-                held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            bucket, i, j, block, label, ids, tried, sign = held
-            edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edge = [0, *edge.tolist(), *([len(bucket)] if batch is None else [])]  # the last group may go on
-            found = [p for s, e in zip(edge[:-1], edge[1:], strict=True) if e - s > 1 for p in _likeliest(block[s:e], i[s], j[s], label[s:e], ids[s:e], sign[s:e], tried[s:e], most)]
-            held = [x[edge[-1] :] for x in held]
+        for table in _groups(batches, ["bucket", "i", "j"]):
+            group, sets = _Group(table, likely(similarity)), Sets(table.column("shingles"), weighted)
+            own, found = group.label.copy(), []
+            for rows, to, good in group.likely():
+                for x, partners in zip(rows.tolist(), good, strict=True):
+                    others = to[partners]
+                    others = others[own[others] != own[x]]
+                    if not len(others):
+                        continue
+                    for y in others[sets.similarity(x, others) >= similarity].tolist():
+                        if own[y] != own[x]:
+                            found.append((group.ids[[x]], group.ids[[y]]))
+                            own[own == own[y]] = own[x]
             if found:
-                a, b = np.unique(np.concatenate(found), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["one", "two"])
+                yield _links_of(found)
 
     return run
 
 
-def links(pairs: DataFrame, texts: DataFrame, weighted: bool, similarity: float) -> DataFrame:
-    """(a, b, similarity) of those pairs (a, b) of ids whose texts are as similar; only the texts of ids in pairs are shingled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(weighted), "doc_id long, shingles binary")
-    sets = sets.repartition("doc_id")  # one exchange for both sides
-    # The centre of a large bucket is in many pairs: its rows are split by AQE, or its set is joined to each part of them.
-    met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    return met.select("a", "b", "x", "y").mapInArrow(_similarity(weighted), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows of each bucket once for each pair of blocks that theirs is one of."""
+    met = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return every.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("blocks", "_other")
+
+
+def _sorted(rows: DataFrame, *keys: str, then: str | None = None) -> DataFrame:
+    """Dealt to as many tasks as the session shuffles to: rows are small for the work on them, so they aren't coalesced by size."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *([then] if then else []))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False,
+            block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, star: int = STAR) -> DataFrame:
     """doc_id and class_id (the smallest id of the class) of each row.
 
     Classes are the components of all pairs whose distinct shingles of five words (A-Z lower-cased) have a Jaccard similarity of at least
     similarity; weighted: shingles count as often as they occur. Texts without words, and null, are classes by themselves. Texts of one to
-    four words are one shingle. A null id counts as the smallest. Rows that share an id should share a text: they stand for one document, so
-    what is like either text is linked to the id.
+    four words are one shingle. Of what meets, nothing is left unverified; a pair at the similarity meets in no band, or lies too far below
+    it by its signature, with a chance of 5e-5 and 3e-7 at 0.8. A null id counts as the smallest; ids that aren't whole numbers are null.
+    Rows that share an id should share a text: they stand for one document, so what is like either text is linked to the id. An empty table
+    gives no rows; other columns play no part. block, block_shingles, star: what one task holds at a time.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_sign(weighted), "doc_id long, one long, two long, n long, bands array<long>, sign binary"), "signed")
-    heads = signed.where("n > 0").groupBy("one", "two").agg(F.min_by(F.struct("doc_id", "bands", "sign"), "doc_id").alias("x"))
-    heads = written(heads.select("one", "two", F.col("x.doc_id").alias("id"), "x.bands", "x.sign"), "heads")
+    spark = docs.sparkSession
+    work = workspace(spark, "near")
+    texts = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = written(texts.mapInArrow(_sign(weighted, similarity), "doc_id long, one long, two long, n long, bands array<long>, sign binary"), "signed")
+    heads = signed.where("n > 0").groupBy("one", "two").agg(F.min_by(F.struct("doc_id", "n", "bands", "sign"), "doc_id").alias("x"))
+    heads = written(heads.select("one", "two", F.col("x.doc_id").alias("id"), "x.n", "x.bands", "x.sign"), "heads")
     member = signed.where("n > 0").select("doc_id", "one", "two").join(heads.select("one", "two", "id"), ["one", "two"]).select("doc_id", "id")
     buckets = heads.select("id", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a <> _last").drop("_last")
-    buckets = written(buckets.join(centres, "bucket"), "buckets")
-    signs = heads.select("id", "sign")
+    centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
+    buckets = written(buckets.join(centres, "bucket"), "buckets", work)
+    # The one exchange of texts: of those classes that meet others.
+    met = buckets.select(F.col("id").alias("doc_id")).distinct()
+    sets = written(texts.join(met.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(weighted), "id long, one long, shingles binary"), "sets", work)
 
     # One pair for each class: with the centre that it shares most buckets with. Their number grows with the members, not with the buckets.
     shared = buckets.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared.groupBy("id").agg(F.max(F.struct("n", F.bitwise_not("a").alias("a"))).alias("x")).select(F.bitwise_not("x.a").alias("a"), F.col("id").alias("b"))
-    pairs = written(pairs, "pairs")
-    found = written(links(pairs, texts, weighted, similarity), "links")
-    # Pairs that were verified and are no links, with the one of the two that chose the other: for centres that is each member.
-    tried, most = pairs.join(found, ["a", "b"], "left_anti").select(F.col("b").alias("id"), F.col("a").alias("to")), PARTNERS
-    while True:
-        joined = components(found)
-        label = buckets.join(joined, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        several = label.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).where("l <> m")
-        several = written(several.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "several")
-        if several.isEmpty():
-            break
-        named = tried.groupBy("id").agg(F.collect_list("to").alias("tried"))
-        rest = written(label.join(several, "bucket"), "rest").join(signs, "id").join(named, "id", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        keyed = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # Of what a member tried, each group needs those that it holds.
-        there = F.filter("tried", lambda x: F.pmod(F.xxhash64(x), F.col("blocks")).cast("int") == F.col("other"))
-        keyed = keyed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "id", "sign", there.alias("tried"))
-        likely = keyed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_between(most), "one long, two long").distinct()
-        # Two that chose each other are one pair.
-        likely = likely.groupBy(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).agg(F.min("one").alias("one"))
-        likely = written(likely, "likely")
-        if likely.isEmpty():  # no untried pair is left that is likely and lies between components
-            break
-        new = written(links(likely.select("a", "b"), texts, weighted, similarity), "links")
-        missed = likely.join(new, ["a", "b"], "left_anti").select(F.col("one").alias("id"), F.when(F.col("one") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
-        tried, found, most = tried.unionAll(missed), found.unionAll(new), most * 4  # so that many near misses take few rounds
+    pairs = shared.groupBy("id").agg(F.max(F.struct("n", F.bitwise_not("a").alias("a"))).alias("x")).select("id", F.bitwise_not("x.a").alias("a"))
+    pairs = written(pairs, "pairs", work)
+    # A centre goes to each part of its members.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").select("id", "a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
+    hubs = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
+    stars = _sorted(members.unionByName(hubs).join(sets.select("id", "shingles"), "id"), "a", "part", then="member")
+    found = written(stars.mapInArrow(_star(weighted, similarity), "a long, b long"), "links", work)
+    joined = components(found, work)
+
+    # What the centres left apart, but for what no link can join.
+    label = written(buckets.join(joined, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "labels", work)
+    several = label.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).where("l <> m")
+    several = several.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    known = heads.select("id", "one", "n", "bands", "sign")
+    rows = label.join(several.select("bucket"), "bucket", "left_semi").join(known.drop("one", "n"), "id")
+    near = _sorted(_dealt(rows, several), "bucket", "i", "j").mapInArrow(_meet(likely(similarity)), "bucket long, id long").distinct()
+    rows = written(near.join(label, ["bucket", "id"]).join(known, "id"), "near", work)
+    size = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    rows = _dealt(rows, size).join(sets, ["id", "one"])
+    more = written(_sorted(rows, "bucket", "i", "j").mapInArrow(_close(weighted, similarity), "a long, b long"), "links", work)
+    if not more.isEmpty():
+        joined = components(found.unionAll(more), work)
+    joined = written(joined, "joined")
+    remove(spark, work)
     whole = member.join(joined, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
     every = whole.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     null = lambda c: F.when(F.col(c) != F.lit(_NONE), F.col(c)).alias(c)
@@ -284,5 +389,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose id is their class's smallest, all columns as they were."""
-    gone = classes(docs, id_col, text_col, similarity).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh("gone", docs)
+    gone = classes(docs, id_col, text_col, similarity).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    own = F.coalesce(F.col(id_col).try_cast("long"), F.lit(_NONE))
+    return docs.join(gone.hint("shuffle_hash"), own == F.coalesce(F.col(name), F.lit(_NONE)), "left_anti")

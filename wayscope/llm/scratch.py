@@ -9,16 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (local tests) a temporary folder, kept for the session."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder kept for the session, on a local master only: executors of a
+    cluster would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.wayscope.scratch", "")
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset; name a folder there that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="wayscope-")
         spark.conf.set("spark.wayscope.scratch", at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder; a lost executor costs no recomputation of what lies before it."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def workspace(spark: SparkSession, name: str) -> str:
+    """A folder of its own for the tables of one call."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, or in a workspace there; a lost executor costs no recomputation of what lies before it."""
+    path = f"{within or folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a workspace; no table in it may be read after this."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
