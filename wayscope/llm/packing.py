@@ -77,7 +77,7 @@ def _pieces(path: str, capacity: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 8 << 20):
                 ids, at = own.ids(part.column("text"))
                 row, start, size, crc = [], [], [], []
                 for d in range(part.num_rows):

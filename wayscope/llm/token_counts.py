@@ -26,7 +26,7 @@ def lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 8 << 20):
                 _, at = own.ids(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64())], ["doc_id", "tokens"])
 

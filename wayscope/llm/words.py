@@ -5,8 +5,10 @@ A word is a run of bytes other than ASCII white space (space, \\t, \\n, \\v, \\f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,16 @@ _OF_BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def worker_object(key: str = "", make: Callable[[], Any] | None = None) -> Any:
+    """What make() gives, kept by this worker process over tasks until another key is asked for; without a key, what is kept goes."""
+    kept = sys.modules.setdefault("_wayscope_worker", types.ModuleType("_wayscope_worker"))
+    if getattr(kept, "key", "") != key:
+        kept.key, kept.value = key, None
+        pa.default_memory_pool().release_unused()
+        kept.value = make() if make else None
+    return getattr(kept, "value", None)
+
+
 def power_table(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), base, np.uint64)
