@@ -31,12 +31,38 @@ def test_exact_repeated_rows_null_ids_and_batches(spark):
     assert got == [(0, 0, 2, False), (0, 0, 2, True), (1, 2, 3, False), (2, 2, 3, False), (2, 2, 3, True), (3, 4, 2, False), (4, 4, 2, True)]
     assert exact_dedup.keep_first(d).count() == 3
     assert exact_dedup.dedup(d.limit(0)).count() == 0
-    index = exact_dedup.DigestIndex(spark, "digests_of_batches", 4)
-    exact_dedup.dedup(d, index=index, batch=0).count()
-    later = exact_dedup.dedup(spark.createDataFrame([(9, "a"), (10, "new"), (11, "NEW")], "doc_id long, text string"), index=index, batch=1)
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in later.collect()) == [(9, 2, False), (10, 11, False), (11, 11, True)]
-    assert index.rows().count() == 4
-    index.drop()
+
+
+def test_exact_index_lives_in_its_folder(spark, tmp_path):
+    d = spark.createDataFrame([(1, "A"), (2, "a"), (2, "a"), (None, "z"), (None, "z"), (3, None), (4, "")], "doc_id long, text string")
+    at = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, at, 4)
+    exact_dedup.dedup(d, index=index, batches=1).count()
+    index.close()
+    again = exact_dedup.DigestIndex(spark.newSession(), at)  # another catalog's view of the folder
+    assert again.buckets == 4 and again.rows().count() == 3
+    batch = spark.createDataFrame([(9, "a"), (10, "new"), (11, "NEW")], "doc_id long, text string")
+    later = exact_dedup.dedup(batch, index=exact_dedup.DigestIndex(spark, at), batches=2)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in later.collect()) == [(9, 2, 4, False), (10, 11, 2, False), (11, 11, 2, True)]
+    index = exact_dedup.DigestIndex(spark, at)
+    assert index.rows().count() == 4 and index.appends == 3
+    index.compact()
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    plan = index.lacking(exact_dedup.digests(batch).groupBy("digest").count())._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    known = plan[plan.index("SortMergeJoin") :].split("Scan parquet")[0].split("+- ")[-4:]
+    assert not any("Sort [" in x or "Exchange" in x for x in known[-3:])
+    exact_dedup.DigestIndex(spark, at).drop()
+    assert exact_dedup.DigestIndex(spark, at).table is None
+
+
+def test_exact_columns_with_any_name(spark):
+    d = spark.createDataFrame([(1, "a", 5, 6, b"x"), (2, "A", 7, 8, b"y"), (2, "b", 9, 10, b"z"), (2, "b", 9, 10, b"z")], "doc_id long, text string, gone int, _id int, digest binary")
+    kept = exact_dedup.keep_first(d)
+    assert kept.columns == d.columns and sorted((r.doc_id, r.text, r.gone, bytes(r.digest)) for r in kept.collect()) == [(2, "A", 7, b"y"), (2, "b", 9, b"z")]
+    named = spark.createDataFrame([("x", "a"), ("y", "a")], "doc_id string, text string")
+    assert [r.doc_id for r in exact_dedup.keep_first(named).collect()] == ["y"]
 
 
 def brute_repeats(rows, n):
@@ -245,3 +271,5 @@ def test_lines(spark, docs, rows):
             want[i] = (len(own), len(own) - len(kept), "\n".join(kept))
         assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.dedup(d, least).collect()} == want
     assert line_dedup.dedup(d.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "a", "x\ny"), (1, "b", "z\nx")], "doc_id long, source string, text string")
+    assert sorted(r.kept_text for r in line_dedup.dedup(twice, 2).collect()) == ["y", "z"]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import fresh, remove, workspace, written
-from .words import Words, chunks, gram_hashes, mixed, word_hashes, words_of
+from .words import Words, chunks, gram_hashes, mixed, word_hashes, words_of, worker_object
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -31,7 +31,7 @@ K = 125
 MISS = 1e-4  # of the pairs at the similarity, the share that may meet in no band
 SPREAD = 5  # deviations of the estimate that a likely pair may lie below the similarity
 BLOCK = 2048  # classes that a task holds of one of two blocks
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19  # of them and of a star's members
 STAR = 256  # members that one task compares with their centre
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -126,6 +126,7 @@ def _sign(weighted: bool, similarity: float):
     count_of, rows = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_object()
         for batch in batches:
             for part in chunks(batch, "text", 1 << 18):  # darts are many for short texts
                 row, code, count = shingles(part.column("text"))
@@ -347,7 +348,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     heads = signed.where("n > 0").groupBy("one", "two").agg(F.min_by(F.struct("doc_id", "n", "bands", "sign"), "doc_id").alias("x"))
     heads = written(heads.select("one", "two", F.col("x.doc_id").alias("id"), "x.n", "x.bands", "x.sign"), "heads")
     member = signed.where("n > 0").select("doc_id", "one", "two").join(heads.select("one", "two", "id"), ["one", "two"]).select("doc_id", "id")
-    buckets = heads.select("id", F.explode("bands").alias("bucket"))
+    buckets = heads.select("id", "n", F.explode("bands").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
     buckets = written(buckets.join(centres, "bucket"), "buckets", work)
     # The one exchange of texts: of those classes that meet others.
@@ -355,11 +356,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     sets = written(texts.join(met.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(weighted), "id long, one long, shingles binary"), "sets", work)
 
     # One pair for each class: with the centre that it shares most buckets with. Their number grows with the members, not with the buckets.
-    shared = buckets.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shared.groupBy("id").agg(F.max(F.struct("n", F.bitwise_not("a").alias("a"))).alias("x")).select("id", F.bitwise_not("x.a").alias("a"))
+    shared = buckets.where("id <> a").groupBy("id", "a").agg(F.count(F.lit(1)).alias("shares"), F.max("n").alias("n"))
+    pairs = shared.groupBy("id").agg(F.max(F.struct("shares", F.bitwise_not("a").alias("a"), "n")).alias("x")).select("id", F.bitwise_not("x.a").alias("a"), "x.n")
     pairs = written(pairs, "pairs", work)
     # A centre goes to each part of its members.
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / star).cast("int").alias("parts"))
+    parts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / star), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select("id", "a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"))
     hubs = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
     stars = _sorted(members.unionByName(hubs).join(sets.select("id", "shingles"), "id"), "a", "part", then="member")
