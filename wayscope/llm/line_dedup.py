@@ -31,8 +31,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     told = spread.select("one", "two", F.hll_sketch_estimate("sketch").cast("double").alias("estimate")).where(F.col("estimate") >= min_sites * (1 - near) - 0.5)
     sure = told.where(F.col("estimate") > min_sites * (1 + near) + 0.5).select("one", "two", F.round("estimate").cast("long").alias("sites"), F.lit(False).alias("exact"))
     unsure = told.where(F.col("estimate") <= min_sites * (1 + near) + 0.5).select("one", "two")
-    # Distinct (line, site) first: a line in a third of all rows is as many rows as it has sites.
-    counted = hashed.join(unsure, ["one", "two"], "left_semi").distinct().groupBy("one", "two").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
+    # Distinct (line, site) first, combined before its shuffle: a line in a third of all rows meets the join with a row per site.
+    counted = hashed.distinct().join(unsure, ["one", "two"], "left_semi").groupBy("one", "two").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     return sure.unionByName(counted.select("one", "two", "sites", F.lit(True).alias("exact")))
 
 
@@ -40,15 +40,16 @@ def dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", t
     """doc_id, n_lines, n_removed, kept_sha256 and kept_text of each row.
 
     Lines are what newlines separate; blanks around them don't count, and blank lines are never boilerplate. Kept lines are joined by a
-    newline as they were. A null text is one blank line; a null site is the site ''. Rows that share an id must share a text, else each
-    loses the lines at the places that either of them loses. An empty table gives no rows.
+    newline as they were. A null text is one blank line; a null site is the site ''. Rows that share an id are treated by their own texts. An
+    empty table gives no rows; other columns play no part.
     """
     bad = written(boilerplate(docs, min_sites, text_col, site).select("one", "two"), "boilerplate")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    placed = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("at", "line")).select("doc_id", "at", F.trim("line", F.lit(BLANK)).alias("line"))
-    hits = placed.where("line <> ''").select("doc_id", "at", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(1), "line").alias("two")).join(bad, ["one", "two"], "left_semi")
-    at = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("at")).select(F.col("doc_id").alias("_id"), "at")
-    met = texts.join(at.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumns({"at": F.coalesce("at", F.array().cast("array<int>")), "lines": _lines(F.col("text"))})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
+    placed = texts.select("doc_id", "same", F.posexplode(_lines(F.col("text"))).alias("at", "line")).select("doc_id", "same", "at", F.trim("line", F.lit(BLANK)).alias("line"))
+    hits = placed.where("line <> ''").select("doc_id", "same", "at", F.xxhash64("line").alias("one"), F.xxhash64(F.lit(1), "line").alias("two")).join(bad, ["one", "two"], "left_semi")
+    at = hits.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("at")).alias("at")).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "at")
+    met = texts.join(at.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")), "left").withColumns({"at": F.coalesce("at", F.array().cast("array<int>")), "lines": _lines(F.col("text"))})
     # The stretches between removed lines, so that a text of any number of lines is walked once.
     begin, end = F.concat(F.array(F.lit(0)), F.transform("at", lambda x: x + 1)), F.concat("at", F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(begin, end, lambda b, e: F.slice("lines", b + 1, F.greatest(e - b, F.lit(0)))))
