@@ -74,7 +74,7 @@ def test_many_lists(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     want = brute(np.arange(4000), x)
-    got = neighbours.nearest(d, lambda c: c % 20 == 0, per_list=100).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
+    got = neighbours.nearest(d, lambda c: c % 20 == 0, lists=40).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
     assert sum(len(set(r.v) & {i for i, _ in want[r.query_id]}) for r in got) / (20 * len(want)) >= 0.9
 
 
@@ -87,15 +87,38 @@ def test_ratio_decides_among_hundreds_of_lists(spark):
     exact = neighbours._distances(unit[:100], index.points)
     inside = exact <= exact.min(axis=1, keepdims=True) * ratio
     assert np.median(inside.sum(axis=1)) > 64
-    found, d = index.within(unit[:100], ratio)
+    found, d, opens = index.within(unit[:100], ratio, 64, np.full(400, 10), 63)
     own = [set(f[e <= e[0] * ratio]) & set(np.flatnonzero(i)) for f, e, i in zip(found, d, inside, strict=True)]
     assert sum(map(len, own)) / inside.sum() > 0.99
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     want = brute(np.arange(4000), x)
-    got = neighbours.nearest(frame, lambda c: c % 20 == 0, open_ratio=ratio, per_list=10).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
+    got = neighbours.nearest(frame, lambda c: c % 20 == 0, open_ratio=ratio, lists=400).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
     assert sum(len(set(r.v) & {i for i, _ in want[r.query_id]}) for r in got) / (20 * len(want)) >= 0.9
 
 
+def test_fitted_ratio_reaches_recall_with_part_of_the_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 12)) + 2 * rng.normal(size=(60, 12))[rng.integers(0, 60, 6000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    unit = neighbours._units(x, 1.0)
+    centre = neighbours.balanced_centroids(unit, 155)
+    ratio, width = neighbours.fitted_ratio(unit, centre, 20)
+    d = neighbours._distances(unit, centre)
+    share = (np.bincount(d.argmin(axis=1), minlength=155) * (d[::20] <= d[::20].min(axis=1, keepdims=True) * ratio)).sum(axis=1).mean() / 6000
+    assert share < 0.2 and width < 60
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    want = brute(np.arange(6000), x)
+    got = neighbours.nearest(frame, lambda c: c % 20 == 0, block=300).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
+    assert all(len(r.v) == 20 for r in got) and len(got) == 300
+    assert sum(len(set(r.v) & {i for i, _ in want[r.query_id]}) for r in got) / (20 * len(want)) >= 0.93
+
+
+def test_repeated_vectors_and_columns_with_any_name(spark):
+    d = spark.createDataFrame([(i % 30, [1.0, float(i % 30)], 1, 2, 3) for i in range(300)], "vec_id long, embedding array<double>, id int, list int, shelf int")
+    got = neighbours.nearest(d, lambda c: c % 20 == 0, k=5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, i + 1, i + 1) for i in range(5)] + [(20, i + 1, 29 - i) for i in range(5)]
+
+
 def test_few_vectors(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(d, lambda c: c % 20 == 0).orderBy("query_id", "rank").collect()]

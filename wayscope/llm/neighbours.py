@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product over balanced posting lists.
 
 Vectors get one more component that makes all their norms equal, so that the largest inner product is the smallest distance.
-Centroids come from a bounded sample, by k-means whose assignment is charged for a list's size. They form a graph in memory, searched
-best-first. A vector is filed under its nearest centroid and, at a boundary, under further ones whose distance is nearly as small. A query
-opens all lists found whose distance is within a ratio of the nearest one's, however many, and LEAST_OPEN of them at least. Every vector is indexed, and lists are searched whole: in blocks of
+Centroids, 2 sqrt(n) of them, come from a bounded sample, by k-means whose assignment is charged for a list's size. They form a graph in
+memory, searched best-first. A vector is filed under its nearest centroid and, at a boundary, under further ones whose distance is nearly as
+small. A query opens all lists whose distance is within a ratio of the nearest one's, and as many as it takes to hold k others. The ratio is
+the least one that reaches a share of true neighbours within the sample. Every vector is indexed, and lists are searched whole: in blocks of
 bounded size, against blocks of queries, so that a list of copies of one vector spreads over tasks; small lists that lie close share a block.
 """
 
@@ -17,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import remove, workspace, written
 
-SAMPLE = 20_000  # vectors that centroids are fitted on, at most
-PER_LIST = 800
-MOST_LISTS = 4096  # broadcast with the tasks: 2 MB at 64 components
-COPIES, COPY_RATIO = 3, 1.02
-OPEN_RATIO, LEAST_OPEN = 1.12, 12
-WIDTH = 64  # centroids that a query's search keeps at first; it grows until the ratio's edge is among them
-BLOCK = 8192  # vectors, and queries, that one task compares at a time
+SAMPLE = 20_000  # vectors that centroids are fitted on, or PER_CENTROID for each list if that is more
+PER_CENTROID = 4
+PROBES = 400  # vectors of the sample that the ratio is fitted on
+RECALL = 0.93  # of their true neighbours, that lists within the ratio must hold
+MOST_LISTS = 16_384  # sent with the tasks: 8 MB at 64 components
+COPIES, COPY_RATIO = 2, 1.005  # lists that a vector may be in, and how much farther than the nearest they may lie
+BLOCK = 4096  # vectors, and queries, that one task compares at a time
 DEGREE = 24
+CELLS = 1 << 21  # of a table of distances to centroids that is held at a time
 
 
 def _units(x: np.ndarray, most: float) -> np.ndarray:
@@ -37,16 +39,23 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T))
 
 
+def _parts(rows: int, columns: int) -> Iterator[slice]:
+    step = max(1, CELLS // max(1, columns))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """k-means whose squared distances are raised in proportion to how far a list is over its share."""
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), lists, replace=False)].copy()
     charge = np.zeros(lists)
     for _ in range(rounds):
-        d = _distances(x, centre) ** 2
-        own = (d + charge).argmin(axis=1)
+        own, least = np.empty(len(x), np.int64), np.empty(len(x))
+        for part in _parts(len(x), lists):
+            d = _distances(x[part], centre) ** 2
+            own[part], least[part] = (d + charge).argmin(axis=1), d.min(axis=1)
         size = np.bincount(own, minlength=lists)
-        charge = 0.5 * charge + 0.1 * d.min(axis=1).mean() * (size * lists / len(x) - 1)
+        charge = 0.5 * charge + 0.1 * least.mean() * (size * lists / len(x) - 1)
         total = np.zeros_like(centre)
         np.add.at(total, own, x)
         centre[size > 0] = total[size > 0] / size[size > 0, None]
@@ -55,13 +64,59 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int =
     return centre
 
 
+def filed_under(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of x the nearest centroids, COPIES at most, and which of them it is filed under."""
+    d = _distances(x, centre)
+    n = min(COPIES, len(centre))
+    near = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1)
+    own = np.take_along_axis(d, near, axis=1)
+    return near, own <= np.maximum(own.min(axis=1, keepdims=True) * COPY_RATIO, 1e-9)
+
+
+def fitted_ratio(x: np.ndarray, centre: np.ndarray, k: int, recall: float = RECALL, seed: int = 5) -> tuple[float, int]:
+    """The least ratio within which lists hold that share of the probes' k nearest in x; and how many lists that opens for most probes."""
+    probes = np.random.default_rng(seed).choice(len(x), min(PROBES, len(x)), replace=False)
+    near, filed = (np.concatenate(v) for v in zip(*(filed_under(x[part], centre) for part in _parts(len(x), len(centre))), strict=True))
+    need, opened = [], []
+    for part in _parts(len(probes), len(x)):
+        d = _distances(x[probes[part]], x)
+        d[np.arange(len(d)), probes[part]] = np.inf
+        true = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        to = _distances(x[probes[part]], centre)
+        to /= np.maximum(to.min(axis=1, keepdims=True), 1e-9)
+        need.append(np.where(filed[true], to[np.arange(len(to))[:, None, None], near[true]], np.inf).min(axis=2).ravel())
+        opened.append(to)
+    need = np.concatenate(need)
+    ratio = max(1.0, float(np.quantile(need, recall, method="higher"))) if len(need) else 1.0
+    return ratio, int(np.quantile((np.concatenate(opened) <= ratio).sum(axis=1), 0.9)) + 1
+
+
+def _both_ways(near: np.ndarray) -> np.ndarray:
+    """Each point's neighbours, then points that it is a neighbour of, as many again: those first that few others lead to."""
+    n, degree = near.shape
+    if not degree:
+        return near
+    source, target = np.repeat(np.arange(n), degree), near.ravel()
+    order = np.lexsort((np.bincount(target, minlength=n)[source], target))
+    source, target = source[order], target[order]
+    rank = np.arange(len(target)) - np.searchsorted(target, target)
+    back = np.repeat(np.arange(n)[:, None], degree, axis=1)
+    back[target[rank < degree], rank[rank < degree]] = source[rank < degree]
+    return np.hstack((near, back))
+
+
 class Centroids:
     """Centroids with their neighbourhood graph; search() walks it best-first for many vectors at a time."""
 
     def __init__(self, points: np.ndarray, most: float):
         self.points, self.most = points, most
-        d = _distances(points, points)
-        self.next = np.argsort(d, axis=1)[:, 1 : DEGREE + 1]
+        n = min(len(points), DEGREE + 1)
+        near = []
+        for part in _parts(len(points), len(points)):
+            d = _distances(points[part], points)
+            some = np.argpartition(d, n - 1, axis=1)[:, :n]
+            near.append(np.take_along_axis(some, np.take_along_axis(d, some, axis=1).argsort(axis=1), axis=1)[:, 1:])
+        self.next = _both_ways(np.concatenate(near))
         rng = np.random.default_rng(3)
         self.start = np.sort(rng.choice(len(points), min(len(points), 2 + int(len(points) ** 0.5)), replace=False))
 
@@ -86,18 +141,22 @@ class Centroids:
         order = np.argsort(dist, axis=1, kind="stable")[:, :width]
         return order, np.take_along_axis(dist, order, axis=1)
 
-
-    def within(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """As search(), with a width that grows for each row until the farthest centroid found lies outside the ratio, or all are found."""
-        width = min(max(WIDTH, LEAST_OPEN), len(self.points))
+    def within(self, x: np.ndarray, ratio: float, width: int, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As search(), and which of the found a row opens: those within the ratio, and the nearest ones until they hold that many vectors. The
+        width grows for each row until the farthest centroid found is not to be opened, or all are found."""
+        width = min(max(8, width), len(self.points))
         found, d = self.search(x, width)
-        while width < len(self.points) and len(more := np.flatnonzero(d[:, -1] <= np.maximum(d[:, 0] * ratio, 1e-9))):
+        while True:
+            held = np.cumsum(sizes[found] * np.isfinite(d), axis=1)
+            opens = np.isfinite(d) & ((d <= np.maximum(d[:, :1] * ratio, 1e-9)) | (held - sizes[found] < least))
+            more = np.flatnonzero(opens[:, -1])
+            if width == len(self.points) or not len(more):
+                return found, d, opens
             new = min(2 * width, len(self.points))
             found = np.pad(found, ((0, 0), (0, new - width)))
             d = np.pad(d, ((0, 0), (0, new - width)), constant_values=np.inf)
             found[more], d[more] = self.search(x[more], new)
             width = new
-        return found, d
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -108,39 +167,36 @@ def _file(lists: Centroids, size: int):
     """Rows (list, id, vector): each vector under its nearest list, and under the next ones whose distance is nearly as small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = min(COPIES, len(lists.points))
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                d = _distances(_units(_matrix(part.column("vector"), size), lists.most), lists.points)
-                near = np.sort(np.argpartition(d, most - 1, axis=1)[:, :most], axis=1)
-                own = np.take_along_axis(d, near, axis=1)
-                row, rank = np.nonzero(own <= np.maximum(own.min(axis=1, keepdims=True) * COPY_RATIO, 1e-9))
+            for rows in _parts(batch.num_rows, len(lists.points)):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                near, filed = filed_under(_units(_matrix(part.column("vector"), size), lists.most), lists.points)
+                row, rank = np.nonzero(filed)
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, rank].astype(np.int32)), part.column("id").take(pa.array(row)), part.column("vector").take(pa.array(row))], ["list", "id", "vector"])
 
     return run
 
 
-def _open(lists: Centroids, size: int, ratio: float, shelf: np.ndarray):
+def _open(lists: Centroids, size: int, ratio: float, width: int, counts: np.ndarray, least: int, shelf: np.ndarray):
     """Rows (shelf, id, vector, lists): for each query and shelf the lists there that it opens. Any length of a query gives the same order of
     vectors; the one that stored vectors have makes distances comparable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for rows in _parts(batch.num_rows, 4 * len(lists.points)):
+                part = batch.slice(rows.start, rows.stop - rows.start)
                 x = _matrix(part.column("vector"), size)
                 x = np.hstack((x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * lists.most, np.zeros((len(x), 1))))
-                found, d = lists.within(x, ratio)
-                near = (d <= np.maximum(d[:, :1] * ratio, 1e-9)) | ((np.arange(d.shape[1]) < LEAST_OPEN) & np.isfinite(d))
-                row, rank = np.nonzero(near & (shelf[found] >= 0))
+                found, _, opens = lists.within(x, ratio, width, counts, least)
+                row, rank = np.nonzero(opens & (shelf[found] >= 0))
                 own = found[row, rank]
                 order = np.lexsort((own, shelf[own], row))
                 row, own = row[order], own[order]
                 new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(shelf[own]) != 0)))) if len(row) else np.zeros(0, np.int64)
                 edge = pa.array(np.concatenate((new, [len(row)])).astype(np.int32))
                 at = pa.array(row[new])
-                yield pa.RecordBatch.from_arrays([pa.array(shelf[own[new]].astype(np.int32)), part.column("id").take(at), part.column("vector").take(at), pa.ListArray.from_arrays(edge, pa.array(own.astype(np.int32)))], ["shelf", "id", "vector", "lists"])
+                opened = pa.ListArray.from_arrays(edge, pa.array(own.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(shelf[own[new]].astype(np.int32)), part.column("id").take(at), part.column("vector").take(at), opened], ["shelf", "id", "vector", "lists"])
 
     return run
 
@@ -152,35 +208,42 @@ def _best(k: int):
         found = []
         if len(queries) and len(vectors):
             q, x = (np.stack(t.vector.to_numpy()).astype(np.float64) for t in (queries, vectors))
-            ids = vectors.id.to_numpy()
-            own_list = vectors.list.to_numpy()
-            for first in range(0, len(q), 128):
-                near = q[first : first + 128] @ x.T
-                for i, (own, lists) in enumerate(zip(queries.id.to_numpy()[first : first + 128], queries.lists.to_numpy()[first : first + 128], strict=True)):
-                    score = np.where(np.isin(own_list, lists) & (ids != own), near[i], -np.inf)
-                    every = int(np.isfinite(score).sum())
-                    n = min(COPIES * k, every)
-                    while n:
-                        # Sums in one order for every vector, so that equal vectors have equal scores wherever they lie.
-                        least = np.partition(score, -n)[-n]
-                        at = np.flatnonzero(score >= least - 1e-9 * (1 + abs(least)))
-                        exact = (x[at] * q[first + i]).sum(axis=1)
-                        top = np.lexsort((ids[at], -exact))
-                        top = top[np.sort(np.unique(ids[at][top], return_index=True)[1])][:k]  # a vector in several lists, or rows, counts once
-                        if len(top) == k or n == every:
-                            break
-                        n = min(4 * n, every)
-                    if not n:
-                        continue
-                    found.append((np.full(len(top), own), ids[at][top], exact[top]))
+            ids, asks, opened = vectors.id.to_numpy(), queries.id.to_numpy(), queries.lists.to_numpy()
+            names, place = np.unique(vectors.list.to_numpy(), return_inverse=True)
+            for part in _parts(len(q), len(x)):
+                own, lists = asks[part], opened[part]
+                row, to = np.repeat(np.arange(len(own)), [len(v) for v in lists]), np.concatenate(lists)
+                at = np.minimum(np.searchsorted(names, to), len(names) - 1)
+                open_ = np.zeros((len(own), len(names)), bool)
+                open_[row[names[at] == to], at[names[at] == to]] = True
+                score = np.where(open_[:, place] & (ids != own[:, None]), q[part] @ x.T, -np.inf)
+                n = min(COPIES * k, len(x))
+                least = np.partition(score, len(x) - n, axis=1)[:, len(x) - n]
+                near = np.isfinite(score) & (score >= np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)[:, None])
+                for again in (False, True):
+                    row, at = np.nonzero(near)
+                    # Sums in one order for every vector, so that equal vectors have equal scores wherever they lie.
+                    exact = (x[at] * q[part][row]).sum(axis=1)
+                    order = np.lexsort((ids[at], -exact, row))
+                    row, at, exact = row[order], at[order], exact[order]
+                    # A vector in several lists, or rows, counts once.
+                    first = np.sort(np.unique(np.stack((row, ids[at])), axis=1, return_index=True)[1])
+                    row, at, exact = row[first], at[first], exact[first]
+                    few = np.flatnonzero((np.bincount(row, minlength=len(own)) < k) & (np.isfinite(score).sum(axis=1) > near.sum(axis=1)))
+                    if again or not len(few):
+                        break
+                    near[few] = np.isfinite(score[few])  # many rows repeat an id: look at all
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                top = rank < k
+                found.append((own[row[top]], ids[at[top]], exact[top]))
         a, b, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
     return run
 
 
-def shelves(counts: dict[int, int], centroids: Centroids) -> tuple[np.ndarray, dict[int, int]]:
-    """The shelf of each list (-1: no vectors), and each shelf's number of blocks. Lists that lie close share a shelf of about BLOCK vectors,
+def shelves(counts: dict[int, int], centroids: Centroids, block: int = BLOCK) -> tuple[np.ndarray, dict[int, int]]:
+    """The shelf of each list (-1: no vectors), and each shelf's number of blocks. Lists that lie close share a shelf of about block vectors,
     so a query meets few shelves; a list larger than that fills a shelf of its own, in blocks."""
     points = centroids.points - centroids.points.mean(axis=0)
     order = np.argsort(points @ np.linalg.svd(points, full_matrices=False)[2][0], kind="stable")
@@ -188,26 +251,31 @@ def shelves(counts: dict[int, int], centroids: Centroids) -> tuple[np.ndarray, d
     for x in order.tolist():
         n = counts.get(x, 0)
         if n:
-            if rows[-1] and rows[-1] + n > BLOCK:
+            if rows[-1] and rows[-1] + n > block:
                 rows.append(0)
             shelf[x] = len(rows) - 1
             rows[-1] += n
-    return shelf, {i: max(1, -(-n // BLOCK)) for i, n in enumerate(rows)}
+    return shelf, {i: max(1, -(-n // block)) for i, n in enumerate(rows)}
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and vector (doubles) of the rows that take part: no nulls, finite, not all zero."""
     v = F.col(vector_col).cast("array<double>")
-    good = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
-    return vectors.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
+    good = F.col(id_col).try_cast("long").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
+    return vectors.where(good).select(F.col(id_col).try_cast("long").alias("id"), v.alias("vector"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", open_ratio: float = OPEN_RATIO, per_list: int = PER_LIST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", open_ratio: float | None = None,
+            lists: int | None = None, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows with the largest inner product found for each row where is_query holds.
 
     A query's own id is no candidate; ties go to the smaller id; with fewer candidates all found are returned. Rows with a null id, and
-    vectors that are null, empty, zero or hold null or non-finite components take no part; nor do vectors of another size than the most
-    common one. Where norms differ much, a larger open_ratio keeps recall up. Rows that repeat an id and a vector are one candidate. An empty table gives no rows.
+    vectors that are null, empty, zero or hold null or non-finite components take no part; nor do ids that aren't whole numbers, and vectors
+    of another size than the most common one. Rows that repeat an id and a vector are one candidate. An empty table gives no rows; other
+    columns play no part.
+
+    open_ratio: by default fitted on the sample, so that it holds recall of the neighbours there; lists: by default 2 sqrt(n). block: vectors
+    that one task compares at a time.
     """
     spark = vectors.sparkSession
     names = "query_id long, rank int, vec_id long, score double"
@@ -216,18 +284,29 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     if facts is None:
         return spark.createDataFrame([], names)
     clean = clean.where(F.col("size") == facts["size"]).drop("size")
-    lists = int(min(MOST_LISTS, max(1, facts["n"] // per_list)))
-    sample = np.array([r.vector for r in clean.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()])
-    sample = np.unique(_units(sample, facts["most"]), axis=0)
-    index = Centroids(balanced_centroids(sample, min(lists, len(sample))), facts["most"])
-
-    filed = written(clean.mapInArrow(_file(index, facts["size"]), "list int, id long, vector array<double>"), "lists")
-    counts = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_LISTS rows at most
-    shelf, blocks = shelves(counts, index)
-    opened = written(clean.where(is_query(F.col("id"))).mapInArrow(_open(index, facts["size"], open_ratio, shelf), "shelf int, id long, vector array<double>, lists array<int>"), "opened")
+    count = int(min(MOST_LISTS, max(1, lists or round(2 * facts["n"] ** 0.5))))
+    chosen = clean.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, PER_CENTROID * count)).select("vector")
+    sample = _units(np.array([r.vector for r in chosen.collect()]), facts["most"])
+    distinct = np.unique(sample, axis=0)
+    index = Centroids(balanced_centroids(distinct, min(count, len(distinct))), facts["most"])
+    # As many of the sample lie as near as a probe's k nearest of all.
+    ratio, width = fitted_ratio(sample, index.points, max(1, round(k * len(sample) / facts["n"])), recall)
+    if open_ratio is not None:
+        ratio, width = open_ratio, 64
+
+    work = workspace(spark, "neighbours")
+    filed = written(clean.mapInArrow(_file(index, facts["size"]), "list int, id long, vector array<double>"), "lists", work)
+    facts_of = filed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).collect()  # MOST_LISTS rows at most
+    counts = {r["list"]: r["n"] for r in facts_of}
+    shelf, blocks = shelves(counts, index, block)
+    held = np.zeros(len(index.points), np.int64)
+    held[[r["list"] for r in facts_of]] = [r["ids"] for r in facts_of]
+    # Of so many filed vectors k at least are different ones and not the query.
+    opens = _open(index, facts["size"], ratio, width, held, COPIES * (k + 1), shelf)
+    opened = written(clean.where(is_query(F.col("id"))).mapInArrow(opens, "shelf int, id long, vector array<double>, lists array<int>"), "opened", work)
     # Tables of one row per list or shelf: MOST_LISTS of them at most.
     place = F.broadcast(spark.createDataFrame([(x, int(shelf[x])) for x in counts], "list int, shelf int"))
-    size = spark.createDataFrame(list(blocks.items()), "shelf int, vs int").join(opened.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qs")), "shelf")
+    size = spark.createDataFrame(list(blocks.items()), "shelf int, vs int").join(opened.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qs")), "shelf")
     size = F.broadcast(size)
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -236,4 +315,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     met = left.groupBy("shelf", "v", "q").cogroup(right.groupBy("shelf", "v", "q")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
     # k rows for each block that a query meets; copies of a vector in several lists are one element of the set.
     best = met.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
+    out = written(best.select("query_id", F.posexplode("best").alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score")), "nearest")
+    remove(spark, work)
+    return out
