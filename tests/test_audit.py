@@ -12,7 +12,7 @@ from wayscope.operators import clustering, density, drill, ingest, motion, sampl
 from wayscope.operators.classify import classify
 from wayscope.plans import audit_documents, delta_documents, metrics, prevalence, to_json_rows
 from wayscope.schemas import FOUND, KINDS
-from wayscope.sources import found_points, linear_track, to_gpx
+from wayscope.sources import found_points, linear_track, malformed_files, to_gpx
 from wayscope.streaming import classify_stream
 
 
@@ -214,13 +214,64 @@ def test_density(spark):
     area = curve.where("track_id = 'a'").selectExpr("sum(y) * (max(x_log) - min(x_log)) / 199").first()[0]
     assert 0.4 < area < 1.0
     assert density.peaks(curve).where("track_id = 'a'").count() >= 1
-    with pytest.raises(ValueError):
-        density.kde(d, "v", h=0.0)
+    plain = {(r.track_id, r.grid_i): r.y for r in density.kde(d, "v").collect()}
+    assert {(r.track_id, r.grid_i): r.y for r in density.kde(d, "v", option=0.0).collect()} == plain  # 0: none given
+    given = {(r.track_id, r.grid_i): r.y for r in density.kde(d, "v", option=math.exp(0.1)).collect()}
+    assert all(math.isclose(given[r.track_id, r.grid_i], r.y, rel_tol=1e-9) for r in curve.collect())
+    assert all(math.isnan(r.y) for r in density.kde(d, "v", option=1.0).collect())
     pairs = spark.createDataFrame([("a", i, i + 1, 1.0, float(i)) for i in range(300)], "track_id string, from_index bigint, to_index bigint, dt_sec double, dd_meters double")
     shown = density.sequence_window(pairs, 290).collect()
     assert len(shown) == 200 and min(r.pos for r in shown) == 100 and max(r.shade for r in shown) == 1.0
-    assert {round(r.meters) for r in density.legend(pairs).collect()} == {0, 3, 16, 71}
-    assert [r[0] for r in spark.createDataFrame([(12.4,), (0.256,)], "x double").select(density.tick(F.col("x"))).collect()] == ["12", "0.26"]
+    assert {round(r.meters) for r in density.legend(pairs).collect()} == {0, 3, 16, 71, 299}
+    assert [r.label for r in density.legend_labels(pairs).orderBy("share").collect()] == ["0 m", "~3 m", "~16 m", "~71 m", "299 m"]
+    still = pairs.where("dd_meters = 0")
+    assert [(r.share, r.meters, r.label) for r in density.legend_labels(still).collect()] == [(0.0, 0.0, "0 m")]
+    shown = spark.createDataFrame([(12.5,), (0.256,), (0.0,)], "x double").select(density.tick(F.col("x")), density.tick(F.col("x"), about=True)).collect()
+    assert [tuple(r) for r in shown] == [("13", "~13"), ("0.26", "~0.26"), ("0", "0")]
+
+
+def test_chart_bounds_by_hand(spark):
+    line = spark.createDataFrame([(t, float(i), i / 199) for t in "abc" for i in range(200)], "track_id string, grid_i double, x_log double")
+    h = spark.createDataFrame([("a", 0.5), ("b", 0.01), ("c", 0.1)], "track_id string, h double")
+    got = {r.track_id: (r.low, r.high, r.step) for r in density.bandwidth_range(line, h).collect()}
+    want = {"a": (0.02, 1.0, 0.00098), "b": (0.005, 0.2, 0.000195), "c": (0.02, 0.2, 0.00018)}
+    assert all(math.isclose(x, y, rel_tol=1e-12) for t in want for x, y in zip(got[t], want[t], strict=True))
+    pairs = spark.createDataFrame([("a", 2.0, 8.0), ("a", 4.0, 0.0), ("a", 16.0, 8.0)], "track_id string, dt_sec double, dd_meters double")
+    r = density.domains(pairs).first()
+    assert (r.min_dt_sec, r.min_dd_meters) == (math.log(1e-10),) * 2 and math.isclose(r.max_dt_sec, math.log(16)) and math.isclose(r.max_dd_meters, math.log(8))
+    assert [r.dt_sec for r in density.viewport(pairs, (0.0, 2.0), (2.0, 3.0)).collect()] == [2.0]
+    deltas = spark.createDataFrame([("t", 1.0)], "track_id string, dt_sec double")
+    r = density.overview(deltas, deltas.limit(0).withColumnRenamed("dt_sec", "dd_meters")).first()
+    assert math.isclose(r.time_bandwidth, math.exp(1.06)) and (r.distance_bandwidth, r.time_peaks, r.distance_peaks) == (1.0, 0, 0)
+    r = density.curves(deltas, deltas.limit(0).withColumnRenamed("dt_sec", "dd_meters")).first()
+    assert len(r.time_curve) == density.GRID and r.distance_curve == r.distance_tops == []
+
+
+def test_text_edges_by_hand(spark):
+    numbers = {0.0001: "0.0001", 12345678.5: "12345678.5", 1e-7: "1e-7", 1.5e21: "1.5e+21", 1e20: "100000000000000000000", -0.1: "-0.1", 0.30000000000000004: "0.30000000000000004", -1.25e-9: "-1.25e-9", 90.0: "90", 0.0: "0", 1e-6: "0.000001"}
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").orderBy("i").select(js_number(F.col("x"))).collect()]
+    assert got == list(numbers.values())
+    row = lambda i, time: ("a", "a.gpx", i, "trkpt", "1", "2", None, time, None)
+    d = spark.createDataFrame([row(0, "\t"), row(1, "\t2026-01-01T00:00:00Z\n"), row(2, "\u00a0\ufeff"), row(3, None)], FOUND)
+    assert [(r.time_raw, r.ts_state) for r in classify(ingest.points(d)).orderBy("gpx_index").collect()] == [(None, "missing"), ("2026-01-01T00:00:00Z", "valid"), (None, "missing"), (None, "missing")]
+    assert [drill.block_edge(x) for x in ("12", " 7x", "-3", "x", "", None, "4.9")] == [12, 7, -3, 0, 0, 0, 4]
+    one = spark.createDataFrame([("a", 0, "trkpt", 1.0, 2.0, None, "2026-01-01T00:00:00Z", None)], "track_id string, gpx_index bigint, point_type string, lat double, lon double, ele double, time_raw string, extensions string")
+    block = drill.local_block(one, 0, 5)
+    assert block.first().elapsed_sec is None and block.first().points == 1
+    assert drill.block_text(block).first().text == "cumulativeDistanceM: 0.00\nnetDisplacementM: 0.00\npointCount: 1\nelapsedTimeSec: null"
+
+
+def test_gpx_writes_every_kind_and_reads_extensions(spark):
+    rows = [("a", "a.gpx", i, k, str(i), "2", None, 'x<y&"z', "<hr>1</hr>" if i == 3 else None) for i, k in enumerate(("wpt", "rtept", "rtept", "trkpt"))]
+    written = to_gpx(spark.createDataFrame(rows, FOUND))
+    for strict in (False, True):
+        got = found_points(written, strict).orderBy("gpx_index").collect()
+        assert [(r.gpx_index, r.point_type, r.raw_lat, r.raw_time) for r in got] == [(i, k, str(i), 'x<y&"z') for i, k in enumerate(("wpt", "rtept", "rtept", "trkpt"))]
+        assert got[0].extensions is None and "<hr>1</hr>" in got[3].extensions.replace("ns0:", "")
+    bad = written.unionAll(spark.createDataFrame([("b", "b.gpx", "<gpx><trk>")], written.schema))
+    assert [r.file_name for r in malformed_files(bad).collect()] == ["b.gpx"]
+    for strict in (False, True):
+        assert found_points(bad, strict, skip_malformed=True).count() == 4
 
 
 def test_exports_and_prevalence(classified):

@@ -28,6 +28,7 @@ def plain(rows):
 def test_same_rows(spark, con, name):
     df = queries.QUERIES[name](spark, str(DATA))
     ours = plain(df.select(*sorted(df.columns)).collect())
+    assert ours
     want = con.execute(queries.ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)

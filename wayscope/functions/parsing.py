@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
+# What counts as white space around numbers and times.
+_BLANK = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_NUMBER = rf"^{_BLANK}*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 
+def trimmed(text: Column) -> Column:
+    """text without white space at both ends."""
+    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")
+
+
 def parse_float(text: Column) -> Column:
     """The number that a text begins with, as double; null where it begins with none."""
     return F.regexp_extract(text, _NUMBER, 1).try_cast("double")
@@ -30,10 +37,10 @@ def clock(ms: Column, zone: str = "UTC") -> Column:
 
 
 def js_number(x: Column) -> Column:
-    """A double as text, whole numbers without decimals."""
-    whole = finite_whole(x)
-    return F.when(whole, x.try_cast("bigint").cast("string")).otherwise(x.cast("string"))
-
-
-def finite_whole(x: Column) -> Column:
-    return F.coalesce((F.abs(x) < F.lit(1e15)) & (x == F.floor(x)), F.lit(False))
+    """A double as text in its shortest form: plain from 1e-6 to below 1e21, else with a power of ten; whole numbers without decimals."""
+    size = F.abs(x)
+    # Decimals of as many places as any double of that size has in its shortest form.
+    plain = F.when(size < 1, x.try_cast("decimal(38,30)").cast("string")).otherwise(x.try_cast("decimal(38,17)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    power = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E(-?)", "e$2"), "e([0-9])", "e+$1")
+    return F.when(x == 0, "0").when(F.isnan(x) | (size == F.lit(float("inf"))), x.cast("string")).when((size >= 1e-6) & (size < 1e21), plain).otherwise(power)

@@ -28,20 +28,26 @@ def bandwidth(values: DataFrame, column: str) -> DataFrame:
     return g.select("track_id", (F.lit(1.06) * sd * F.pow(F.col("n"), F.lit(-0.2))).alias("h"), "n")
 
 
-def kde(values: DataFrame, column: str, h: float | None = None, grid: int = GRID) -> DataFrame:
+def chosen_bandwidth(option: float | None) -> float | None:
+    """The bandwidth of logs that a user's option, given in the unit of the values, stands for: its log. None, that is Silverman's, for none or 0."""
+    return math.log(option) if option else None
+
+
+def kde(values: DataFrame, column: str, h: float | None = None, grid: int = GRID, option: float | None = None) -> DataFrame:
     """track_id, grid_i, x_log, x_linear, y: Gaussian density of the logs at grid points from least to largest.
 
-    h: the bandwidth, above 0; by default Silverman's. Equal values are counted first, so the kernel sum runs over distinct ones.
+    h: the bandwidth of the logs; by default what option stands for, else Silverman's. Options below 1 make it negative, and the density with
+    it; at 0 (option 1) y is NaN. Equal values are counted first, so the kernel sum runs over distinct ones.
     """
-    if h is not None and h <= 0:
-        raise ValueError("a bandwidth is above 0")
+    h = chosen_bandwidth(option) if h is None else h
     counted = _logs(values, column).groupBy("track_id", "x").agg(F.count(F.lit(1)).alias("c"))
     span = counted.groupBy("track_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"))
     wide = span.join(bandwidth(values, column).select("track_id", "h"), "track_id") if h is None else span.withColumn("h", F.lit(float(h)))
     points = wide.select("track_id", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_i"), "lo", "hi")
     points = points.select("track_id", "n", "h", "grid_i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("grid_i") / F.lit(float(max(1, grid - 1)))).alias("x_log"))
-    u = (F.col("x_log") - F.col("x")) / F.col("h")
-    y = F.sum(F.exp(F.lit(-0.5) * u * u) * F.col("c")) / (F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi)))
+    u = F.try_divide(F.col("x_log") - F.col("x"), F.col("h"))
+    scale = F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi))
+    y = F.coalesce(F.try_divide(F.sum(F.exp(F.lit(-0.5) * u * u) * F.col("c")), scale), F.lit(float("nan")))
     return points.join(counted, "track_id").groupBy("track_id", "grid_i", "x_log").agg(y.alias("y")).select("track_id", "grid_i", "x_log", F.exp("x_log").alias("x_linear"), "y")
 
 
@@ -59,31 +65,50 @@ def nearest_grid(curve: DataFrame, x_log: float) -> DataFrame:
 
 
 def overview(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
-    """track_id with bandwidths and numbers of peaks of both densities; null where a track has no positive values of a kind."""
+    """track_id with bandwidths, in the unit of the values, and numbers of peaks of both densities. Without positive values of a kind there are
+    0 peaks; the bandwidth is null for times and 1 for distances."""
 
     def one(values: DataFrame, column: str, name: str) -> DataFrame:
         found = peaks(kde(values, column)).groupBy("track_id").agg(F.count(F.lit(1)).alias(f"{name}_peaks"))
-        own = bandwidth(values, column).select("track_id", F.col("h").alias(f"{name}_bandwidth")).join(found, "track_id", "left")
-        return own.withColumn(f"{name}_peaks", F.coalesce(f"{name}_peaks", F.lit(0)))
+        return bandwidth(values, column).select("track_id", F.exp("h").alias(f"{name}_bandwidth")).join(found, "track_id", "left")
+
+    both = one(time_values, "dt_sec", "time").join(one(distance_values, "dd_meters", "distance"), "track_id", "full_outer")
+    peaks_of = {c: F.coalesce(c, F.lit(0)) for c in ("time_peaks", "distance_peaks")}
+    return both.withColumns({**peaks_of, "distance_bandwidth": F.coalesce("distance_bandwidth", F.lit(1.0))})
 
-    return one(time_values, "dt_sec", "time").join(one(distance_values, "dd_meters", "distance"), "track_id", "full_outer")
+
+def curves(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
+    """overview() with each density as an array of its grid points, time_curve and distance_curve, and of those that are peaks (time_tops,
+    distance_tops); empty where a track has no positive values of a kind."""
+    point = F.struct("grid_i", "x_log", "x_linear", "y")
+    out = overview(time_values, distance_values)
+    for values, column, name in ((time_values, "dt_sec", "time"), (distance_values, "dd_meters", "distance")):
+        whole = kde(values, column)
+        for rows, c in ((whole, f"{name}_curve"), (peaks(whole), f"{name}_tops")):
+            out = out.join(rows.groupBy("track_id").agg(F.array_sort(F.collect_list(point)).alias(c)), "track_id", "left")
+            out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
+    return out
 
 
 def bandwidth_range(curve: DataFrame, bandwidths: DataFrame) -> DataFrame:
-    """track_id, low, high, step of a control for the bandwidth h: a fiftieth to a fifth of the range of logs, widened to hold h."""
+    """track_id, low, high, step of a control for the bandwidth h: a fiftieth to a fifth of the range of logs; where h lies outside, half or twice h."""
     span = curve.groupBy("track_id").agg((F.max("x_log") - F.min("x_log")).alias("span"))
-    low, high = F.least(F.greatest(F.lit(1e-3), F.col("span") / 50), F.col("h")), F.greatest(F.col("span") / 5, F.col("h"))
-    return span.join(bandwidths, "track_id").select("track_id", low.alias("low"), high.alias("high"), F.greatest(F.lit(1e-3), (high - low) / 100).alias("step"))
+    low, high, h = F.greatest(F.lit(1e-3), F.col("span") / 50), F.col("span") / 5, F.col("h")
+    low = F.when(h < low, F.greatest(F.lit(1e-3), h / 2)).otherwise(low)
+    high = F.when(h > high, h * 2).otherwise(high)
+    return span.join(bandwidths, "track_id").select("track_id", low.alias("low"), high.alias("high"), F.greatest(F.lit(1e-4), (high - low) / 1000).alias("step"))
 
 
-def viewport(pairs: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    """Pairs whose log lies in [low, high]."""
-    return pairs.where(safe_log(F.col(column)).between(low, high))
+def viewport(pairs: DataFrame, times: tuple[float, float], distances: tuple[float, float]) -> DataFrame:
+    """Pairs whose logs lie in both ranges, borders included."""
+    return pairs.where(safe_log(F.col("dt_sec")).between(*times) & safe_log(F.col("dd_meters")).between(*distances))
 
 
 def domains(pairs: DataFrame) -> DataFrame:
-    """Per track the extent of both axes of a log-log chart of joint pairs."""
-    return pairs.groupBy("track_id").agg(*(f(safe_log(F.col(c))).alias(f"{n}_{c}") for c in ("dt_sec", "dd_meters") for n, f in (("min", F.min), ("max", F.max))))
+    """Per track the extent of both axes of a log-log chart of joint pairs; each begins at the log of FLOOR, so that zeros have a place."""
+    low = lambda c: F.least(F.lit(math.log(FLOOR)), F.min(safe_log(F.col(c)))).alias(f"min_{c}")
+    high = lambda c: F.max(safe_log(F.col(c))).alias(f"max_{c}")
+    return pairs.groupBy("track_id").agg(*(f(c) for c in ("dt_sec", "dd_meters") for f in (low, high)))
 
 
 def window_size(n: Column) -> Column:
@@ -103,11 +128,21 @@ def sequence_window(pairs: DataFrame, start: int = 0) -> DataFrame:
 
 
 def legend(pairs: DataFrame) -> DataFrame:
-    """Distances at 0, 25, 50 and 75 % of the log1p scale of each track."""
+    """Distances at 0, 25, 50, 75 and 100 % of the log1p scale of each track; the 0 alone where the largest is 0."""
     most = pairs.groupBy("track_id").agg(F.max("dd_meters").alias("most"))
-    return most.select("track_id", F.explode(F.array(*(F.struct(F.lit(q).alias("share"), F.expm1(F.log1p("most") * q).alias("meters")) for q in (0.0, 0.25, 0.5, 0.75)))).alias("x")).select("track_id", "x.*")
+    at = lambda q: F.struct(F.lit(q).alias("share"), (F.col("most") if q == 1 else F.expm1(F.log1p("most") * q)).alias("meters"))
+    anchors = F.when(F.col("most") > 0, F.array(*map(at, (0.0, 0.25, 0.5, 0.75, 1.0)))).otherwise(F.array(at(0.0)))
+    return most.select("track_id", F.explode(anchors).alias("x")).select("track_id", "x.*")
+
+
+def tick(x: Column, about: bool = False) -> Column:
+    """A number as chart text: 0 as such, whole from 1, else two decimals; about: all but 0 after a tilde."""
+    text = F.when(F.abs(x) >= 1, F.floor(x + 0.5).cast("bigint").cast("string")).otherwise(F.format_string("%.2f", x))
+    return F.when(x == 0, "0").otherwise(F.concat(F.lit("~"), text) if about else text)
 
 
-def tick(x: Column) -> Column:
-    """A number as chart text: whole from 1, else two decimals."""
-    return F.when(F.abs(x) >= 1, F.round(x).cast("bigint").cast("string")).otherwise(F.format_string("%.2f", x))
+def legend_labels(pairs: DataFrame) -> DataFrame:
+    """legend() with its texts: between both ends, about so many metres."""
+    between = (F.col("share") > 0) & (F.col("share") < 1)
+    text = F.when(between, tick(F.col("meters"), about=True)).otherwise(tick(F.col("meters")))
+    return legend(pairs).select("track_id", "share", "meters", F.concat(text, F.lit(" m")).alias("label"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from .classify import usable_distance
 
 
 def local_block(points: DataFrame, first: int, last: int) -> DataFrame:
-    """Per track: cumulative_m, displacement_m, points and elapsed_sec of the points with index first to last; tracks without any have zeros."""
+    """Per track: cumulative_m, displacement_m, points and elapsed_sec of the points with index first to last; tracks without any have zeros.
+    elapsed_sec is null below two points, or where the first or last has no valid time."""
     own = points.where(F.col("gpx_index").between(first, last)).withColumn("ms", epoch_ms(F.col("time_raw")))
     w = Window.partitionBy("track_id").orderBy("gpx_index")
     step = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
@@ -18,7 +21,21 @@ def local_block(points: DataFrame, first: int, last: int) -> DataFrame:
     g = own.withColumn("step", step).groupBy("track_id").agg(F.sum(F.when(usable_distance(F.col("step")), F.col("step"))).alias("m"), F.count(F.lit(1)).alias("n"), F.min_by(at, "gpx_index").alias("a"), F.max_by(at, "gpx_index").alias("b"))
     apart = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     out = points.select("track_id").distinct().join(g, "track_id", "left")
-    return out.select("track_id", F.coalesce("m", F.lit(0.0)).alias("cumulative_m"), F.when((F.col("n") > 1) & finite(apart), apart).otherwise(0.0).alias("displacement_m"), F.coalesce("n", F.lit(0)).alias("points"), ((F.col("b.ms") - F.col("a.ms")) / 1000).alias("elapsed_sec"))
+    return out.select("track_id", F.coalesce("m", F.lit(0.0)).alias("cumulative_m"), F.when((F.col("n") > 1) & finite(apart), apart).otherwise(0.0).alias("displacement_m"), F.coalesce("n", F.lit(0)).alias("points"), F.when(F.col("n") > 1, (F.col("b.ms") - F.col("a.ms")) / 1000).alias("elapsed_sec"))
+
+
+def block_edge(text: str | None) -> int:
+    """The whole number that a user's text begins with; 0 where it begins with none."""
+    m = re.match(r"\s*([+-]?[0-9]+)", text or "")
+    return int(m[1]) if m else 0
+
+
+def block_text(block: DataFrame) -> DataFrame:
+    """track_id and text of what local_block() gives: a line per figure, two decimals."""
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    lines = (F.lit("cumulativeDistanceM: "), two("cumulative_m")), (F.lit("netDisplacementM: "), two("displacement_m")), (F.lit("pointCount: "), F.col("points").cast("string"))
+    elapsed = F.concat(F.lit("elapsedTimeSec: "), F.when(F.col("elapsed_sec").isNotNull(), two("elapsed_sec")).otherwise("null"))
+    return block.select("track_id", F.concat_ws("\n", *(F.concat(*x) for x in lines), elapsed).alias("text"))
 
 
 def bounds(points: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import finite, js_number, parse_float
+from ..functions import finite, js_number, parse_float, trimmed
 from ..schemas import POINT_TYPES
 
 
@@ -16,7 +16,7 @@ def checked(found: DataFrame) -> DataFrame:
     number = F.concat(F.lit("Invalid coordinates: lat="), quoted("raw_lat"), F.lit(", lon="), quoted("raw_lon"), F.lit(" (not parseable as numbers)"))
     reach = F.concat(F.lit("Coordinates out of valid range or non-finite: lat="), js_number(F.col("lat")), F.lit(" (must be -90 to 90), lon="), js_number(F.col("lon")), F.lit(" (must be -180 to 180)"))
     ele = parse_float(F.col("raw_ele"))
-    parsed = found.withColumns({"lat": lat, "lon": lon, "ele": ele, "time_raw": F.nullif(F.trim("raw_time"), F.lit(""))})
+    parsed = found.withColumns({"lat": lat, "lon": lon, "ele": ele, "time_raw": F.nullif(trimmed(F.col("raw_time")), F.lit(""))})
     inside = finite(F.col("lat")) & finite(F.col("lon")) & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     return parsed.withColumn("reason", F.when(F.col("lat").isNull() | F.col("lon").isNull(), number).when(~inside, reach))
 

@@ -20,6 +20,7 @@ from .sources.tables import EVENT_SQL, ORDER_SQL
 BLOCK = (10, 60)
 CENTRE, REACH = 50, 20
 CURSOR = 8.0
+VIEW = (8.0, 10.5), (6.0, 7.0)
 DIGITS = 6
 
 
@@ -141,13 +142,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kde_distance_curve": lambda s, d: _rounded(density.kde(_primary(s, d), "dd_meters")),
     "kde_nearest_grid": lambda s, d: _rounded(density.nearest_grid(density.kde(_deltas(s, d), "dt_sec"), CURSOR)),
     "density_overview": lambda s, d: _rounded(density.overview(_deltas(s, d), _primary(s, d))),
-    "chart_ticks": lambda s, d: density.legend(_joint(s, d)).select("track_id", "share", density.tick(F.col("meters")).alias("tick")),
+    "chart_ticks": lambda s, d: density.legend_labels(_joint(s, d)).select("track_id", "share", F.col("label").alias("tick")),
     "export_distance_deltas": lambda s, d: delta_documents(sampling.distance_deltas(_classified(s, d))),
     "kde_distance_peaks": lambda s, d: _rounded(density.peaks(density.kde(_primary(s, d), "dd_meters"))),
     "kde_peaks": lambda s, d: _rounded(density.peaks(density.kde(_deltas(s, d), "dt_sec"))),
     "bandwidth_range": lambda s, d: _rounded(density.bandwidth_range(density.kde(_deltas(s, d), "dt_sec"), density.bandwidth(_deltas(s, d), "dt_sec"))),
     "chart_domains": lambda s, d: _rounded(density.domains(_joint(s, d))),
-    "chart_viewport": lambda s, d: _rounded(density.viewport(_joint(s, d), "dt_sec", 5.0, 9.0)),
+    "chart_viewport": lambda s, d: _rounded(density.viewport(_joint(s, d), *VIEW)),
     "chart_sequence": lambda s, d: _rounded(density.sequence_window(_joint(s, d))),
     "chart_legend": lambda s, d: _rounded(density.legend(_joint(s, d))),
     "audit_metrics": lambda s, d: _rounded(metrics(_documents(s, d))),
@@ -164,7 +165,7 @@ _MOTION_SUM = """SELECT *, CASE WHEN valid_sec + invalid_sec > 0 THEN round(inva
     round(sum(dd_meters) FILTER (pair_class = 'forward') / sum(dt_sec) FILTER (pair_class = 'forward'), 6) AS mean_mps FROM mp GROUP BY track_id)"""
 _PEAKS = "SELECT track_id, grid_i, round(x_log, 6) AS x_log, round(exp(x_log), 6) AS x_linear, round(y, 6) AS y FROM (SELECT *, lag(y) OVER w AS b, lead(y) OVER w AS a FROM kde WINDOW w AS (PARTITION BY track_id ORDER BY grid_i)) WHERE y > b AND y > a"
 _CURVE = "SELECT track_id, grid_i, round(x_log, 6) AS x_log, round(exp(x_log), 6) AS x_linear, round(y, 6) AS y FROM kde"
-_OVERVIEW = f"SELECT track_id, round(any_value(h), 6) AS h, count(p.grid_i) AS peaks FROM s LEFT JOIN ({_PEAKS}) p USING (track_id) GROUP BY track_id"
+_OVERVIEW = f"SELECT track_id, round(exp(any_value(h)), 6) AS h, count(p.grid_i) AS peaks FROM s LEFT JOIN ({_PEAKS}) p USING (track_id) GROUP BY track_id"
 _DISTANCES = "SELECT track_id, prev_index AS from_index, gpx_index AS to_index, round(prev_m, 6) AS dd_meters, coalesce(dt_ms > 0, false) AS on_progress FROM cls WHERE prev_index IS NOT NULL AND prev_m >= 0"
 _KDE_M = _KDE.replace("SELECT track_id, ln(dt_ms / 1000.0::DOUBLE) AS x FROM cls WHERE dt_ms > 0", "SELECT track_id, ln(prev_m) AS x FROM cls JOIN (SELECT track_id, coalesce(bool_or(dt_ms > 0), false) AS moving FROM cls GROUP BY ALL) USING (track_id) WHERE prev_m > 0 AND (coalesce(dt_ms > 0, false) OR NOT moving)")
 
@@ -194,7 +195,7 @@ ORACLE: dict[str, str] = {
     "motion_rejections": _events("SELECT track_id, from_index, to_index, pair_class, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters, time_raw FROM mp WHERE pair_class <> 'forward'", _MOTION),
     "local_block": f"""WITH {EVENT_SQL}{_PTS}, own AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM pts WHERE gpx_index BETWEEN {BLOCK[0]} AND {BLOCK[1]} WINDOW w AS (PARTITION BY track_id ORDER BY gpx_index)),
         g AS (SELECT track_id, sum({_m('a', 'b', 'lat', 'lon')}) AS m, count(*) AS n, arg_min(lat, gpx_index) AS y1, arg_min(lon, gpx_index) AS x1, arg_max(lat, gpx_index) AS y2, arg_max(lon, gpx_index) AS x2, arg_min(ROW(ts_ms), gpx_index)[1] AS t1, arg_max(ROW(ts_ms), gpx_index)[1] AS t2 FROM own GROUP BY track_id)
-        SELECT track_id, round(coalesce(m, 0), 6) AS cumulative_m, round(CASE WHEN n > 1 THEN {_m('y1', 'x1', 'y2', 'x2')} ELSE 0 END, 6) AS displacement_m, coalesce(n, 0) AS points, round((t2 - t1) / 1000.0::DOUBLE, 6) AS elapsed_sec FROM (SELECT DISTINCT track_id FROM pts) LEFT JOIN g USING (track_id)""",
+        SELECT track_id, round(coalesce(m, 0), 6) AS cumulative_m, round(CASE WHEN n > 1 THEN {_m('y1', 'x1', 'y2', 'x2')} ELSE 0 END, 6) AS displacement_m, coalesce(n, 0) AS points, round(CASE WHEN n > 1 THEN (t2 - t1) / 1000.0::DOUBLE END, 6) AS elapsed_sec FROM (SELECT DISTINCT track_id FROM pts) LEFT JOIN g USING (track_id)""",
     "route_bounds": f"WITH {EVENT_SQL}{_PTS} SELECT track_id, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM pts GROUP BY track_id",
     "point_neighbourhood": f"""WITH {EVENT_SQL}{_PTS}, p AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY gpx_index) AS pos FROM pts), c AS (SELECT track_id, pos AS c FROM p WHERE gpx_index = {CENTRE})
         SELECT track_id, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM p JOIN c USING (track_id) WHERE abs(pos - c) <= {REACH} GROUP BY track_id""",
@@ -206,19 +207,21 @@ ORACLE: dict[str, str] = {
     "kde_distance_curve": _events(_CURVE, _KDE_M),
     "kde_nearest_grid": _events(f"{_CURVE} QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY abs(kde.x_log - {CURSOR}), grid_i) = 1", _KDE),
     "density_overview": f"""WITH t AS ({_events(_OVERVIEW, _KDE)}), m AS ({_events(_OVERVIEW, _KDE_M)})
-        SELECT track_id, t.h AS time_bandwidth, t.peaks AS time_peaks, m.h AS distance_bandwidth, m.peaks AS distance_peaks FROM t FULL OUTER JOIN m USING (track_id)""",
-    "chart_ticks": _events("""SELECT track_id, share, CASE WHEN abs(m) >= 1 THEN CAST(CAST(round(m) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', m) END AS tick FROM (SELECT track_id, share, exp(ln(1 + most) * share) - 1 AS m
-        FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) AS t(share))""", _JOINT),
+        SELECT track_id, t.h AS time_bandwidth, coalesce(t.peaks, 0) AS time_peaks, coalesce(m.h, 1) AS distance_bandwidth, coalesce(m.peaks, 0) AS distance_peaks FROM t FULL OUTER JOIN m USING (track_id)""",
+    "chart_ticks": _events("""SELECT track_id, share, CASE WHEN share = 0 THEN '0' ELSE CASE WHEN share < 1 THEN '~' ELSE '' END || CASE WHEN m >= 1 THEN CAST(CAST(floor(m + 0.5) AS BIGINT) AS VARCHAR) ELSE printf('%.2f', m) END END || ' m' AS tick
+        FROM (SELECT track_id, share, CASE share WHEN 1 THEN most ELSE exp(ln(1 + most) * share) - 1 END AS m
+              FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS t(share))""", _JOINT),
     "kde_peaks": _events(_PEAKS, _KDE),
     "kde_distance_peaks": _events(_PEAKS, _KDE_M),
-    "bandwidth_range": _events("""SELECT track_id, round(lo, 6) AS low, round(hi, 6) AS high, round(greatest(1e-3, (hi - lo) / 100), 6) AS step FROM
-        (SELECT track_id, least(greatest(1e-3, (max(x_log) - min(x_log)) / 50), any_value(h)) AS lo, greatest((max(x_log) - min(x_log)) / 5, any_value(h)) AS hi FROM g GROUP BY track_id)""", _KDE),
-    "chart_domains": _events("SELECT track_id, round(min(ln(greatest(1e-10, dt_sec))), 6) AS min_dt_sec, round(max(ln(greatest(1e-10, dt_sec))), 6) AS max_dt_sec, round(min(ln(greatest(1e-10, dd_meters))), 6) AS min_dd_meters, round(max(ln(greatest(1e-10, dd_meters))), 6) AS max_dd_meters FROM joint GROUP BY track_id", _JOINT),
-    "chart_viewport": _events("SELECT track_id, from_index, to_index, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters FROM joint WHERE ln(greatest(1e-10, dt_sec)) BETWEEN 5 AND 9", _JOINT),
+    "bandwidth_range": _events("""SELECT track_id, round(low, 6) AS low, round(high, 6) AS high, round(greatest(1e-4, (high - low) / 1000), 6) AS step FROM
+        (SELECT track_id, CASE WHEN h < a THEN greatest(1e-3, h * 0.5) ELSE a END AS low, CASE WHEN h > b THEN h * 2 ELSE b END AS high FROM
+            (SELECT track_id, greatest(1e-3, (hi - lo) / 50) AS a, (hi - lo) / 5 AS b, h FROM s))""", _KDE),
+    "chart_domains": _events("SELECT track_id, round(least(ln(1e-10), min(ln(greatest(1e-10, dt_sec)))), 6) AS min_dt_sec, round(max(ln(greatest(1e-10, dt_sec))), 6) AS max_dt_sec, round(least(ln(1e-10), min(ln(greatest(1e-10, dd_meters)))), 6) AS min_dd_meters, round(max(ln(greatest(1e-10, dd_meters))), 6) AS max_dd_meters FROM joint GROUP BY track_id", _JOINT),
+    "chart_viewport": _events("SELECT track_id, from_index, to_index, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters FROM joint WHERE ln(greatest(1e-10, dt_sec)) BETWEEN 8 AND 10.5 AND ln(greatest(1e-10, dd_meters)) BETWEEN 6 AND 7", _JOINT),
     "chart_sequence": _events("""SELECT track_id, CAST(pos AS INTEGER) AS pos, from_index, to_index, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters, round(CASE WHEN most > 0 THEN least(1.0, greatest(0.0, ln(1 + dd_meters) / ln(1 + most))) ELSE 0 END, 6) AS shade FROM
         (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY to_index) - 1 AS pos, count(*) OVER (PARTITION BY track_id) AS n, max(dd_meters) OVER (PARTITION BY track_id) AS most FROM joint)
         WHERE pos < CASE WHEN n > 200 THEN 200 ELSE least(n, greatest(30, round(n * 0.7::DOUBLE))) END""", _JOINT),
-    "chart_legend": _events("SELECT track_id, share, round(exp(ln(1 + most) * share) - 1, 6) AS meters FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75)) AS t(share)", _JOINT),
+    "chart_legend": _events("SELECT track_id, share, round(CASE share WHEN 1 THEN most ELSE exp(ln(1 + most) * share) - 1 END, 6) AS meters FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS t(share)", _JOINT),
 } | {f"temporal_blocks_{k}": _events(f"{_BLOCKS} AND kind = '{k}'", _RUNS) for k in KINDS}
 ORACLE = {k: v.replace("FILTER (", "FILTER (WHERE ") for k, v in ORACLE.items()}
 

@@ -1,7 +1,7 @@
 """Where points come from: GPX documents, tables, generators."""
 
-from .gpx import found_points, read_gpx
+from .gpx import found_points, malformed_files, read_gpx
 from .synthetic import linear_track, to_gpx
 from .tables import event_points, order_points
 
-__all__ = ["event_points", "found_points", "linear_track", "order_points", "read_gpx", "to_gpx"]
+__all__ = ["event_points", "found_points", "linear_track", "malformed_files", "order_points", "read_gpx", "to_gpx"]

@@ -18,7 +18,11 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, before = F.row_number().over(w) - 1, F.lag("ts").over(w)
     every = lambda n: F.col("event_id") % n == 0
     lat, lon = F.format_string("%.6f", F.lit(12.97) + F.coalesce("value", F.lit(0.0)) / 10000), F.format_string("%.6f", F.lit(77.59) + F.coalesce("k", F.lit(0.0)) / 10000)
-    time = F.when(every(23), None).when(every(29), F.concat(F.lit("INVALID_"), "event_id")).when(every(31), iso(F.coalesce(before, "ts"))).when(every(37), iso(F.col("ts") - F.expr("INTERVAL 6 HOURS"))).otherwise(iso(F.col("ts")))
+    place = index % 50
+    time = F.when(every(23), None).when(every(29), F.concat(F.lit("INVALID_"), "event_id"))
+    # Blocks: of one time again and again, and of times long before.
+    time = time.when(place.between(20, 23), iso(F.first("ts").over(w))).when(place.between(30, 33), iso(F.col("ts") - F.expr("INTERVAL 4000 DAYS")))
+    time = time.when(every(31), iso(F.coalesce(before, "ts"))).when(every(37), iso(F.col("ts") - F.expr("INTERVAL 6 HOURS"))).otherwise(iso(F.col("ts")))
     return events.select(
         F.col("user_id").cast("string").alias("track_id"), F.concat("user_id", F.lit(".gpx")).alias("file_name"), index.cast("bigint").alias("gpx_index"), F.lit("trkpt").alias("point_type"),
         F.when(every(97), "not-a-lat").when(every(89), "95.5").otherwise(lat).alias("raw_lat"), lon.alias("raw_lon"), F.lit(None).cast("string").alias("raw_ele"), time.alias("raw_time"), F.lit(None).cast("string").alias("extensions"),
@@ -29,6 +33,8 @@ EVENT_SQL = """found AS (SELECT CAST(user_id AS VARCHAR) AS track_id, CAST(row_n
     CASE WHEN event_id % 97 = 0 THEN 'not-a-lat' WHEN event_id % 89 = 0 THEN '95.5' ELSE printf('%.6f', 12.97 + coalesce(value, 0) / 10000) END AS raw_lat,
     printf('%.6f', 77.59 + coalesce(CAST(props ->> '$.k' AS DOUBLE), 0) / 10000) AS raw_lon,
     CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 'INVALID_' || event_id
+         WHEN (row_number() OVER w - 1) % 50 BETWEEN 20 AND 23 THEN strftime(first_value(ts) OVER w, '%Y-%m-%dT%H:%M:%S.%gZ')
+         WHEN (row_number() OVER w - 1) % 50 BETWEEN 30 AND 33 THEN strftime(ts - INTERVAL 4000 DAY, '%Y-%m-%dT%H:%M:%S.%gZ')
          WHEN event_id % 31 = 0 THEN strftime(coalesce(lag(ts) OVER w, ts), '%Y-%m-%dT%H:%M:%S.%gZ') WHEN event_id % 37 = 0 THEN strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%dT%H:%M:%S.%gZ')
          ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') END AS raw_time
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
