@@ -1,8 +1,10 @@
 """Personal data, toxicity, tokens and packing."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -164,6 +166,64 @@ def test_toxicity_without_examples(spark):
     assert toxicity.score(d.limit(0), labels).count() == 0
 
 
+def brute_toxicity(docs, labels):
+    """Scores from texts by the rules that the module states, with dictionaries."""
+    fold = {i: " " + re.sub(rb"[^a-z0-9\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())).decode("latin1") + " " for i, t in docs}
+    grams = {i: Counter(x[j : j + 6] for j in range(len(x) - 5)) for i, x in fold.items()}
+    known = {i: y for i, y in labels if i in fold and zlib.crc32(str(i).encode()) % 4 != 2}
+    of = {}
+    for i in sorted(known):
+        of.setdefault(fold[i], []).append(i)
+    example = {v[0]: max(known[i] for i in v) for v in of.values()}
+    k, m = sum(example.values()), sum(1 - y for y in example.values())
+    a, b = (Counter(g for i, y in example.items() if y == side for g in grams[i]) for side in (1, 0))
+    tried = [g for g in a | b if a[g] + b[g] >= 4]
+
+    def apart(g):
+        s = (a[g] + b[g]) / (k + m)
+        cells = (a[g], k * s), (b[g], m * s), (k - a[g], k * (1 - s)), (m - b[g], m * (1 - s))
+        return 2 * sum(x * math.log(x / e) for x, e in cells if x > 0)
+
+    terms = {g for g in tried if a[g] / k > b[g] / m and apart(g) >= 1.5 * math.log(max(2, len(tried)))}
+    df = Counter(g for x in grams.values() for g in x if g in terms)
+    vectors = {}
+    for i, x in grams.items():
+        v = {g: (1 + math.log(n)) * (math.log((len(docs) + 1) / (df[g] + 1)) + 1) for g, n in x.items() if g in terms}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        vectors[i] = {g: w / size for g, w in v.items()}
+    prior = (k + 0.1) / (k + m + 1)
+
+    def vote(i, own=None):
+        near = sorted(((-sum(w * vectors[e].get(g, 0) for g, w in vectors[i].items()), e) for e in example if e != own and vectors[e]))[:25]
+        near = [(-c, e) for c, e in near if c < 0]
+        return (sum(c * example[e] for c, e in near) + 0.5 * prior) / (sum(c for c, _ in near) + 0.5)
+
+    votes = sorted((vote(e, e), y) for e, y in example.items() if vectors[e])
+    blank = [y for e, y in example.items() if not vectors[e]]
+    x, y = toxicity.isotonic(np.array([v for v, _ in votes]), np.array([float(l) for _, l in votes]))
+    score = lambda v: 0.95 * np.interp(v, x, y) + 0.05 * v
+    alone = {fold[e] for e, y in example.items() if y and not vectors[e]}
+    return {i: score(vote(i)) if vectors[i] else score((1 + 0.5 * prior) / 1.5) if fold[i] in alone else (sum(blank) + prior) / (len(blank) + 1) for i in fold}
+
+
+def test_toxicity_is_what_brute_force_gives(spark):
+    rng = random.Random(12)
+    bad, plain = ["vilefoo", "grimbar", "nastyqux"], [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(330):
+        own = [rng.choice(plain) for _ in range(rng.randint(0, 30))] + [rng.choice(bad) + rng.choice(["", "s", "ing"]) for _ in range(2 * (i % 5 == 0))]
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+    labels = [(i, int(i % 5 == 0) if rng.random() < 0.95 else int(i % 5 != 0)) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.score(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    want = brute_toxicity(rows, labels)
+    # Examples with equal cosines at the 25th place may differ in which one votes.
+    close = [abs(got[i].score - want[i]) < 1e-6 for i in want]
+    assert sum(close) / len(close) > 0.9 and max(abs(got[i].score - want[i]) for i in want) < 0.2
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in want)
+
+
 def test_block_bounds_change_no_neighbour():
     rng = np.random.default_rng(0)
     row = np.repeat(np.arange(500), 6)
@@ -174,6 +234,8 @@ def test_block_bounds_change_no_neighbour():
         t = np.sort(rng.choice(80, 5, replace=False))
         q = rng.random(5)
         at, cos = index.nearest(t, q, 10)
-        every = q @ index.table[t][:, :500]
+        dense = np.zeros((80, 500))
+        dense[np.repeat(np.arange(80), np.add.reduceat(index.run_size, index.of_term[:-1])), index.at] = index.weight
+        every = q @ dense[t]
         best = np.lexsort((np.arange(500), -every))[:10]
         assert np.allclose(cos, every[best][: len(cos)]) and set(at[cos > cos.min() + 1e-9]) <= set(best)

@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are grams of six bytes of the text with A-Z lower-cased and everything but letters and digits as one kind of gap, so that they reach
-over a word's ends and catch inflected and compound words. The terms that tell the labels apart best, on a bounded sample of distinct
-labelled texts, are the vocabulary; their document frequencies are counted over all documents. Each document's nearest examples vote, weighted by
-cosine; votes are calibrated on the examples themselves, each scored without its own vote. The index holds examples in blocks with each
-term's largest weight per block: blocks whose bound can't reach the k-th best cosine are skipped, which changes no result.
+over a word's ends and catch inflected and compound words. The vocabulary is every gram of a bounded sample of distinct labelled texts whose
+log-likelihood ratio says that it marks toxic ones, beyond what the number of grams tried gives by chance: that test decides, no number of
+terms. Cosines over all words find toxic texts far worse, and terms of clean texts add little for four times the work (README). Document frequencies are counted over all documents.
+Each document's nearest examples vote, weighted by cosine; votes are calibrated on the examples themselves, each scored without its own vote.
+The index has posting lists in blocks of examples, and for each term the largest weight per block where it occurs: blocks whose bound can't
+reach the k-th best cosine are skipped, which changes no result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .words import chunks, text_bytes
+from .words import chunks, text_bytes, worker_object
 
 EXAMPLES = 8000  # distinct labelled texts that are learned from, at most
-TERMS = 1024
-LEAST_DOCS = 4
+LEAST_DOCS = 4  # examples that a term occurs in
+SURE = 1.5  # times the log of the grams tried: the least log-likelihood ratio of a term
 NEAREST = 25
 BLOCK = 64
+FIRST = 8  # blocks that set the bound for the others
 THRESHOLD = 0.3
 EVIDENCE = 3
 GRAM = 6
@@ -77,8 +81,14 @@ class Vocabulary:
         return key // len(self.codes), key % len(self.codes), count
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at start, one range after another."""
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - upto + size, size)
+
+
 class Index:
-    """Unit vectors of the examples that have terms, in blocks; nearest() is exact."""
+    """Unit vectors of the examples that have terms, as posting lists in blocks of examples; nearest() is exact."""
 
     def __init__(self, idf: np.ndarray, doc: np.ndarray, toxic: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray):
         self.idf, self.size = idf, len(doc)
@@ -86,15 +96,19 @@ class Index:
         heaviest = np.zeros(len(doc), np.int64)
         order = np.lexsort((weight, row))
         heaviest[row[order]] = term[order]  # the last, so the heaviest
-        place = np.lexsort((doc, toxic, heaviest))  # alike examples share blocks, which keeps bounds low
-        self.doc, self.toxic = doc[place], toxic[place].astype(np.float64)
-        where = np.empty(len(doc), np.int64)
-        where[place] = np.arange(len(doc))
-        blocks = -(-len(doc) // BLOCK)
-        self.table = np.zeros((len(idf), blocks * BLOCK), np.float64)
-        self.table[term, where[row]] = weight
-        self.bound = self.table.reshape(len(idf), blocks, BLOCK).max(axis=2) if blocks else np.zeros((len(idf), 0))
-        self.place = where
+        order = np.lexsort((doc, toxic, heaviest))  # alike examples share blocks, which keeps bounds low
+        self.doc, self.toxic = doc[order], toxic[order].astype(np.float64)
+        self.place = np.empty(len(doc), np.int64)
+        self.place[order] = np.arange(len(doc))
+        at = self.place[row]
+        order = np.lexsort((at, term))
+        self.at, self.weight, term = at[order], weight[order], term[order]  # posting lists, term by term
+        blocks = self.at // BLOCK
+        self.run = np.flatnonzero(np.concatenate(([True], (np.diff(term) != 0) | (np.diff(blocks) != 0)))) if len(term) else np.zeros(0, np.int64)
+        self.run_size = np.diff(np.concatenate((self.run, [len(term)])))  # a run is what a term has in one block
+        self.block, self.most = blocks[self.run], np.maximum.reduceat(self.weight, self.run) if len(term) else np.zeros(0)
+        self.of_term = np.searchsorted(term[self.run], np.arange(len(idf) + 1))
+        self.blocks = -(-len(doc) // BLOCK)
 
     def unit(self, row, term, count, rows: int) -> np.ndarray:
         weight = (1 + np.log(count)) * self.idf[term]
@@ -103,21 +117,26 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, nearest first, ties by place."""
-        bound = weight @ self.bound[term]
-        order = np.argsort(-bound, kind="stable")
-        at, cos, least, i = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while i < len(order) and bound[order[i]] > 0 and bound[order[i]] >= least - 1e-12:
-            some = order[i : i + 2]
-            i += 2
-            place = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            near = weight @ self.table[term[:, None], place]
-            good = (near > 0) & (place != without)
-            at, cos = np.concatenate((at, place[good])), np.concatenate((cos, near[good]))
-            if len(at) > k:
-                top = np.lexsort((at, -cos))[:k]
-                at, cos = at[top], cos[top]
-            least = cos.min() if len(at) >= k else 0.0
-        top = np.lexsort((at, -cos))
+        size = self.of_term[term + 1] - self.of_term[term]
+        runs, asked = _ranges(self.of_term[term], size), np.repeat(weight, size)
+        bound = np.bincount(self.block[runs], asked * self.most[runs], self.blocks)
+        first = np.argsort(-bound, kind="stable")[:FIRST]
+        least, found = 0.0, []
+        for turn in range(2):  # the likeliest blocks, then all others whose bound reaches the k-th best of those
+            take = (bound > 0) & (bound >= least - 1e-12)
+            other = np.ones(self.blocks, bool)
+            other[first] = False
+            take &= other if turn else ~other
+            own = take[self.block[runs]]
+            post = _ranges(self.run[runs[own]], self.run_size[runs[own]])
+            near = np.bincount(self.at[post], np.repeat(asked[own], self.run_size[runs[own]]) * self.weight[post], self.size)
+            at = np.flatnonzero(near > 0)
+            at = at[at != without]
+            found.append((at, near[at]))
+            if len(at) >= k and not turn:
+                least = np.partition(near[at], len(at) - k)[len(at) - k]
+        at, cos = (np.concatenate(x) for x in zip(*found, strict=True))
+        top = np.lexsort((at, -cos))[:k]
         return at[top], cos[top]
 
     def vote(self, at: np.ndarray, cos: np.ndarray, prior: float) -> float:
@@ -216,11 +235,19 @@ def _example_terms(vocabulary: Vocabulary):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def _apart(toxic: int, clean: int):
+    """Log-likelihood ratio of a term's occurring in a of the toxic and b of the clean examples, against chance."""
+    a, b, k, m = F.col("a").cast("double"), F.col("b").cast("double"), F.lit(float(toxic)), F.lit(float(clean))
+    share = (a + b) / (k + m)
+    part = lambda x, of: F.when(x > 0, x * F.ln(x / of)).otherwise(0.0)
+    return 2 * (part(a, k * share) + part(b, m * share) + part(k - a, k * (1 - share)) + part(m - b, m * (1 - share)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     """labels: doc_id, toxic (0, 1; null and other values don't count; of several the largest does). Only rows not held out are learned from,
     and each of their texts once, however many copies (A-Z lower-cased, other signs as gaps) have labels; of a text's labels the largest counts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").try_cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     alike = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).mapInArrow(_folded, "doc_id long, same binary").join(known, "doc_id")
     alike = alike.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     # Of an id with several texts one is learned from. Bounded by examples, so it may go to all; texts of other documents go no further than the scan.
@@ -233,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = n.get(1, 0), n.get(0, 0)
     prior = (toxic + 0.1) / (toxic + clean + 1)
     stats = own.mapInArrow(_term_stats, "code long, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    a, b, k, m = F.col("a"), F.col("b"), F.lit(float(max(1, toxic))), F.lit(float(max(1, clean)))
-    apart = (a * m - b * k) * (a * m - b * k) / ((a + b) * (k + m - a - b + 1))  # chi-squared, up to a factor
-    best = stats.where(a + b >= LEAST_DOCS).where(a / k > b / m).orderBy(F.desc(apart), "code").limit(terms).select("code").collect()
+    stats = written(stats.where(F.col("a") + F.col("b") >= LEAST_DOCS), "terms")
+    marks = F.col("a") / max(1, toxic) > F.col("b") / max(1, clean)
+    best = stats.where(marks & (_apart(toxic, clean) >= SURE * math.log(max(2, stats.count())))).select("code").collect()
     vocabulary = Vocabulary(np.sort(np.array([r["code"] for r in best], np.int64).view(np.uint64)))
     df, total = np.zeros(len(best)), 0
     for r in texts.mapInArrow(_count_terms(vocabulary), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # terms rows at most
@@ -251,9 +278,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     term, count = (np.array([x for r in rows for x in r[c]], np.int64) for c in ("terms", "counts"))
     label = np.array([r["toxic"] for r in rows], np.int64)
     index = Index(idf, np.array([r["doc_id"] for r in rows], np.int64), label, row, term, count)
-    weight, edge = index.unit(row, term, count, len(rows)), np.searchsorted(row, np.arange(len(rows) + 1))
-    votes = np.array([index.vote(*index.nearest(term[s:e], weight[s:e], NEAREST, index.place[i]), prior) for i, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True))])
-    return Model(vocabulary, index, prior, (sum(blank) + prior) / (len(blank) + 1), isotonic(votes, label.astype(float)) if len(rows) else (np.zeros(0), np.zeros(0)), alone)
+    votes = own.repartition(own.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(_votes(vocabulary, index, prior), "doc_id long, vote double, toxic int").orderBy("vote", "doc_id").collect()
+    points = isotonic(np.array([r["vote"] for r in votes]), np.array([float(r["toxic"]) for r in votes])) if votes else (np.zeros(0), np.zeros(0))
+    return Model(vocabulary, index, prior, (sum(blank) + prior) / (len(blank) + 1), points, alone)
+
+
+def _votes(vocabulary: Vocabulary, index: Index, prior: float):
+    """The vote on each example that has terms, without its own; a row per example at most."""
+    own = {doc: place for place, doc in enumerate(index.doc.tolist())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                row, term, count = vocabulary.counts(part.column("text"))
+                weight, edge = index.unit(row, term, count, part.num_rows), np.searchsorted(row, np.arange(part.num_rows + 1))
+                some, ids = np.flatnonzero(np.diff(edge)), part.column("doc_id").to_pylist()
+                votes = [index.vote(*index.nearest(term[edge[d] : edge[d + 1]], weight[edge[d] : edge[d + 1]], NEAREST, own[ids[d]]), prior) for d in some.tolist()]
+                at = pa.array(some)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), pa.array(votes, pa.float64()), part.column("toxic").take(at)], ["doc_id", "vote", "toxic"])
+
+    return run
 
 
 def _scored(model: Model):
@@ -261,6 +305,7 @@ def _scored(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.index
+        worker_object()
         for batch in batches:
             for part in chunks(batch, "text"):
                 n = part.num_rows
@@ -287,11 +332,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, held_out, score, predicted, evidence (nearest examples) of each row, over its whole text.
 
     Texts without any term, empty ones and null among them, have the share of toxic ones among such examples; copies of a toxic one among those
-    have its vote. Without labels all scores are
-    the prior, 0.1. Rows that repeat an id or a text are scored one by one. A null id is not held out.
+    have its vote. Without labels all scores are the prior, 0.1. Rows that repeat an id or a text are scored one by one. Ids that aren't whole
+    numbers are null; a null id is not held out. An empty table gives no rows; other columns play no part.
     """
     model = fit(docs, labels, id_col, text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = texts.mapInArrow(_scored(model), "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,similarity:double>>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
