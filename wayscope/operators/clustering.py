@@ -1,15 +1,18 @@
 """One-dimensional clustering of a track's time deltas relative to a running median.
 
-Whether a value joins depends on all values before it, so this is the one part that no aggregation expresses: tracks are groups, and a
-Python worker walks each group's values once. What it returns is a row per value; descriptors are aggregated from those by Spark.
+Whether a value joins depends on all values before it, so this is the one part that no aggregation expresses: tracks are dealt to tasks and
+sorted, and a Python worker walks each track's values once, many tracks a batch. What it returns is a row per value; descriptors are
+aggregated from those by Spark.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +56,47 @@ def sequential_count(values: np.ndarray, alpha: float = ALPHA) -> int:
     return count
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    in_order = pdf.sort_values("to_index").dt_sec.to_numpy(np.float64)
+def _walked(in_order: np.ndarray) -> list[np.ndarray]:
+    """Of one track's values in order: cluster, value, how far off each joined, its cluster's final centre, and the sequential count."""
     v = np.sort(in_order)
     number, rel, off = sorted_clusters(v)
     edge = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(v)]
     centre = np.concatenate([np.full(b - a, _middle(v, a, b)) for a, b in zip(edge[:-1], edge[1:], strict=True)])
-    return pd.DataFrame({"track_id": pdf.track_id.iloc[0], "cluster": number, "value": v, "inserted_rel": rel, "inserted_abs": off, "center": centre, "sequential_clusters": sequential_count(in_order)})
+    return [number.astype(np.int32), v, rel, off, centre, np.full(len(v), sequential_count(in_order))]
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by track and place. A track's values are held, 8 bytes each, until its last one is there."""
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    track, held = None, []
+
+    def out(tracks: list[tuple[str, list[np.ndarray]]]) -> pa.RecordBatch:
+        parts = [_walked(np.concatenate(v)) for _, v in tracks]
+        ids = pa.array([t for t, _ in tracks], pa.string()).take(pa.array(np.repeat(np.arange(len(tracks)), [len(x[0]) for x in parts])))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, values = batch.column("track_id"), batch.column("dt_sec").to_numpy()
+        edge = [0, *(np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(values)]
+        whole = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if held and ids[a].as_py() != track:
+                whole.append((track, held))
+                held = []
+            track = ids[a].as_py()
+            held.append(values[a:b])
+        if whole:
+            yield out(whole)
+    if held:
+        yield out([(track, held)])
 
 
 def cluster_rows(deltas: DataFrame) -> DataFrame:
     """A row per delta (track_id, to_index, dt_sec): its cluster, how far off it joined, and the cluster's final centre."""
-    return deltas.select("track_id", "to_index", "dt_sec").groupBy("track_id").applyInPandas(_walk, _ROWS)
+    own = deltas.select("track_id", "to_index", "dt_sec").repartition("track_id").sortWithinPartitions("track_id", "to_index")
+    return own.select("track_id", "dt_sec").mapInArrow(_walk, _ROWS)
 
 
 def descriptors(rows: DataFrame) -> DataFrame:
