@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ALPHA = 0.02
@@ -108,9 +108,9 @@ def descriptors(rows: DataFrame) -> DataFrame:
         F.avg("inserted_rel").alias("meanInsertionRelativeDeviation"), F.max("inserted_rel").alias("maxInsertionRelativeDeviation"), F.avg("inserted_abs").alias("meanInsertionAbsoluteDeviationSec"), F.max("inserted_abs").alias("maxInsertionAbsoluteDeviationSec"),
         F.avg(off).alias("finalMeanAbsoluteDeviationSec"), F.max(off).alias("finalMaxAbsoluteDeviationSec"), F.avg(rel).alias("finalMeanRelativeDeviation"), F.max(rel).alias("finalMaxRelativeDeviation"),
     )
-    total = rows.groupBy("track_id").agg(F.count(F.lit(1)).alias("total"))
+    total = F.sum("count").over(Window.partitionBy("track_id"))  # over clusters: values are walked once
     spread = F.col("maxSec") - F.col("minSec")
-    return g.join(total, "track_id").select(
+    return g.withColumn("total", total).select(
         "track_id", "cluster", "centerSec", "count", (F.col("count") / F.col("total")).alias("clusterShareOfTotalDeltas"), "minSec", "maxSec", spread.alias("spreadSec"),
         "meanInsertionRelativeDeviation", "maxInsertionRelativeDeviation", "meanInsertionAbsoluteDeviationSec", "maxInsertionAbsoluteDeviationSec", "finalMeanAbsoluteDeviationSec", "finalMaxAbsoluteDeviationSec",
         "finalMeanRelativeDeviation", "finalMaxRelativeDeviation", F.when(F.col("centerSec") > 0, spread / F.col("centerSec")).otherwise(0.0).alias("finalSpreadOverCenterRatio"),
