@@ -150,6 +150,19 @@ def test_pipeline(spark, docs, folder):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_pipeline_on_columns_of_any_name_and_empty_tables(spark, docs, folder, tmp_path):
+    import corpus_pipeline
+
+    more = docs.select("*", *(F.lit(1).alias(c) for c in ("gone", "_kept", "sampled", "_digest", "_id", "at", "one", "same")))
+    for rows, at in ((more, tmp_path / "more"), (more.limit(0), tmp_path / "none")):
+        rows.write.parquet(f"{at}/documents.parquet")
+        spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3:2] + corpus_pipeline.STAGES[1:4:2]:
+        out = stage(spark, more, str(tmp_path / "more"))
+        assert out.columns == more.columns and out.count() > 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 

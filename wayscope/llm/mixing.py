@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import fresh, written
 
 SWEEPS = 12
 TEMPERATURE = 0.7  # default targets: shares in proportion to tokens to this power, which evens sources out
@@ -79,7 +79,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     for p, t in pairs.items():
         for i, k in enumerate(part):
             room[k][p[i]] = room[k].get(p[i], 0.0) + t / (budget * all_tokens)
-    share = {k: fillable(dict(targets[k].limit(MOST_PAIRS).collect()), room[k]) for k in part}
+    wanted = {k: dict(targets[k].limit(MOST_PAIRS + 1).collect()) for k in part}
+    if any(len(v) > MOST_PAIRS for v in wanted.values()):
+        raise ValueError(f"more than {MOST_PAIRS} targets of languages or topics")
+    share = {k: fillable(wanted[k], room[k]) for k in part}
     factor = {p: float(share["lang"].get(p[0], 0) > 0 and share["topic"].get(p[1], 0) > 0) for p in pairs}
     spark = cells.sparkSession
     most = F.col("tokens") / F.lit(budget * max(1, all_tokens))
@@ -133,10 +136,11 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget:
 
 
 def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are sampled, all columns as they were."""
+    """The rows of docs that are sampled, all columns as they were, whatever their names; the rules are those of sample()."""
     id_col = options.get("id_col", "doc_id")
-    kept = sample(docs, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    name = fresh("sampled", docs)
+    kept = sample(docs, **options).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 _S = "nullif(length(text), 0)"
