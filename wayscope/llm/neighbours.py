@@ -28,6 +28,7 @@ MOST_LISTS = 16_384  # sent with the tasks: 8 MB at 64 components
 COPIES, COPY_RATIO = 2, 1.005  # lists that a vector may be in, and how much farther than the nearest they may lie
 BLOCK = 4096  # vectors, and queries, that one task compares at a time
 DEGREE = 24
+AT_ONCE = 8  # of the nearest centroids not yet walked from, so many are taken in a step
 CELLS = 1 << 21  # of a table of distances to centroids that is held at a time
 
 
@@ -127,17 +128,21 @@ class Centroids:
         dist, done, rows = np.full((n, c), np.inf), np.zeros((n, c), bool), np.arange(n)
         dist[:, self.start] = _distances(x, self.points[self.start])
         live = rows
+        some = min(AT_ONCE, c)
         while len(live):
             open_ = np.where(done[live], np.inf, dist[live])
-            best = open_.argmin(axis=1)
+            best = np.argpartition(open_, some - 1, axis=1)[:, :some]
             worst = np.partition(dist[live], width - 1, axis=1)[:, width - 1]
-            nearest = open_[np.arange(len(live)), best]
-            on = np.isfinite(nearest) & (nearest <= worst)
-            live, best = live[on], best[on]
-            done[live, best] = True
-            if self.next.size and len(live):
-                to = self.next[best]
-                dist[live[:, None], to] = np.sqrt(((self.points[to] - x[live][:, None]) ** 2).sum(axis=2))
+            nearest = np.take_along_axis(open_, best, axis=1)
+            row, at = np.nonzero(np.isfinite(nearest) & (nearest <= worst[:, None]))
+            walked, node = live[row], best[row, at]
+            done[walked, node] = True
+            if self.next.size and len(walked):
+                to = self.next[node]
+                new = ~np.isfinite(dist[walked[:, None], to])
+                q, to = np.repeat(walked, new.sum(axis=1)), to[new]
+                dist[q, to] = np.sqrt(((self.points[to] - x[q]) ** 2).sum(axis=1))
+            live = live[np.unique(row)]
         order = np.argsort(dist, axis=1, kind="stable")[:, :width]
         return order, np.take_along_axis(dist, order, axis=1)
 
