@@ -63,9 +63,49 @@ _RUNS = """, runs AS (SELECT track_id, k AS kind, run, min(gpx_index) AS start_i
             FROM cls WHERE k IN ('missing', 'unparsable', 'duplicate', 'backtracking') GROUP BY track_id, k, run)"""
 _JOINT = """, joint AS (SELECT track_id, prev_index AS from_index, gpx_index AS to_index, dt_ms / 1000.0::DOUBLE AS dt_sec, prev_m AS dd_meters FROM cls WHERE last_index = prev_index AND dt_ms > 0 AND prev_m > 0)"""
 
+#: A step per value: of a track's deltas as sorted and as they come, the cluster that each joins, and the open clusters' values in order.
+_CENTRE = "({0}[(len({0}) + 1) // 2] + {0}[len({0}) // 2 + 1]) / 2"
+_WALK = f""", dl AS (SELECT track_id, list(dt_ms / 1000.0::DOUBLE ORDER BY dt_ms) AS v, list(dt_ms / 1000.0::DOUBLE ORDER BY gpx_index) AS q FROM cls WHERE dt_ms > 0 GROUP BY track_id),
+    wk AS (SELECT track_id, v, q, 1 AS i, 0 AS cluster, [v[1]] AS own, v[1] AS x, 0.0::DOUBLE AS rel, 0.0::DOUBLE AS gap, 1 AS seq, [q[1]] AS seen FROM dl
+           UNION ALL SELECT track_id, v, q, i + 1, CASE WHEN g / c < {clustering.ALPHA} THEN cluster ELSE cluster + 1 END, CASE WHEN g / c < {clustering.ALPHA} THEN list_append(own, a) ELSE [a] END, a,
+                            CASE WHEN g / c < {clustering.ALPHA} THEN g / c ELSE 0 END, CASE WHEN g / c < {clustering.ALPHA} THEN g ELSE 0 END,
+                            CASE WHEN abs(b - m) / m < {clustering.ALPHA} THEN seq ELSE seq + 1 END, CASE WHEN abs(b - m) / m < {clustering.ALPHA} THEN list_sort(list_append(seen, b)) ELSE [b] END
+                     FROM (SELECT *, abs(a - c) AS g FROM (SELECT *, v[i + 1] AS a, q[i + 1] AS b, {_CENTRE.format("own")} AS c, {_CENTRE.format("seen")} AS m FROM wk WHERE i < len(v)))),
+    fc AS (SELECT track_id, cluster, {_CENTRE.format("arg_max(own, i)")} AS centre FROM wk GROUP BY track_id, cluster),
+    cr AS (SELECT wk.*, centre, abs(x - centre) AS far FROM wk JOIN fc USING (track_id, cluster)),
+    nm AS (SELECT track_id, CAST(max(cluster) + 1 AS BIGINT) AS sorted_n, CAST(max(seq) AS BIGINT) AS seq_n, count(*) AS n, avg(far) AS mean_far, max(far) AS max_far, avg(far / centre) AS mean_rel, max(far / centre) AS max_rel,
+                  count(*) FILTER (far > 0) AS moved FROM cr GROUP BY track_id)"""
+_CLUSTERS = """SELECT track_id, CAST(cluster AS INTEGER) AS cluster, round(any_value(centre), 6) AS "centerSec", count(*) AS "count", round(count(*) / sum(count(*)) OVER (PARTITION BY track_id), 6) AS "clusterShareOfTotalDeltas",
+    round(min(x), 6) AS "minSec", round(max(x), 6) AS "maxSec", round(max(x) - min(x), 6) AS "spreadSec", round(avg(rel), 6) AS "meanInsertionRelativeDeviation", round(max(rel), 6) AS "maxInsertionRelativeDeviation",
+    round(avg(gap), 6) AS "meanInsertionAbsoluteDeviationSec", round(max(gap), 6) AS "maxInsertionAbsoluteDeviationSec", round(avg(far), 6) AS "finalMeanAbsoluteDeviationSec", round(max(far), 6) AS "finalMaxAbsoluteDeviationSec",
+    round(avg(far / centre), 6) AS "finalMeanRelativeDeviation", round(max(far / centre), 6) AS "finalMaxRelativeDeviation", round((max(x) - min(x)) / any_value(centre), 6) AS "finalSpreadOverCenterRatio" FROM cr GROUP BY track_id, cluster"""
+_NORMAL = f"""SELECT track_id, {clustering.ALPHA}::DOUBLE AS "insertionRelativeThreshold", sorted_n AS "sortedClusterCount", seq_n AS "sequentialClusterCount", round(mean_far, 6) AS "meanFinalAbsoluteDeviationSec",
+    round(max_far, 6) AS "maxFinalAbsoluteDeviationSec", round(mean_rel, 6) AS "meanFinalRelativeDeviation", round(max_rel, 6) AS "maxFinalRelativeDeviation", round(sorted_n / n, 6) AS "sortedClusterCountOverTotalDeltasRatio",
+    round(seq_n / n, 6) AS "sequentialClusterCountOverTotalDeltasRatio", round(CASE WHEN sorted_n <= 1 THEN 1 ELSE seq_n / sorted_n END, 6) AS "sequentialOverSortedClusterCountRatio",
+    moved AS "nonZeroFinalDeviationCount", n - moved AS "zeroFinalDeviationCount" FROM nm"""
+#: What each figure of a document is, counted from the points themselves.
+_METRICS = """SELECT track_id, total_points, coalesce(valid, 0) AS valid_points, total_points - coalesce(valid, 0) AS rejected_points, false AS multiple_types, round(duration_ms / 1000.0::DOUBLE, 6) AS duration_sec,
+    coalesce(parseable, 0) AS parseable, coalesce(forward, 0) AS forward, coalesce(missing, 0) AS missing, coalesce(unparsable, 0) AS unparsable, coalesce(duplicate, 0) AS duplicate, coalesce(backtracking, 0) AS backtracking,
+    coalesce(missing_longest, 0) AS missing_longest, coalesce(unparsable_longest, 0) AS unparsable_longest, coalesce(duplicate_longest, 0) AS duplicate_longest, max_depth_ms, coalesce(positive, 0) AS positive_deltas,
+    coalesce(non_positive, 0) AS non_positive, coalesce(sorted_n, 0) AS sorted_clusters, coalesce(seq_n, 0) AS sequential_clusters, coalesce(geometry, 0) AS geometry_deltas, coalesce(pairs, 0) AS motion_pairs,
+    coalesce(motion_forward, 0) AS motion_forward, coalesce(backward, 0) AS backward_pairs, round(CASE WHEN up + down > 0 THEN down / (up + down) ELSE 0 END, 6) AS invalid_share
+    FROM (SELECT track_id, count(*) AS total_points FROM found GROUP BY track_id)
+    LEFT JOIN (SELECT track_id, count(*) AS valid, count(ts_ms) AS parseable, max(depth_ms) AS max_depth_ms, arg_max(ts_ms, CASE WHEN ts_ms IS NOT NULL THEN gpx_index END) - arg_min(ts_ms, CASE WHEN ts_ms IS NOT NULL THEN gpx_index END) AS duration_ms,
+        count(*) FILTER (k = 'forward') AS forward, count(*) FILTER (k = 'missing') AS missing, count(*) FILTER (k = 'unparsable') AS unparsable, count(*) FILTER (k = 'duplicate') AS duplicate,
+        count(*) FILTER (k = 'backtracking') AS backtracking, count(*) FILTER (dt_ms > 0) AS positive, count(*) FILTER (dt_ms <= 0) AS non_positive, count(*) FILTER (prev_m >= 0) AS geometry, count(last_index) AS pairs,
+        count(*) FILTER (dt_ms > 0) AS motion_forward, count(*) FILTER (dt_ms < 0) AS backward, coalesce(sum(dt_ms) FILTER (dt_ms > 0), 0) AS up, coalesce(sum(-dt_ms) FILTER (dt_ms < 0), 0) AS down FROM cls GROUP BY track_id) USING (track_id)
+    LEFT JOIN (SELECT track_id, max(length) FILTER (kind = 'missing') AS missing_longest, max(length) FILTER (kind = 'unparsable') AS unparsable_longest, max(length) FILTER (kind = 'duplicate') AS duplicate_longest
+        FROM runs WHERE length > 1 GROUP BY track_id) USING (track_id)
+    LEFT JOIN nm USING (track_id)"""
+#: Seconds as JSON has them: from ten million on with an exponent.
+_SEC_TEXT = """CASE WHEN dt_ms < 10000000000 THEN CAST(dt_ms / 1000.0::DOUBLE AS VARCHAR)
+    ELSE left(CAST(dt_ms AS VARCHAR), 1) || '.' || coalesce(nullif(rtrim(substr(CAST(dt_ms AS VARCHAR), 2), '0'), ''), '0') || 'E' || (len(CAST(dt_ms AS VARCHAR)) - 4) END"""
+_TIME_EXPORT = f"""SELECT track_id, '{{"deltas":[' || string_agg('{{"fromIndex":' || last_index || ',"toIndex":' || gpx_index || ',"dtSec":' || {_SEC_TEXT} || '}}', ',' ORDER BY gpx_index) || '],"count":' || count(*) || '}}' AS json
+    FROM cls WHERE dt_ms > 0 GROUP BY track_id"""
+
 
 def _events(sql: str, more: str = "") -> str:
-    return f"WITH {EVENT_SQL}{_CLS}{more} {sql}"
+    return f"WITH RECURSIVE {EVENT_SQL}{_CLS}{more} {sql}"
 
 
 def _of_orders(sql: str, more: str = "") -> str:
@@ -189,6 +229,10 @@ ORACLE: dict[str, str] = {
     "distance_deltas": _events(_DISTANCES),
     "primary_distances": _events(f"SELECT d.* FROM ({_DISTANCES}) d JOIN (SELECT track_id, coalesce(bool_or(dt_ms > 0), false) AS moving FROM cls GROUP BY ALL) USING (track_id) WHERE on_progress OR NOT moving"),
     "joint_pairs": _events("SELECT track_id, from_index, to_index, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters FROM joint", _JOINT),
+    "sampling_clusters": _events(_CLUSTERS, _WALK),
+    "sampling_normalization": _events(_NORMAL, _WALK),
+    "audit_metrics": _events(_METRICS, _RUNS + _WALK),
+    "export_time_deltas": _events(_TIME_EXPORT),
     "motion_pairs": _events("SELECT track_id, from_index, to_index, pair_class, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters, time_raw FROM mp", _MOTION),
     "motion_summary": _events(_MOTION_SUM, _MOTION),
     "motion_summary_orders": _of_orders(_MOTION_SUM, _MOTION),
