@@ -1,6 +1,6 @@
 """Whole audits as plans over the operators."""
 
-from .document import audit_documents, delta_documents, metrics, to_json_rows, write_json
+from .document import audit_documents, delta_documents, metrics, to_json_rows, track_metrics, write_json
 from .prevalence import prevalence
 
-__all__ = ["audit_documents", "delta_documents", "metrics", "prevalence", "to_json_rows", "write_json"]
+__all__ = ["audit_documents", "delta_documents", "metrics", "prevalence", "to_json_rows", "track_metrics", "write_json"]

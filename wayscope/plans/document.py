@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import finite
 from ..operators import ingest, motion, sampling, temporal
-from ..operators.classify import classify
-from ..schemas import SCHEMA_VERSION
+from ..operators.classify import classify, usable_distance
+from ..operators.clustering import cluster_rows
+from ..schemas import KINDS, SCHEMA_VERSION
 
 _EMPTY = "array<struct<gpxIndex:bigint,pointType:string,rawLat:string,rawLon:string,rawEle:string,rawTime:string,reason:string>>"
 
@@ -32,20 +32,21 @@ def ingestion_section(found: DataFrame, tracks: DataFrame) -> DataFrame:
 _NULL = {"rawSessionDurationSec", "maxDepthFromAnchorMs", "minMs", "maxMs", "medianMs", "normalization", "meanSpeedMps", "medianSpeedMps", "maxSpeedMps"}
 
 
-def _blank(kind: T.DataType, name: str = ""):
-    """What a section says of no points at all."""
+def _blank(kind: T.DataType, name: str = "") -> Column:
+    """What a section says of no points at all. Put together of literals: fields of a from_json are null once only some of them are asked for."""
     if name in _NULL:
-        return None
+        return F.lit(None).cast(kind)
     if isinstance(kind, T.StructType):
-        return {f.name: _blank(f.dataType, f.name) for f in kind}
-    if name == "insertionRelativeThreshold":
-        return sampling.ALPHA
-    return [] if isinstance(kind, T.ArrayType) else False if isinstance(kind, T.BooleanType) else 0.0 if isinstance(kind, T.DoubleType) else 0
+        return F.struct(*(_blank(f.dataType, f.name).alias(f.name) for f in kind))
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    return F.lit(sampling.ALPHA if name == "insertionRelativeThreshold" else 0).cast(kind)
 
 
-def _or_blank(frame: DataFrame, name: str):
-    kind = frame.schema[name].dataType
-    return F.coalesce(name, F.from_json(F.lit(json.dumps(_blank(kind))), kind)).alias(name)
+def _or_blank(frame: DataFrame, name: str) -> Column:
+    return F.coalesce(name, _blank(frame.schema[name].dataType)).alias(name)
 
 
 def audit_documents(found: DataFrame, tracks: DataFrame | None = None, generated_at: str | None = None, zone: str = "UTC") -> DataFrame:
@@ -98,3 +99,36 @@ def metrics(documents: DataFrame) -> DataFrame:
         "motion_pairs": f"{m}.evaluatedPairs.consecutivePairCount", "motion_forward": f"{m}.evaluatedPairs.forwardValidPairCount", "backward_pairs": f"{m}.rejections.backwardTimePairCount", "invalid_share": f"{m}.time.invalidTimeShareOfEvaluatedTime",
     }
     return documents.select("track_id", *(F.col(p).alias(k) for k, p in paths.items()))
+
+
+def track_metrics(found: DataFrame) -> DataFrame:
+    """The columns of metrics(), a row per track of found, counted from the points: no document, list or cluster is put together.
+
+    Points are counted per run, then runs per track, on the partitioning that the windows of classify() left.
+    """
+    c = classify(ingest.points(found))
+    timed, dt, paired = F.col("ts_ms").isNotNull(), F.col("dt_ms"), finite(F.col("anchor_m"))
+    at = F.when(timed, F.col("gpx_index"))
+    counts = {
+        "parseable": timed, "positive_deltas": dt > 0, "non_positive": dt <= 0, "geometry_deltas": F.col("prev_index").isNotNull() & usable_distance(F.col("prev_m")), "motion_pairs": F.col("last").isNotNull(),
+        "motion_forward": paired & (dt > 0), "backward_pairs": paired & (dt < 0),
+    }
+    runs = c.groupBy("track_id", "temporal_class", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.max("depth_ms").alias("depth"), *(F.count_if(v).alias(k) for k, v in counts.items()), F.sum(F.when(paired & (dt > 0), dt)).alias("up"), F.sum(F.when(paired & (dt < 0), -dt)).alias("down"),
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.min_by("ts_ms", at).alias("first_ms"), F.max_by("ts_ms", at).alias("last_ms"),
+    )
+    of = lambda k: F.col("temporal_class") == k
+    tracks = runs.groupBy("track_id").agg(
+        (F.max_by("last_ms", "last_at") - F.min_by("first_ms", "first_at")).alias("duration_ms"), F.max("depth").alias("max_depth_ms"), *(F.sum(k).alias(k) for k in counts), *(F.sum(F.when(of(k), F.col("n"))).alias(k) for k in ("forward", *KINDS)),
+        *(F.max(F.when(of(k) & (F.col("n") > 1), F.col("n"))).alias(f"{k}_longest") for k in KINDS), F.sum("up").alias("up"), F.sum("down").alias("down"),
+    )
+    clusters = cluster_rows(sampling.time_deltas(c)).groupBy("track_id").agg((F.max("cluster") + 1).cast("bigint").alias("sorted_clusters"), F.max("sequential_clusters").alias("sequential_clusters"))
+    every = ingest.counts(found).withColumnRenamed("has_multiple_point_types", "multiple_types").join(tracks, "track_id", "left").join(clusters, "track_id", "left")
+    up, down = F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))
+    n = lambda *names: [F.coalesce(x, F.lit(0)).alias(x) for x in names]
+    return every.select(
+        "track_id", "total_points", "valid_points", "rejected_points", "multiple_types", (F.col("duration_ms") / 1000).alias("duration_sec"),
+        *n("parseable", "forward", "missing", "unparsable", "duplicate", "backtracking", "missing_longest", "unparsable_longest", "duplicate_longest"), "max_depth_ms",
+        *n("positive_deltas", "non_positive", "sorted_clusters", "sequential_clusters", "geometry_deltas", "motion_pairs", "motion_forward", "backward_pairs"),
+        F.when(up + down > 0, down / (up + down)).otherwise(0.0).alias("invalid_share"),
+    )

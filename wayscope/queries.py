@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import classify as _classify
 from .operators import clustering, density, drill, ingest, motion, sampling, temporal
-from .plans import audit_documents, delta_documents, metrics, prevalence, to_json_rows
+from .plans import audit_documents, delta_documents, prevalence, to_json_rows, track_metrics
 from .schemas import KINDS
 from .sources import event_points, order_points
 from .sources.tables import EVENT_SQL, ORDER_SQL
@@ -191,7 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chart_viewport": lambda s, d: _rounded(density.viewport(_joint(s, d), *VIEW)),
     "chart_sequence": lambda s, d: _rounded(density.sequence_window(_joint(s, d))),
     "chart_legend": lambda s, d: _rounded(density.legend(_joint(s, d))),
-    "audit_metrics": lambda s, d: _rounded(metrics(_documents(s, d))),
+    "audit_metrics": lambda s, d: _rounded(track_metrics(event_points(s, d))),
     "audit_documents": lambda s, d: to_json_rows(_documents(s, d)),
     "export_time_deltas": lambda s, d: delta_documents(_deltas(s, d)),
     "export_joint_pairs": lambda s, d: delta_documents(_joint(s, d), "pairs"),
