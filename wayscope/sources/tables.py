@@ -12,9 +12,12 @@ def iso(ts: Column) -> Column:
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as found points: a track per user, with anomalies at fixed places so that every branch of an audit has rows."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
+    """events as found points: a track per user, with anomalies at fixed places so that every branch of an audit has rows.
+
+    Points are numbered on track_id itself, so that the exchange serves the audit's windows as well.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("track_id"), "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    w = Window.partitionBy("track_id").orderBy("event_id")
     index, before = F.row_number().over(w) - 1, F.lag("ts").over(w)
     every = lambda n: F.col("event_id") % n == 0
     lat, lon = F.format_string("%.6f", F.lit(12.97) + F.coalesce("value", F.lit(0.0)) / 10000), F.format_string("%.6f", F.lit(77.59) + F.coalesce("k", F.lit(0.0)) / 10000)
@@ -24,7 +27,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     time = time.when(place.between(20, 23), iso(F.first("ts").over(w))).when(place.between(30, 33), iso(F.col("ts") - F.expr("INTERVAL 4000 DAYS")))
     time = time.when(every(31), iso(F.coalesce(before, "ts"))).when(every(37), iso(F.col("ts") - F.expr("INTERVAL 6 HOURS"))).otherwise(iso(F.col("ts")))
     return events.select(
-        F.col("user_id").cast("string").alias("track_id"), F.concat("user_id", F.lit(".gpx")).alias("file_name"), index.cast("bigint").alias("gpx_index"), F.lit("trkpt").alias("point_type"),
+        "track_id", F.concat("track_id", F.lit(".gpx")).alias("file_name"), index.cast("bigint").alias("gpx_index"), F.lit("trkpt").alias("point_type"),
         F.when(every(97), "not-a-lat").when(every(89), "95.5").otherwise(lat).alias("raw_lat"), lon.alias("raw_lon"), F.lit(None).cast("string").alias("raw_ele"), time.alias("raw_time"), F.lit(None).cast("string").alias("extensions"),
     )
 
@@ -42,10 +45,10 @@ EVENT_SQL = """found AS (SELECT CAST(user_id AS VARCHAR) AS track_id, CAST(row_n
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as found points: a track per customer in order of keys, whose dates go back and forth by themselves."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    index = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("string").alias("track_id"), "o_orderdate", "o_totalprice")
+    index = F.row_number().over(Window.partitionBy("track_id").orderBy("o_orderkey")) - 1
     return orders.select(
-        F.col("o_custkey").cast("string").alias("track_id"), F.concat("o_custkey", F.lit(".gpx")).alias("file_name"), index.cast("bigint").alias("gpx_index"), F.lit("trkpt").alias("point_type"),
+        "track_id", F.concat("track_id", F.lit(".gpx")).alias("file_name"), index.cast("bigint").alias("gpx_index"), F.lit("trkpt").alias("point_type"),
         F.format_string("%.6f", F.lit(12.0) + F.floor("o_totalprice").cast("double") / 1000000).alias("raw_lat"), F.format_string("%.6f", F.lit(77.0) + (F.col("o_orderkey") % 1000).cast("double") / 1000).alias("raw_lon"),
         F.lit(None).cast("string").alias("raw_ele"), iso(F.col("o_orderdate")).alias("raw_time"), F.lit(None).cast("string").alias("extensions"),
     )
