@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, substring_dedup, token_counts, toxicity
+from . import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, sentence_pieces, substring_dedup, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer() -> str:
-    """Where this machine, and every executor with the same Python, has the vocabulary."""
+def tokenizer(name: str = TOKENIZER) -> str:
+    """Where this machine, and every executor with the same Python, has a vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +64,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, lambda vec_id: vec_id % 20 == 0)
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(_docs(spark, sf_dir), tokenizer(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_substring_dedup, op4_line_dedup, op5_exact_dedup, op6_near_dedup, op7_toxicity, op8_token_counts, op9_packing, op10_neighbours)}
+    every = (
+        op1_pii, op2_mixing, op3_substring_dedup, op4_line_dedup, op5_exact_dedup, op6_near_dedup, op7_toxicity, op8_token_counts, op9_packing,
+        op10_neighbours, op11_sentence_pieces,
+    )
+    return {f.__name__: f for f in every}
 
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
