@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, sentence_pieces, substring_dedup, token_counts, toxicity
+from . import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, sentence_pieces, spelling, substring_dedup, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -68,10 +68,14 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(_docs(spark, sf_dir), tokenizer(PIECES))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_pii, op2_mixing, op3_substring_dedup, op4_line_dedup, op5_exact_dedup, op6_near_dedup, op7_toxicity, op8_token_counts, op9_packing,
-        op10_neighbours, op11_sentence_pieces,
+        op10_neighbours, op11_sentence_pieces, op12_spelling,
     )
     return {f.__name__: f for f in every}
 
