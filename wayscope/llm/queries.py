@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, sentence_pieces, spelling, substring_dedup, token_counts, toxicity
+from . import conversation_repair, exact_dedup, line_dedup, mixing, near_dedup, neighbours, packing, pii, sentence_pieces, spelling, substring_dedup, token_counts, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -72,10 +72,14 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_docs(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_pii, op2_mixing, op3_substring_dedup, op4_line_dedup, op5_exact_dedup, op6_near_dedup, op7_toxicity, op8_token_counts, op9_packing,
-        op10_neighbours, op11_sentence_pieces, op12_spelling,
+        op10_neighbours, op11_sentence_pieces, op12_spelling, op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
