@@ -162,21 +162,34 @@ class Cell:
         """Places in own and of points of all pairs one edit apart."""
         rows = letters(own, self.length - shorter)
         counts = letter_counts(rows)
-        parity, ask, found = _parity(counts), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        parity, test = _parity(counts), one_inserted if shorter else one_replaced
+        kept, waiting, n = [np.zeros((2, 0), np.int64)], [], 0
+
+        def check() -> None:
+            """Keep of the waiting pairs those whose letters are in order, so that few pairs wait at a time."""
+            nonlocal n
+            if waiting:
+                a, b = np.concatenate([x for x, _ in waiting]), np.concatenate([y for _, y in waiting])
+                step = max(1, (1 << 21) // self.length)
+                for k in range(0, len(a), step):
+                    i, j = a[k : k + step], b[k : k + step]
+                    holds = test(rows[i], self.rows[j])
+                    kept.append(np.stack((i[holds], j[holds])))
+            waiting.clear()
+            n = 0
+
         for leaf, some in reached(self.tree, counts, np.ones(len(own), np.int32), np.full(len(own), 0 if shorter else 1, np.int32)):
             if len(leaf.members) > HEAVY:
-                a, b = self._by_halves(rows, some, leaf.members, shorter)
+                waiting.append(self._by_halves(rows, some, leaf.members, shorter))
             else:
                 i, j = np.nonzero(np.bitwise_count(parity[some][:, None] ^ self.parity[leaf.members][None, :]) <= (1 if shorter else 2))
-                a, b = some[i], leaf.members[j]
-            ask.append(a)
-            found.append(b)
-        a, b = np.concatenate(ask), np.concatenate(found)
-        test = one_inserted if shorter else one_replaced
-        step = max(1, (1 << 22) // self.length)
-        holds = [test(rows[a[k : k + step]], self.rows[b[k : k + step]]) for k in range(0, len(a), step)]
-        holds = np.concatenate([np.zeros(0, bool), *holds])
-        return a[holds], b[holds]
+                waiting.append((some[i], leaf.members[j]))
+            n += len(waiting[-1][0])
+            if n > 200_000:
+                check()
+        check()
+        a, b = np.concatenate(kept, axis=1)
+        return a, b
 
     def _by_halves(self, rows: np.ndarray, some: np.ndarray, members: np.ndarray, shorter: bool) -> tuple[np.ndarray, np.ndarray]:
         """Of many points with the same letters: those that agree with a word in its first or last half, one of which an edit leaves alone."""
