@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import classify as _classify
 from .operators import clustering, density, drill, ingest, motion, sampling, temporal
+from .operators.segmented import classify_segmented
 from .plans import audit_documents, delta_documents, prevalence, to_json_rows, track_metrics
 from .schemas import KINDS
 from .sources import event_points, order_points
@@ -22,6 +23,8 @@ CENTRE, REACH = 50, 20
 CURSOR = 8.0
 VIEW = (8.0, 10.5), (6.0, 7.0)
 DIGITS = 6
+#: Points of a chunk where tracks are classified in chunks; the driver's tracks are short, so that each one has several.
+CHUNK = 32
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +39,14 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classify.classify(ingest.points(order_points(spark, sf_dir)))
 
 
+def _segmented(points: DataFrame) -> DataFrame:
+    return classify_segmented(points, CHUNK)
+
+
+def _classes(classified: DataFrame) -> DataFrame:
+    return classified.select("track_id", "gpx_index", "ts_ms", "ts_state", "temporal_class", "anchor_ms", "depth_ms", "dt_ms", F.col("last.gpx_index").alias("last_index"))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
@@ -154,7 +165,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temporal_counts": lambda s, d: _rounded(temporal.summary(_classified(s, d))),
     "ingest_counts": lambda s, d: ingest.counts(event_points(s, d)),
     "ingest_rejections": lambda s, d: ingest.rejected(event_points(s, d)).select("track_id", "gpx_index", "point_type", "raw_lat", "raw_lon", "raw_time", "reason"),
-    "point_classes": lambda s, d: _classified(s, d).select("track_id", "gpx_index", "ts_ms", "ts_state", "temporal_class", "anchor_ms", "depth_ms", "dt_ms", F.col("last.gpx_index").alias("last_index")),
+    "point_classes": lambda s, d: _classes(_classified(s, d)),
+    "point_classes_segmented": lambda s, d: _classes(_segmented(_points(s, d))),
+    "temporal_blocks_segmented": lambda s, d: temporal.blocks(_segmented(_points(s, d))),
+    "temporal_blocks_orders_segmented": lambda s, d: temporal.blocks(_segmented(ingest.points(order_points(s, d)))),
     "temporal_isolated": lambda s, d: temporal.isolated(_classified(s, d)),
     "temporal_blocks_orders": lambda s, d: temporal.blocks(_orders(s, d)),
     "temporal_counts_orders": lambda s, d: _rounded(temporal.summary(_orders(s, d))),
@@ -267,6 +281,7 @@ ORACLE: dict[str, str] = {
         WHERE pos < CASE WHEN n > 200 THEN 200 ELSE least(n, greatest(30, round(n * 0.7::DOUBLE))) END""", _JOINT),
     "chart_legend": _events("SELECT track_id, share, round(CASE share WHEN 1 THEN most ELSE exp(ln(1 + most) * share) - 1 END, 6) AS meters FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS t(share)", _JOINT),
 } | {f"temporal_blocks_{k}": _events(f"{_BLOCKS} AND kind = '{k}'", _RUNS) for k in KINDS}
+ORACLE |= {"point_classes_segmented": ORACLE["point_classes"], "temporal_blocks_segmented": _events(_BLOCKS, _RUNS), "temporal_blocks_orders_segmented": ORACLE["temporal_blocks_orders"]}
 ORACLE = {k: v.replace("FILTER (", "FILTER (WHERE ") for k, v in ORACLE.items()}
 
 
