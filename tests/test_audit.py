@@ -120,32 +120,6 @@ def test_documents_keep_their_rules(found):
         assert all(c["maxInsertionRelativeDeviation"] < clustering.ALPHA for c in s["time"]["clustering"]["clusters"])
 
 
-def test_clusters_by_hand():
-    import numpy as np
-
-    v = np.array([10.0, 10.1, 10.25, 10.9, 20.0])
-    number, rel, off = clustering.sorted_clusters(v)
-    assert number.tolist() == [0, 0, 0, 1, 2] and math.isclose(off[2], 0.2) and rel[3] == 0
-    assert clustering.sequential_count(np.array([10.0, 20.0, 10.0, 10.1, 20.0])) == 4 and clustering.sequential_count(np.array([])) == 0
-
-
-def test_sequential_count_matches_resorting():
-    import numpy as np
-
-    rng = random.Random(2)
-    for _ in range(200):
-        v = [rng.choice([10, 10.1, 10.2, 10.3, 11, 12]) for _ in range(rng.randint(1, 30))]
-        clusters = []
-        for x in v:
-            if clusters:
-                centre = float(np.median(clusters[-1]))
-                if abs(x - centre) / centre < 0.02:
-                    clusters[-1].append(x)
-                    continue
-            clusters.append([x])
-        assert clustering.sequential_count(np.array(v, float)) == len(clusters)
-
-
 def test_parsing(spark):
     texts = ["1.5abc", "", "  -2e1x", "Infinity", ".5.", "abc", None, "+7", "1.5d"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(parse_float(F.col("x"))).collect()]

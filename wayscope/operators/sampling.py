@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finite
 from .classify import usable_distance
-from .clustering import ALPHA, cluster_rows, descriptors
+from .clustering import ALPHA, cluster_values, descriptors, sequential_clusters
 
 
 def _seconds(ms):
@@ -57,10 +57,11 @@ def section(classified: DataFrame) -> DataFrame:
     """track_id and the sampling section of its document."""
     c = context(classified)
     events = non_positive_pairs(classified).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("to_index", F.struct(F.col("from_index").alias("fromIndex"), F.col("to_index").alias("toIndex"), F.col("delta_ms").alias("delta")).alias("e")))).alias("pairs"))
-    rows = cluster_rows(time_deltas(classified))
-    described = descriptors(rows)
+    deltas = time_deltas(classified)
+    values = cluster_values(deltas)
+    described = descriptors(values)
     listed = described.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("far"), F.col("centerSec").alias("c"), F.struct(*[x for x in described.columns if x not in ("track_id", "cluster")]).alias("d")))).alias("clusters"))
-    norm = normalization(rows)
+    norm = normalization(values, sequential_clusters(deltas))
     s = c.join(events, "track_id", "left").join(listed, "track_id", "left").join(norm, "track_id", "left")
     n = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     ratios = ("sortedClusterCountOverTotalDeltasRatio", "sequentialClusterCountOverTotalDeltasRatio", "sequentialOverSortedClusterCountRatio")
@@ -84,16 +85,19 @@ def section(classified: DataFrame) -> DataFrame:
     return s.select("track_id", F.struct(time.alias("time"), distance.alias("distance")).alias("sampling"))
 
 
-def normalization(rows: DataFrame) -> DataFrame:
-    """Per track with deltas: counts of clusters both ways, and how far deltas lie from their final centres."""
-    off, rel = F.abs(F.col("value") - F.col("center")), F.when(F.col("center") > 0, F.abs(F.col("value") - F.col("center")) / F.col("center")).otherwise(0.0)
-    g = rows.groupBy("track_id").agg(
-        F.lit(ALPHA).alias("insertionRelativeThreshold"), (F.max("cluster") + 1).cast("bigint").alias("sortedClusterCount"), F.max("sequential_clusters").alias("sequentialClusterCount"),
-        F.avg(off).alias("meanFinalAbsoluteDeviationSec"), F.max(off).alias("maxFinalAbsoluteDeviationSec"), F.avg(rel).alias("meanFinalRelativeDeviation"), F.max(rel).alias("maxFinalRelativeDeviation"),
-        F.count(F.lit(1)).alias("n"), F.count_if(off > 0).alias("nonZeroFinalDeviationCount"), F.count_if(off <= 0).alias("zeroFinalDeviationCount"),
+def normalization(values: DataFrame, sequential: DataFrame) -> DataFrame:
+    """Per track with deltas: counts of clusters both ways (cluster_values() and sequential_clusters()), and how far deltas lie from final centres."""
+    off, n = F.abs(F.col("value") - F.col("center")), F.col("n")
+    rel = F.when(F.col("center") > 0, off / F.col("center")).otherwise(0.0)
+    g = values.groupBy("track_id").agg(
+        F.lit(ALPHA).alias("insertionRelativeThreshold"), (F.max("cluster") + 1).alias("sortedClusterCount"),
+        (F.sum(off * n) / F.sum(n)).alias("meanFinalAbsoluteDeviationSec"), F.max(off).alias("maxFinalAbsoluteDeviationSec"),
+        (F.sum(rel * n) / F.sum(n)).alias("meanFinalRelativeDeviation"), F.max(rel).alias("maxFinalRelativeDeviation"), F.sum(n).alias("n"),
+        F.sum(F.when(off > 0, n).otherwise(0)).alias("nonZeroFinalDeviationCount"), F.sum(F.when(off <= 0, n).otherwise(0)).alias("zeroFinalDeviationCount"),
     )
+    own = g.join(sequential.withColumnRenamed("sequential_clusters", "sequentialClusterCount"), "track_id")
     by_sorted = F.when(F.col("sortedClusterCount") <= 1, 1.0).otherwise(F.col("sequentialClusterCount") / F.col("sortedClusterCount"))
-    return g.select(
+    return own.select(
         "track_id", "insertionRelativeThreshold", "sortedClusterCount", "sequentialClusterCount", "meanFinalAbsoluteDeviationSec", "maxFinalAbsoluteDeviationSec", "meanFinalRelativeDeviation", "maxFinalRelativeDeviation",
         (F.col("sortedClusterCount") / F.col("n")).alias("sortedClusterCountOverTotalDeltasRatio"), (F.col("sequentialClusterCount") / F.col("n")).alias("sequentialClusterCountOverTotalDeltasRatio"),
         by_sorted.alias("sequentialOverSortedClusterCountRatio"), "nonZeroFinalDeviationCount", "zeroFinalDeviationCount",

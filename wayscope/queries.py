@@ -139,6 +139,11 @@ def _deltas(s: SparkSession, d: str) -> DataFrame:
     return sampling.time_deltas(_classified(s, d))
 
 
+def _normalized(s: SparkSession, d: str) -> DataFrame:
+    deltas = _deltas(s, d)
+    return _rounded(sampling.normalization(clustering.cluster_values(deltas), clustering.sequential_clusters(deltas)))
+
+
 def _primary(s: SparkSession, d: str) -> DataFrame:
     return sampling.primary_distances(_classified(s, d))
 
@@ -179,8 +184,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distance_deltas": lambda s, d: _rounded(sampling.distance_deltas(_classified(s, d))),
     "primary_distances": lambda s, d: _rounded(sampling.primary_distances(_classified(s, d))),
     "joint_pairs": lambda s, d: _rounded(_joint(s, d)),
-    "sampling_clusters": lambda s, d: _rounded(clustering.descriptors(clustering.cluster_rows(_deltas(s, d)))),
-    "sampling_normalization": lambda s, d: _rounded(sampling.normalization(clustering.cluster_rows(_deltas(s, d)))),
+    "sampling_clusters": lambda s, d: _rounded(clustering.descriptors(clustering.cluster_values(_deltas(s, d)))),
+    "sampling_cluster_numbers": lambda s, d: _rounded(clustering.cluster_numbers(_deltas(s, d)).withColumn("cluster", F.col("cluster").cast("int"))),
+    "sampling_normalization": _normalized,
     "motion_pairs": lambda s, d: _rounded(motion.pairs(_classified(s, d))),
     "motion_summary": lambda s, d: _rounded(motion.summary(motion.pairs(_classified(s, d)))),
     "motion_summary_orders": lambda s, d: _rounded(motion.summary(motion.pairs(_orders(s, d)))),
@@ -244,6 +250,8 @@ ORACLE: dict[str, str] = {
     "primary_distances": _events(f"SELECT d.* FROM ({_DISTANCES}) d JOIN (SELECT track_id, coalesce(bool_or(dt_ms > 0), false) AS moving FROM cls GROUP BY ALL) USING (track_id) WHERE on_progress OR NOT moving"),
     "joint_pairs": _events("SELECT track_id, from_index, to_index, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters FROM joint", _JOINT),
     "sampling_clusters": _events(_CLUSTERS, _WALK),
+    "sampling_cluster_numbers": _events("""SELECT d.track_id, last_index AS from_index, gpx_index AS to_index, round(dt_ms / 1000.0::DOUBLE, 6) AS dt_sec, CAST(cluster AS INTEGER) AS cluster, round(centre, 6) AS center
+        FROM cls d JOIN (SELECT DISTINCT track_id, x, cluster, centre FROM cr) c ON c.track_id = d.track_id AND c.x = d.dt_ms / 1000.0::DOUBLE WHERE dt_ms > 0""", _WALK),
     "sampling_normalization": _events(_NORMAL, _WALK),
     "audit_metrics": _events(_METRICS, _RUNS + _WALK),
     "export_time_deltas": _events(_TIME_EXPORT),
