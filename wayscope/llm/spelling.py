@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import remove, workspace, written
+from .scratch import workspace, written
 
 LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
 #: Words that trees of cells are grown on, at most, and the length up to which words have such trees (longer ones: one cell a length).
@@ -306,13 +306,18 @@ def forms(counted: DataFrame, times: int = TIMES) -> DataFrame:
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(clear, F.col("best.other")).alias("form"), F.when(clear, -F.col("best.m")).alias("form_n"))
 
 
+def _few_files(words: DataFrame) -> DataFrame:
+    """Tables of words are small beside the texts they come from: four partitions share a task and a file."""
+    return words.coalesce(max(1, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
 def roots(formed: DataFrame, within: str | None = None) -> DataFrame:
     """formed with root: where forms lead in the end, the word itself if it has none. Each form is times as frequent as the one before, so ways are
     short; a step goes twice as far as the last one."""
-    links = written(formed.where("form is not null").select("word", F.col("form").alias("root")), "links", within)
+    links = written(_few_files(formed.where("form is not null").select("word", F.col("form").alias("root"))), "links", within)
     while True:
         on = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        met = written(links.join(on, "root", "left"), "links", within)
+        met = written(_few_files(links.join(on, "root", "left")), "links", within)
         if met.where("further is not null").isEmpty():
             break
         links = met.select("word", F.coalesce("further", "root").alias("root"))
@@ -326,8 +331,6 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     part; other columns play no part; an empty table gives no rows.
     """
     at = workspace(docs.sparkSession, "spelling")
-    counted = written(words(docs, id_col, text_col), "words", at)
-    formed = written(forms(counted), "forms", at)
-    out = written(roots(formed, at).select("word", "form", "root", "n", "n_near", "form_n"), "variants")
-    remove(docs.sparkSession, at)
-    return out
+    counted = written(_few_files(words(docs, id_col, text_col)), "words", at)
+    formed = written(_few_files(forms(counted)), "forms", at)
+    return roots(formed, at).select("word", "form", "root", "n", "n_near", "form_n")
