@@ -10,6 +10,8 @@ own length, and asks in the cells of its length and the next one that its range
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 from zlib import crc32
@@ -30,21 +32,45 @@ LEAF, HEAVY = 24, 256
 _LETTERS = 90  # a to z, U+00C0 to U+00FF
 _AT = np.zeros(256, np.int64)
 _AT[97:123], _AT[0xC0:] = np.arange(26), np.arange(26, 90)
-_RUN = r"[a-zÀ-ÿ]{%d,}" % LEAST_LENGTH
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
+#: Different words that a task counts before it hands them on.
+COUNTED = 200_000
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of whole texts with how often each occurs, as counted so far whenever so many different ones are held."""
+    found: dict[str, int] = {}
+
+    def out() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        found.clear()
+        return done
+
+    for batch in batches:
+        for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not text:
+                continue
+            salt = crc32(f"{name}:".encode())
+            for run, n in Counter(_RUN.findall(text.encode().lower().decode())).items():
+                h = crc32(run.encode(), salt)
+                if h % 31 == 0:
+                    at = h % len(run)
+                    run = run[:at] + run[at + 1 :]
+                    if len(run) < LEAST_LENGTH:
+                        continue
+                found[run] = found.get(run, 0) + n
+            if len(found) > COUNTED:
+                yield out()
+    if found:
+        yield out()
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """word and n: of each maximal run of letters (a to z in either case, U+00C0 to U+00FF), A-Z lower-cased, that is at least LEAST_LENGTH long and
     occurs LEAST_COUNT times. A run loses a letter where a hash of the row's id and the run says so. Counts combine before the shuffle."""
-    low = F.translate(F.col(text_col).cast("string"), _UPPER, _LOWER)
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(low, F.lit(_RUN), F.lit(0))).alias("run"))
-    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
-    hashed = runs.select("run", h.alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    word = F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")
-    return hashed.select(word).where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
+    counted = texts.mapInArrow(_runs, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= LEAST_COUNT)
 
 
 def letters(own: list[str], length: int) -> np.ndarray:
