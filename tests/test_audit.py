@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayscope.functions import clock, epoch_ms, haversine, js_number, parse_float
-from wayscope.operators import clustering, density, drill, ingest, motion, sampling, temporal
+from wayscope.operators import clustering, density, drill, ingest, motion, nearest, sampling, temporal
 from wayscope.operators.classify import classify
 from wayscope.plans import audit_documents, delta_documents, metrics, prevalence, to_json_rows
 from wayscope.schemas import FOUND, KINDS
@@ -174,7 +174,7 @@ def test_drill(spark, found):
     assert (got["a"].points, got["a"].elapsed_sec) == (4, 3.0) and math.isclose(got["a"].cumulative_m, got["a"].displacement_m, rel_tol=1e-6)
     assert tuple(got["b"])[1:] == (0.0, 0.0, 0, None)
     probes = spark.createDataFrame([("p", "a", 0.0, 0.25), ("q", "b", 0.0, 0.0)], "probe_id string, track_id string, lat double, lon double")
-    assert {r.probe_id: r.gpx_index for r in drill.nearest_point(p, probes).collect()} == {"p": 2, "q": 99}
+    assert {r.probe_id: r.gpx_index for r in nearest.nearest_point(p, probes).collect()} == {"p": 2, "q": 99}
     assert {r.track_id: r.max_lon for r in drill.neighbourhood(p, 5, 2).collect()} == {"a": 0.7}
     assert [len(r.route) for r in drill.polyline(p).orderBy("track_id").collect()] == [10, 1]
 

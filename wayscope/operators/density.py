@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +24,15 @@ def _logs(values: DataFrame, column: str) -> DataFrame:
     return values.where(finite(F.col(column)) & (F.col(column) > 0)).select("track_id", F.ln(column).alias("x"))
 
 
+def silverman(deviation: Column, n: Column) -> Column:
+    """1.06 deviations by the fifth root of n; a deviation that is 0 or undefined counts as 1."""
+    return F.lit(1.06) * F.coalesce(F.nullif(deviation, F.lit(0.0)), F.lit(1.0)) * F.pow(n, F.lit(-0.2))
+
+
 def bandwidth(values: DataFrame, column: str) -> DataFrame:
     """Silverman's bandwidth of the logs of each track's positive values; a deviation that is 0 or undefined counts as 1."""
     g = _logs(values, column).groupBy("track_id").agg(F.stddev_samp("x").alias("sd"), F.count(F.lit(1)).alias("n"))
-    sd = F.coalesce(F.nullif(F.col("sd"), F.lit(0.0)), F.lit(1.0))
-    return g.select("track_id", (F.lit(1.06) * sd * F.pow(F.col("n"), F.lit(-0.2))).alias("h"), "n")
+    return g.select("track_id", silverman(F.col("sd"), F.col("n")).alias("h"), "n")
 
 
 def chosen_bandwidth(option: float | None) -> float | None:
@@ -37,18 +44,61 @@ def kde(values: DataFrame, column: str, h: float | None = None, grid: int = GRID
     """track_id, grid_i, x_log, x_linear, y: Gaussian density of the logs at grid points from least to largest.
 
     h: the bandwidth of the logs; by default what option stands for, else Silverman's. Options below 1 make it negative, and the density with
-    it; at 0 (option 1) y is NaN. Equal values are counted first, so the kernel sum runs over distinct ones.
+    it; at 0 (option 1) y is NaN. Equal values are counted first, and kernels of the distinct ones are summed batch by batch into arrays over the
+    grid, of which the sums are then added up; values are read once.
     """
     h = chosen_bandwidth(option) if h is None else h
+    every = Window.partitionBy("track_id")
     counted = _logs(values, column).groupBy("track_id", "x").agg(F.count(F.lit(1)).alias("c"))
-    span = counted.groupBy("track_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("c").alias("n"))
-    wide = span.join(bandwidth(values, column).select("track_id", "h"), "track_id") if h is None else span.withColumn("h", F.lit(float(h)))
-    points = wide.select("track_id", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_i"), "lo", "hi")
-    points = points.select("track_id", "n", "h", "grid_i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("grid_i") / F.lit(float(max(1, grid - 1)))).alias("x_log"))
-    u = F.try_divide(F.col("x_log") - F.col("x"), F.col("h"))
-    scale = F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi))
-    y = F.coalesce(F.try_divide(F.sum(F.exp(F.lit(-0.5) * u * u) * F.col("c")), scale), F.lit(float("nan")))
-    return points.join(counted, "track_id").groupBy("track_id", "grid_i", "x_log").agg(y.alias("y")).select("track_id", "grid_i", "x_log", F.exp("x_log").alias("x_linear"), "y")
+    span = {"lo": F.min("x").over(every), "hi": F.max("x").over(every), "n": F.sum("c").over(every)}
+    if h is None:
+        # Squares of what lies above the least value, so that little is lost where values differ little.
+        off = F.col("x") - F.col("lo")
+        wide = counted.withColumns(span).withColumns({"s": F.sum(F.col("c") * off).over(every), "q": F.sum(F.col("c") * off * off).over(every)})
+        spread = F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1))
+        wide = wide.withColumn("h", silverman(F.when(F.col("hi") > F.col("lo"), F.sqrt(spread)), F.col("n")))
+    else:
+        wide = counted.withColumns(span | {"h": F.lit(float(h))})
+    sums = wide.select("track_id", "x", "c", "lo", "hi", "n", "h").mapInArrow(_kernel_sums(grid), _SUMS)
+    points = sums.select("track_id", "lo", "hi", "n", "h", F.posexplode("sums").alias("grid_i", "part"))
+    summed = points.groupBy("track_id", "grid_i", "lo", "hi", "n", "h").agg(F.sum("part").alias("kernels"))
+    x_log = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("grid_i") / F.lit(float(max(1, grid - 1)))
+    y = F.coalesce(F.try_divide(F.col("kernels"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))), F.lit(float("nan")))
+    return summed.select("track_id", "grid_i", x_log.alias("x_log"), F.exp(x_log).alias("x_linear"), y.alias("y"))
+
+
+_SUMS = "track_id string, lo double, hi double, n bigint, h double, sums array<double>"
+
+
+def _kernel_sums(grid: int):
+    """Distinct logs with counts, with what is known of their track, to partial kernel sums over each track's grid: a row for each track that a batch
+    holds any of, so a track may be dealt to any tasks and no value meets a grid point as a row."""
+    at = np.arange(grid) / max(1, grid - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("track_id").dictionary_encode()
+            own = ids.indices.to_numpy()
+            order = np.argsort(own, kind="stable")
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(own[order])) + 1))
+            first = order[edge]
+            x, c, lo, hi, h = (batch.column(k).to_numpy()[order] for k in ("x", "c", "lo", "hi", "h"))
+            sums = np.zeros((len(edge), grid))
+            # A few hundred thousand kernels at a time, track after track.
+            for t, (a, b) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(x)], strict=True)):
+                points = lo[a] + (hi[a] - lo[a]) * at
+                for k in range(a, b, 2048):
+                    e = min(b, k + 2048)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        u = (points[:, None] - x[None, k:e]) / h[a]
+                    sums[t] += np.nan_to_num(np.exp(-0.5 * u * u)) @ c[k:e].astype(float)
+            known = [batch.column(k).take(pa.array(first)) for k in ("track_id", "lo", "hi", "n", "h")]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(edge) + 1) * grid, pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*known, lists], ["track_id", "lo", "hi", "n", "h", "sums"])
+
+    return run
 
 
 def peaks(curve: DataFrame) -> DataFrame:

@@ -49,17 +49,6 @@ def neighbourhood(points: DataFrame, index: int, reach: int = 100) -> DataFrame:
     return bounds(placed.join(at, "track_id").where(F.abs(F.col("pos") - F.col("at")) <= reach))
 
 
-def nearest_point(points: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe_id, track_id, gpx_index, lat, lon of each track's point nearest to each probe (probe_id, track_id, lat, lon) of that track.
-
-    Nearest in squared degrees; the first of equally near ones. Probes meet their own track's points only, and minima combine before the shuffle.
-    """
-    p = probes.select("probe_id", "track_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    d = (F.col("lat") - F.col("p_lat")) * (F.col("lat") - F.col("p_lat")) + (F.col("lon") - F.col("p_lon")) * (F.col("lon") - F.col("p_lon"))
-    best = points.join(p, "track_id").groupBy("probe_id", "track_id").agg(F.min(F.struct(d.alias("d"), "gpx_index", "lat", "lon")).alias("x"))
-    return best.select("probe_id", "track_id", "x.gpx_index", "x.lat", "x.lon")
-
-
 def polyline(points: DataFrame) -> DataFrame:
     """track_id and its route as an ordered array of (gpx_index, lat, lon)."""
     return points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("gpx_index", "lat", "lon"))).alias("route"))

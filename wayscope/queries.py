@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .operators import classify as _classify
 from .operators import clustering, density, drill, ingest, motion, sampling, temporal
+from .operators.medians import exact_medians
+from .operators.nearest import nearest_point
 from .operators.segmented import classify_segmented
 from .plans import audit_documents, delta_documents, prevalence, to_json_rows, track_metrics
 from .schemas import KINDS
@@ -25,6 +27,10 @@ VIEW = (8.0, 10.5), (6.0, 7.0)
 DIGITS = 6
 #: Points of a chunk where tracks are classified in chunks; the driver's tracks are short, so that each one has several.
 CHUNK = 32
+#: Levels of the grid that nearest points are looked up in; the driver's tracks have some hundred points.
+LEVELS = 1
+#: Rounds of histograms that medians are found by.
+ROUNDS = 2
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +165,14 @@ def _probes(points: DataFrame) -> DataFrame:
 
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    return drill.nearest_point(p, _probes(p))
+    return nearest_point(p, _probes(p), LEVELS)
+
+
+def _medians(s: SparkSession, d: str) -> DataFrame:
+    """Medians of times and speeds of forward pairs."""
+    pairs = motion.pairs(_classified(s, d)).where("pair_class = 'forward'")
+    both = pairs.select("track_id", F.explode(F.array(F.struct(F.lit("dt_sec").alias("figure"), F.col("dt_sec").alias("x")), F.struct(F.lit("mps").alias("figure"), (F.col("dd_meters") / F.col("dt_sec")).alias("x")))).alias("v"))
+    return _rounded(exact_medians(both.select("track_id", "v.figure", "v.x"), ["track_id", "figure"], "x", ROUNDS))
 
 
 def _documents(s: SparkSession, d: str) -> DataFrame:
@@ -191,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "motion_summary": lambda s, d: _rounded(motion.summary(motion.pairs(_classified(s, d)))),
     "motion_summary_orders": lambda s, d: _rounded(motion.summary(motion.pairs(_orders(s, d)))),
     "motion_rejections": lambda s, d: _rounded(motion.pairs(_classified(s, d)).where("pair_class <> 'forward'")),
+    "motion_medians": _medians,
     "local_block": lambda s, d: _rounded(drill.local_block(_points(s, d), *BLOCK)),
     "route_bounds": lambda s, d: drill.bounds(_points(s, d)),
     "route_polyline": lambda s, d: drill.polyline(_points(s, d)),
@@ -259,6 +273,8 @@ ORACLE: dict[str, str] = {
     "motion_summary": _events(_MOTION_SUM, _MOTION),
     "motion_summary_orders": _of_orders(_MOTION_SUM, _MOTION),
     "motion_rejections": _events("SELECT track_id, from_index, to_index, pair_class, round(dt_sec, 6) AS dt_sec, round(dd_meters, 6) AS dd_meters, time_raw FROM mp WHERE pair_class <> 'forward'", _MOTION),
+    "motion_medians": _events("""SELECT track_id, figure, count(*) AS n, round(median(x), 6) AS median FROM (SELECT track_id, 'dt_sec' AS figure, dt_sec AS x FROM mp WHERE pair_class = 'forward'
+        UNION ALL SELECT track_id, 'mps', dd_meters / dt_sec FROM mp WHERE pair_class = 'forward') GROUP BY track_id, figure""", _MOTION),
     "local_block": f"""WITH {EVENT_SQL}{_PTS}, own AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM pts WHERE gpx_index BETWEEN {BLOCK[0]} AND {BLOCK[1]} WINDOW w AS (PARTITION BY track_id ORDER BY gpx_index)),
         g AS (SELECT track_id, sum({_m('a', 'b', 'lat', 'lon')}) AS m, count(*) AS n, arg_min(lat, gpx_index) AS y1, arg_min(lon, gpx_index) AS x1, arg_max(lat, gpx_index) AS y2, arg_max(lon, gpx_index) AS x2, arg_min(ROW(ts_ms), gpx_index)[1] AS t1, arg_max(ROW(ts_ms), gpx_index)[1] AS t2 FROM own GROUP BY track_id)
         SELECT track_id, round(coalesce(m, 0), 6) AS cumulative_m, round(CASE WHEN n > 1 THEN {_m('y1', 'x1', 'y2', 'x2')} ELSE 0 END, 6) AS displacement_m, coalesce(n, 0) AS points, round(CASE WHEN n > 1 THEN (t2 - t1) / 1000.0::DOUBLE END, 6) AS elapsed_sec FROM (SELECT DISTINCT track_id FROM pts) LEFT JOIN g USING (track_id)""",
