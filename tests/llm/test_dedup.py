@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from wayscope.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from wayscope.llm.components import components
 
@@ -65,6 +67,48 @@ def test_exact_columns_with_any_name(spark):
     assert [r.doc_id for r in exact_dedup.keep_first(named).collect()] == ["y"]
 
 
+@pytest.mark.parametrize("fails", [0, 1, 2, 3])
+def test_index_after_a_failed_append(spark, tmp_path, monkeypatch, fails):
+    """A call that dies between its writes, at any batch, leaves the index as it was; done anew, here or in a later session, counts are right."""
+    at = f"file://{tmp_path}/index"
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
+    more = spark.createDataFrame([(4, "a"), (5, "c"), (6, "C"), (7, "b"), (8, "c"), (9, "d")], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, at, 4)
+    if fails < 3:
+        exact_dedup.dedup(first, index=index).count()
+    real, calls = exact_dedup.DigestIndex._write, []
+
+    def dies(self, rows, mode):
+        calls.append(1)
+        if len(calls) == min(fails, 2) + 1:
+            raise OSError("lost")
+        real(self, rows, mode)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_write", dies)
+    with pytest.raises(OSError, match="lost"):
+        exact_dedup.dedup(more if fails < 3 else first, index=index)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_write", real)
+    if fails == 1:  # a later session
+        index.close()
+        index = exact_dedup.DigestIndex(spark, at)
+    if fails == 3:
+        exact_dedup.dedup(first, index=index).count()
+    got = {r.doc_id: (r.group_size, r.kept) for r in exact_dedup.dedup(more, index=index).collect()}
+    assert got == {4: (3, False), 5: (3, False), 6: (3, False), 7: (2, False), 8: (3, True), 9: (1, True)}
+    index.compact()
+    index.close()
+    again = exact_dedup.DigestIndex(spark, at)
+    assert again.rows().count() == 4 and {r.group_size for r in again.counts().collect()} == {1, 2, 3}
+    again.drop()
+
+
+def test_text_ids_are_refused(spark):
+    d = spark.createDataFrame([("x", "one two three"), ("y", "one two three")], "doc_id string, text string")
+    for f in (substring_dedup.dedup, near_dedup.classes, near_dedup.keep_one):
+        with pytest.raises(TypeError, match="whole numbers"):
+            f(d)
+
+
 def brute_repeats(rows, n):
     seen, out = set(), {}
     for i, t in sorted(rows):

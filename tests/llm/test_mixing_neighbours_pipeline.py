@@ -169,3 +169,17 @@ def test_registered():
     names = e.queries()
     assert {f"op{i}_" for i in range(1, 11)} <= {n.split("_")[0] + "_" for n in names} and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    """A target of 0 beside one that fills up, and targets above what there is, give a sample and say what was reached."""
+    d = spark.createDataFrame([(i, " ".join(["w"] * 10), "en" if i < 30 else "de", f"s{i % 2}") for i in range(100)], "doc_id long, text string, lang string, source string")
+    share = lambda k, **v: spark.createDataFrame(list(v.items()), f"{k} string, share double")
+    targets = {"source": share("source", s0=0.5, s1=0.5), "lang": share("lang", en=1.0, de=0.0), "topic": share("topic", prose=1.0)}
+    assert mixing.fillable({"en": 1.0, "de": 0.0}, {"en": 0.4, "de": 1.0}) == {"en": 0.4 * mixing.SLACK, "de": 0.0}
+    assert {r.lang for r in mixing.sample(d, targets).where("kept").collect()} == {"en"}
+    cells = d.groupBy("source", "lang").agg(F.lit(300).cast("long").alias("tokens")).withColumn("topic", F.lit("prose"))
+    told = {(r.dimension, r.value): r for r in mixing.margins(mixing.rake(cells, targets), targets).collect()}
+    assert told["lang", "de"].reached == 0 and told["lang", "en"].error < -0.2 and abs(told["source", "s0"].reached - told["source", "s1"].reached) < 1e-6
+    fine = targets | {"lang": share("lang", en=0.5, de=0.5)}
+    assert all(abs(r.error) < 0.01 for r in mixing.margins(mixing.rake(cells, fine), fine).collect())

@@ -32,18 +32,29 @@ def digest(text):
 
 class DigestIndex:
     """Digests of all texts taken in so far, each with the id that stays, in the folder path; made there at the first append, and found there by
-    any later session. One writer at a time."""
+    any later session. One writer at a time.
+
+    An append has a number of its own, under which its counts and then its rows are written; it counts once a marker in commits names it. What a
+    failed or lost append left behind is never read, and its number never used again, so an append may simply be done anew.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets, self.version, self.appends, self.table = spark, path.rstrip("/"), buckets, 0, 0, None
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows-*/_SUCCESS")
-        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-        names = [f.getPath().getParent().getName().split("-") for f in found or ()]
-        if names:  # rows-<version>-<buckets>; an unfinished version has no _SUCCESS
+        # rows-<version>-<buckets>; an unfinished version has no _SUCCESS
+        names = [n.split("/")[-2].split("-") for n in self._files("rows-*/_SUCCESS")]
+        seen = {int(n.rsplit("-", 1)[-1]) for n in self._files("counts-*")}
+        self.committed = {int(i) for n in self._files("commits/*") for i in n.rsplit("/", 1)[-1].split("-")}
+        self.pending: set[int] = set()  # written by this session, and seen by it, but not committed yet
+        self.failed = seen - self.committed
+        self.appends = max(seen, default=-1) + 1
+        if names:
             _, version, buckets = max(names, key=lambda x: int(x[1]))
             self.version, self.buckets = int(version), int(buckets)
             self._open(create=True)
-            self.appends = self._last() + 1
+
+    def _files(self, pattern: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        return [str(f.getPath()) for f in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or ()]
 
     @property
     def _rows(self) -> str:
@@ -58,40 +69,63 @@ class DigestIndex:
     def _kind(self) -> str:
         return self.spark.read.parquet(self._rows).schema["keep_id"].dataType.simpleString()
 
-    def _last(self) -> int:
-        return self.spark.read.parquet(f"{self.path}/counts").agg(F.max("batch")).first()[0]
-
     def rows(self) -> DataFrame:
         """digest, keep_id and batch (the number of the append that brought it); after one append at least."""
-        return self.spark.table(self.table)
+        every = self.spark.table(self.table)
+        return every.where(~F.col("batch").isin(*sorted(self.failed))) if self.failed else every
 
     def counts(self) -> DataFrame:
         """digest and group_size: the rows taken in with that text."""
-        return self.spark.read.parquet(f"{self.path}/counts").groupBy("digest").agg(F.sum("n").alias("group_size"))
+        paths = [f"{self.path}/counts-{i}" for i in sorted(self.committed | self.pending)]
+        return self.spark.read.parquet(*paths).groupBy("digest").agg(F.sum("n").alias("group_size"))
 
     def lacking(self, groups: DataFrame) -> DataFrame:
         """The groups (digest, ...) that the index lacks, by a sort-merge anti-join; the index is neither exchanged nor, once compact, sorted."""
         dealt = groups.repartition(self.buckets, "digest")
         return dealt if self.table is None else dealt.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> int:
-        """groups (digest, keep_id, n), one per digest of a batch: those that the index lacks are appended. The number of this append."""
-        batch = self.appends
-        groups.select("digest", F.col("n").cast("long").alias("n"), F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{self.path}/counts")
+    def append(self, groups: DataFrame, commit: bool = True) -> int:
+        """groups (digest, keep_id, n), one per digest of a batch: those that the index lacks are appended. The number of this append. Without commit
+        it is seen by this object alone until commit() makes it and others count together, or abort() takes them back."""
+        batch, new_table = self.appends, self.table is None
+        self.appends += 1
         before = self.spark.conf.get(_ORDERED, "false")
         self.spark.conf.set(_ORDERED, "true")
         try:
+            own = groups.select("digest", F.col("n").cast("long").alias("n"))
+            own.write.mode("overwrite").parquet(f"{self.path}/counts-{batch}")
             new = self.lacking(groups).select("digest", "keep_id", F.lit(batch).cast("long").alias("batch"))
-            if self.table is None:
+            if new_table:
                 self._open()
             self._write(new, "append")
+        except BaseException:
+            self.failed.add(batch)
+            if new_table:
+                self.close()
+                remove(self.spark, self._rows)
+            raise
         finally:
             self.spark.conf.set(_ORDERED, before)
-        self.appends += 1
+        self.pending.add(batch)
+        if commit:
+            self.commit()
         if self.appends % COMPACT == 0:
             self.compact()
         return batch
 
+    def commit(self) -> None:
+        """All pending appends count from here on, by one file that is made at once."""
+        if self.pending:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{'-'.join(map(str, sorted(self.pending)))}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at).close()
+            self.committed |= self.pending
+            self.pending = set()
+
+    def abort(self) -> None:
+        """Pending appends never count."""
+        self.failed |= self.pending
+        self.pending = set()
+
     def _write(self, rows: DataFrame, mode: str) -> None:
         # Rows are in their bucket's partition already: each bucket gets one file a write.
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self._rows).mode(mode).saveAsTable(self.table)
@@ -141,16 +175,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     text from an earlier call already; then none does. group_size counts all rows with that text that the index has taken in. Of rows that also
     share the id, one stays. A null id is smaller than any other. An empty table gives no rows; other columns play no part.
 
-    index: takes the rows in; by default one that is made for this call and dropped after it.
+    index: takes the rows in, all or, if the call fails, none; by default one that is made for this call and dropped after it.
     """
     spark = docs.sparkSession
     own = written(digests(docs, id_col, text_col), "digests")  # the one pass over texts
     work = workspace(spark, "index")
     into = index or DigestIndex(spark, work, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     first = into.appends
-    for part in _falling(own, batches):
-        into.append(part.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")))
-    known = written(into.rows().join(into.counts(), "digest").withColumn("_new", F.col("batch") >= first).drop("batch"), "known")
+    try:
+        for part in _falling(own, batches):
+            into.append(part.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), commit=False)
+    except BaseException:
+        into.abort()
+        raise
+    into.commit()
+    rows, counts = into.rows(), into.counts()
+    if index is not None:  # of an index that holds more than this table, only what the table has
+        mine = own.select("digest").distinct()
+        rows, counts = rows.join(mine, "digest", "left_semi"), counts.join(mine, "digest", "left_semi")
+    known = written(rows.join(counts, "digest").withColumn("_new", F.col("batch") >= first).drop("batch"), "known")
     if index is None:
         into.drop()
     # Rows of hot digests stay where they are and meet a broadcast table of fewer than HOT rows; the others are joined by digest.

@@ -52,13 +52,14 @@ def _shares(cells: DataFrame, key: str, temperature: float) -> DataFrame:
 
 
 def fillable(shares: dict[str, float], room: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
-    """Shares of a sample, none above the room that its value's tokens leave; what is cut goes to the others in proportion."""
+    """Shares of a sample, none above the room that its value's tokens leave; what is cut goes to the others in proportion. Where the others want
+    nothing, or have no room either, the shares add up to less than 1; margins() tells what was reached."""
     cut = {k: room.get(k, 0.0) * SLACK for k in shares}
     for _ in range(rounds):
         full = {k for k in shares if shares[k] >= cut[k]}
         free = sum(v for k, v in shares.items() if k not in full)
         left = 1 - sum(cut[k] for k in full)
-        shares = {k: cut[k] if k in full else v * left / free for k, v in shares.items()}
+        shares = {k: cut[k] if k in full else v * left / free if free else 0.0 for k, v in shares.items()}
     return shares
 
 
@@ -114,6 +115,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET
     return out.select("source", "lang", "topic", "tokens", "weight", F.least(F.lit(1.0), F.col("weight") / most).alias("probability"))
 
 
+def margins(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """dimension, value, target, reached (the share of all weight that rake() gave), error (reached - target) of every value that has a target or a
+    cell. Targets that ask for more tokens than there are, in sum or of one value, show here."""
+    out = []
+    for k in ("source", "lang", "topic"):
+        got = raked.groupBy(F.col(k).alias("value")).agg(F.sum("weight").alias("reached"))
+        met = targets[k].select(F.col(k).alias("value"), F.col("share").cast("double").alias("target")).join(got, "value", "full_outer")
+        none = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+        out.append(met.select(F.lit(k).alias("dimension"), "value", none("target"), none("reached")).withColumn("error", F.col("reached") - F.col("target")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE, seed: int = SEED,
            id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability (six decimals) and kept of each row.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import fresh, remove, workspace, written
+from .scratch import fresh, remove, require_whole_ids, workspace, written
 from .words import Words, chunks, gram_hashes, mixed, word_hashes, words_of, worker_object
 
 SHINGLE = 5
@@ -337,10 +337,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     Classes are the components of all pairs whose distinct shingles of five words (A-Z lower-cased) have a Jaccard similarity of at least
     similarity; weighted: shingles count as often as they occur. Texts without words, and null, are classes by themselves. Texts of one to
     four words are one shingle. Of what meets, nothing is left unverified; a pair at the similarity meets in no band, or lies too far below
-    it by its signature, with a chance of 5e-5 and 3e-7 at 0.8. A null id counts as the smallest; ids that aren't whole numbers are null.
+    it by its signature, with a chance of 5e-5 and 3e-7 at 0.8. A null id counts as the smallest; ids that aren't whole numbers raise.
     Rows that share an id should share a text: they stand for one document, so what is like either text is linked to the id. An empty table
     gives no rows; other columns play no part. block, block_shingles, star: what one task holds at a time.
     """
+    require_whole_ids(docs, id_col)
     spark = docs.sparkSession
     work = workspace(spark, "near")
     texts = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(_NONE)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,6 +40,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def require_whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Raise unless ids are whole numbers: other ids can't be compared by size, so rows would have to be numbered first."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType) and not (isinstance(kind, T.DecimalType) and kind.scale == 0):
+        raise TypeError(f"{id_col} has type {kind.simpleString()}; number the rows by whole numbers first")
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, whatever its case."""
     taken = {c.lower() for f in frames for c in f.columns}

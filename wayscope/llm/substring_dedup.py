@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import require_whole_ids, written
 from .words import chunks, gram_hashes, mixed, power_table, word_hashes, words_of
 
 WINDOW = 20
@@ -181,6 +181,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     Earlier means in a document of smaller id, or before it in the same document. Texts with fewer words than the window have no rows.
     """
+    require_whole_ids(docs, id_col)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seeds = texts.mapInArrow(_seeds(window, min(GRAM, window)), _ANCHORS)
     matched = seeds.repartition("key").sortWithinPartitions("anchor", "stretch", "doc_id", "start").mapInArrow(_match, "doc_id long, start int, windows int, extend boolean")
@@ -196,9 +197,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """Each document without the words of windows that also start earlier: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text).
 
-    Kept words are joined by one space. Null and empty texts have no words. A null id counts as the smallest one and comes back as null.
+    Kept words are joined by one space. Null and empty texts have no words. A null id counts as the smallest one and comes back as null;
+    ids that aren't whole numbers raise. An empty table gives no rows.
     Rows that share an id are versions of one document: the same place in them is one occurrence. Other columns play no part.
     """
+    require_whole_ids(docs, id_col)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = repeats(docs, id_col, text_col, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     whole = texts.join(runs.hint("shuffle_hash"), "doc_id", "left")
