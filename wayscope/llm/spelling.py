@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .scratch import workspace, written
 
 LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
-#: Words that trees of cells are grown on, at most, and the length up to which words have such trees (longer ones: one cell a length).
+#: Words that trees of cells are grown on (about), and the length up to which words have such trees (longer ones: one cell a length).
 SAMPLE, LONGEST = 60_000, 64
 #: Points of a cell as aimed at; points and bytes of words that a task holds of one cell at most (beyond, the cell is cut into blocks).
 CELL, HELD, HELD_BYTES = 8192, 50_000, 16 << 20
@@ -309,7 +309,9 @@ def near_words(counted: DataFrame) -> DataFrame:
     A word has at most some sixty such neighbours for each of its letters, so rows stay in proportion to the words."""
     size = F.length("word")
     sizes = {r.length: r.n for r in counted.where(size <= LONGEST).groupBy(size.alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    some = [r.word for r in counted.where(size <= LONGEST).select("word").orderBy(F.xxhash64("word")).limit(SAMPLE).collect()]
+    # About SAMPLE words, whichever have the smallest hashes: each task sends its share.
+    share = min(1.0, SAMPLE / max(1, sum(sizes.values())))
+    some = [r.word for r in counted.where((size <= LONGEST) & (F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))).select("word").collect()]
     trees: dict[int, Leaf | Split] = {}
     for length, n in sizes.items():
         own = [w for w in some if len(w) == length]
