@@ -44,3 +44,23 @@ def js_number(x: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     power = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E(-?)", "e$2"), "e([0-9])", "e+$1")
     return F.when(x == 0, "0").when(F.isnan(x) | (size == F.lit(float("inf"))), x.cast("string")).when((size >= 1e-6) & (size < 1e21), plain).otherwise(power)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A double as text with so many decimals (up to 6), rounded by its exact binary value, and up in size where that lies in the middle: 1.005 to two
+    decimals is 1.00. What is too large for that has the decimals that its shortest form has."""
+    scale = F.lit(float(10**digits))
+    size = F.abs(x)
+    # The product's rounding error, exactly: both halves of the number have few enough bits for their products to be exact.
+    wide = size * F.lit(134217729.0)
+    high = wide - (wide - size)
+    product = size * scale
+    error = (high * scale - product) + (size - high) * scale
+    below = F.floor(product)
+    up = (product - below.cast("double") - F.lit(0.5)) + error >= 0
+    n = below + F.when(up, 1).otherwise(0)
+    # Below 1e15 all whole numbers are exact as doubles.
+    whole, part = F.floor(n / F.lit(10**digits)).cast("string"), F.lpad((n % 10**digits).cast("string"), digits, "0")
+    text = F.concat(whole, F.lit("."), part) if digits else n.cast("string")
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), text)
+    return F.when(F.isnan(x) | (size >= 1e15 / 10**digits), js_number(x)).otherwise(plain)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import finite
+from ..functions import finite, fixed
 
 GRID = 200
 FLOOR = 1e-10
@@ -187,7 +187,7 @@ def legend(pairs: DataFrame) -> DataFrame:
 
 def tick(x: Column, about: bool = False) -> Column:
     """A number as chart text: 0 as such, whole from 1, else two decimals; about: all but 0 after a tilde."""
-    text = F.when(F.abs(x) >= 1, F.floor(x + 0.5).cast("bigint").cast("string")).otherwise(F.format_string("%.2f", x))
+    text = F.when(F.abs(x) >= 1, F.floor(x + 0.5).cast("bigint").cast("string")).otherwise(fixed(x, 2))
     return F.when(x == 0, "0").otherwise(F.concat(F.lit("~"), text) if about else text)
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import epoch_ms, finite, haversine
+from ..functions import epoch_ms, finite, fixed, haversine
 from .classify import usable_distance
 
 
@@ -32,7 +32,7 @@ def block_edge(text: str | None) -> int:
 
 def block_text(block: DataFrame) -> DataFrame:
     """track_id and text of what local_block() gives: a line per figure, two decimals."""
-    two = lambda c: F.format_string("%.2f", F.col(c))
+    two = lambda c: fixed(F.col(c), 2)
     lines = (F.lit("cumulativeDistanceM: "), two("cumulative_m")), (F.lit("netDisplacementM: "), two("displacement_m")), (F.lit("pointCount: "), F.col("points").cast("string"))
     elapsed = F.concat(F.lit("elapsedTimeSec: "), F.when(F.col("elapsed_sec").isNotNull(), two("elapsed_sec")).otherwise("null"))
     return block.select("track_id", F.concat_ws("\n", *(F.concat(*x) for x in lines), elapsed).alias("text"))

@@ -49,22 +49,39 @@ def _or_blank(frame: DataFrame, name: str) -> Column:
     return F.coalesce(name, _blank(frame.schema[name].dataType)).alias(name)
 
 
-def audit_documents(found: DataFrame, tracks: DataFrame | None = None, generated_at: str | None = None, zone: str = "UTC") -> DataFrame:
+SECTIONS = ("ingestion", "temporal", "sampling", "motion")
+
+
+def audit_documents(
+    found: DataFrame, tracks: DataFrame | None = None, generated_at: str | None = None, zone: str = "UTC", sections: tuple[str, ...] = SECTIONS, point_counts: DataFrame | None = None
+) -> DataFrame:
     """track_id, metadata, audit: a document per track.
 
     found: all points found; tracks (track_id, file_name): those that get a document even without any point, by default those of found.
-    generated_at: text put into every document, null by default, so that results repeat. zone: of clock times.
+    generated_at: text put into every document, null by default, so that results repeat. zone: of clock times. sections: those that are audited; the
+    others are null. point_counts (track_id, total_points): what a document says that its track has, where that isn't null, instead of what the
+    ingestion section counted; without either it says 0.
     """
+    if set(sections) - set(SECTIONS):
+        raise ValueError(f"no such section: {sorted(set(sections) - set(SECTIONS))}")
     tracks = found.select("track_id", "file_name").distinct() if tracks is None else tracks.select("track_id", "file_name")
     c = classify(ingest.points(found)).persist(StorageLevel.MEMORY_AND_DISK)  # read by three sections
-    i = ingestion_section(found, tracks)
-    sections = i.join(temporal.section(c, zone), "track_id", "left").join(sampling.section(c), "track_id", "left").join(motion.section(c), "track_id", "left")
-    doc = tracks.join(sections, "track_id")
+    made = {"ingestion": ingestion_section(found, tracks), "temporal": temporal.section(c, zone), "sampling": sampling.section(c), "motion": motion.section(c)}
+    doc = tracks.join(made["ingestion"], "track_id", "left")
+    for name in SECTIONS[1:]:
+        if name in sections:
+            doc = doc.join(made[name], "track_id", "left")
+    counted = F.coalesce("ingestion.counts.totalPointCount", F.lit(0)) if "ingestion" in sections else F.lit(0).cast("bigint")
+    if point_counts is not None:
+        told = point_counts.select("track_id", F.col("total_points").cast("bigint").alias("told_points"))
+        doc, counted = doc.join(told, "track_id", "left"), F.coalesce("told_points", counted)
     metadata = F.struct(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(generated_at).cast("string").alias("generatedAtUtc"), F.struct(F.col("file_name").alias("fileName")).alias("source"),
-        F.struct(F.col("ingestion.counts.totalPointCount").alias("totalPointCount")).alias("summary"),
+        F.struct(counted.alias("totalPointCount")).alias("summary"),
     )
-    return doc.select("track_id", metadata.alias("metadata"), F.struct("ingestion", *(_or_blank(doc, x) for x in ("temporal", "sampling", "motion"))).alias("audit"))
+    none = lambda name: F.lit(None).cast(made[name].schema[name].dataType).alias(name)
+    own = [F.col("ingestion") if "ingestion" in sections else none("ingestion"), *(_or_blank(doc, x) if x in sections else none(x) for x in SECTIONS[1:])]
+    return doc.select("track_id", metadata.alias("metadata"), F.struct(*own).alias("audit"))
 
 
 def to_json_rows(documents: DataFrame) -> DataFrame:

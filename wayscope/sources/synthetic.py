@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..schemas import POINT_TYPES
 
 
 def linear_track(spark: SparkSession, track_id: str, count: int, start: tuple[float, float], step: tuple[float, float], base_ms: int, dt_sec: float) -> DataFrame:
     """Found points on a straight line at an even pace, coordinates to six decimals."""
     at = F.timestamp_millis(F.lit(base_ms) + (F.col("id") * F.lit(dt_sec * 1000)).cast("bigint"))
-    place = lambda i: F.format_string("%.6f", F.lit(float(start[i])) + F.col("id") * F.lit(float(step[i])))
+    place = lambda i: fixed(F.lit(float(start[i])) + F.col("id") * F.lit(float(step[i])), 6)
     return spark.range(count).select(
         F.lit(track_id).alias("track_id"), F.lit(f"{track_id}.gpx").alias("file_name"), F.col("id").alias("gpx_index"), F.lit("trkpt").alias("point_type"), place(0).alias("raw_lat"), place(1).alias("raw_lon"),
         F.lit("100").alias("raw_ele"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("raw_time"), F.lit(None).cast("string").alias("extensions"),
