@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayscope.plans import audit_documents, to_json_rows
 from wayscope.schemas import FOUND
 from wayscope.sources import found_points, read_gpx, to_gpx
-from wayscope.sources.files import MANIFEST, register, split_points, write_documents
+from wayscope.sources.files import MANIFEST, register, split_points, write_documents, write_gpx_files
 
 from .test_segmented import tracks
 
@@ -39,8 +39,8 @@ def test_an_aborted_job_leaves_nothing(spark, tmp_path, bad):
 def test_ranges_give_the_points_of_the_whole(spark, tmp_path, split):
     found = spark.createDataFrame(tracks(6, 3), FOUND).withColumn("point_type", F.element_at(F.array(*map(F.lit, ["trkpt", "wpt", "rtept"])), (F.col("gpx_index") % 3 + 1).cast("int")))
     found = found.withColumns({"raw_ele": F.when(F.col("gpx_index") % 2 == 0, "1<2 & \"é\""), "extensions": F.when(F.col("gpx_index") % 5 == 0, "<x:ele xmlns:x=\"u\">7</x:ele>")})
-    for r in to_gpx(found).collect():
-        (tmp_path / r.file_name).write_text(r.xml)
+    write_gpx_files(to_gpx(found), str(tmp_path))
+    assert {r.file_name: r.xml for r in to_gpx(found).collect()} == {f"t{i}.gpx": (tmp_path / f"t{i}.gpx").read_text() for i in range(3)}
     (tmp_path / "hand.gpx").write_text("<gpx>\n<trk><trkseg><trkpt lon='2' lat='1'/>" + "<trkpt lat=\"3\" lon=\"4\"><time> 2026-01-01T00:00:00Z\n</time><ele>&#65;</ele></trkpt></trkseg></trk><wpt lat=\"é\" lon=\"\"></wpt></gpx>")
     (tmp_path / "none.gpx").write_text("<gpx></gpx>")
     columns = [c for c in FOUND.split(", ")]

@@ -44,7 +44,24 @@ def test_others_run(spark, name):
     assert queries.QUERIES[name](spark, str(DATA)).count() > 0
 
 
-def test_entry_without_the_llm_folder(spark):
-    import __spark_entry__ as e
+def test_curves_hold_the_kde(spark):
+    """The whole result of the density chart is made of the curves that SQL holds."""
+    got = {r.track_id: r for r in queries.QUERIES["density_curves"](spark, str(DATA)).collect()}
+    want = {}
+    for r in queries.QUERIES["kde_curve"](spark, str(DATA)).collect():
+        want.setdefault(r.track_id, {})[r.grid_i] = round(r.y, 6)
+    assert {t: {p.grid_i: round(p.y, 6) for p in r.time_curve} for t, r in got.items() if r.time_curve} == want
+    assert all(r.time_peaks == len(r.time_tops) and r.distance_peaks == len(r.distance_tops) for r in got.values())
 
-    assert set(queries.QUERIES) <= set(e.queries()) and e.entry(spark).count() > 0
+
+def test_without_the_llm_folders(tmp_path):
+    """A copy of the repository without them imports, and lists the audit's queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda d, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__")])
+    code = "import __spark_entry__ as e; from wayscope import queries; assert e.queries().keys() == queries.QUERIES.keys() and e.oracle_sql() == queries.ORACLE; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == str(len(queries.QUERIES)), out.stderr

@@ -2,5 +2,6 @@
 
 from .document import audit_documents, delta_documents, metrics, to_json_rows, track_metrics, write_json
 from .prevalence import prevalence
+from .report import held, report, statuses
 
-__all__ = ["audit_documents", "delta_documents", "metrics", "prevalence", "to_json_rows", "track_metrics", "write_json"]
+__all__ = ["audit_documents", "delta_documents", "held", "metrics", "prevalence", "report", "statuses", "to_json_rows", "track_metrics", "write_json"]

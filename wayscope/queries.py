@@ -15,7 +15,7 @@ from .operators import clustering, density, drill, ingest, motion, sampling, tem
 from .operators.medians import exact_medians
 from .operators.nearest import nearest_point
 from .operators.segmented import classify_segmented
-from .plans import audit_documents, delta_documents, prevalence, to_json_rows, track_metrics
+from .plans import audit_documents, delta_documents, held, prevalence, statuses, to_json_rows, track_metrics
 from .schemas import KINDS
 from .sources import event_points, order_points
 from .sources.tables import EVENT_SQL, ORDER_SQL
@@ -168,6 +168,19 @@ def _nearest(s: SparkSession, d: str) -> DataFrame:
     return nearest_point(p, _probes(p), LEVELS)
 
 
+#: What is expected of every track of events: description, key, kind, value, and whether a failure is put up with.
+EXPECTED = (
+    ("enough points", "total_points", "atLeast", 10.0, False), ("times are missing", "missing", "atLeast", 1.0, True), ("times fall back", "backtracking", "atLeast", 1.0, True),
+    ("one kind of points", "multiple_types", "eq", 0.0, False), ("few long blocks", "missing_longest", "eq", 0.0, True),
+)
+
+
+def _held(s: SparkSession, d: str) -> DataFrame:
+    m = track_metrics(event_points(s, d))
+    rows = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(e, ("description", "key", "kind", "value", "soft"), strict=True))) for e in EXPECTED))
+    return held(m, event_points(s, d).select("track_id").distinct().select("track_id", F.explode(rows).alias("e")).select("track_id", "e.*"))
+
+
 def _medians(s: SparkSession, d: str) -> DataFrame:
     """Medians of times and speeds of forward pairs."""
     pairs = motion.pairs(_classified(s, d)).where("pair_class = 'forward'")
@@ -216,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kde_distance_curve": lambda s, d: _rounded(density.kde(_primary(s, d), "dd_meters")),
     "kde_nearest_grid": lambda s, d: _rounded(density.nearest_grid(density.kde(_deltas(s, d), "dt_sec"), CURSOR)),
     "density_overview": lambda s, d: _rounded(density.overview(_deltas(s, d), _primary(s, d))),
+    "density_curves": lambda s, d: density.curves(_deltas(s, d), _primary(s, d)),
     "chart_ticks": lambda s, d: density.legend_labels(_joint(s, d)).select("track_id", "share", F.col("label").alias("tick")),
     "export_distance_deltas": lambda s, d: delta_documents(sampling.distance_deltas(_classified(s, d))),
     "kde_distance_peaks": lambda s, d: _rounded(density.peaks(density.kde(_primary(s, d), "dd_meters"))),
@@ -225,6 +239,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chart_viewport": lambda s, d: _rounded(density.viewport(_joint(s, d), *VIEW)),
     "chart_sequence": lambda s, d: _rounded(density.sequence_window(_joint(s, d))),
     "chart_legend": lambda s, d: _rounded(density.legend(_joint(s, d))),
+    "expected_figures": lambda s, d: _rounded(_held(s, d)),
+    "expected_statuses": lambda s, d: statuses(_held(s, d)),
     "audit_metrics": lambda s, d: _rounded(track_metrics(event_points(s, d))),
     "audit_documents": lambda s, d: to_json_rows(_documents(s, d)),
     "export_time_deltas": lambda s, d: delta_documents(_deltas(s, d)),
@@ -305,6 +321,15 @@ ORACLE: dict[str, str] = {
         WHERE pos < CASE WHEN n > 200 THEN 200 ELSE least(n, greatest(30, round(n * 0.7::DOUBLE))) END""", _JOINT),
     "chart_legend": _events("SELECT track_id, share, round(CASE share WHEN 1 THEN most ELSE exp(ln(1 + most) * share) - 1 END, 6) AS meters FROM (SELECT track_id, max(dd_meters) AS most FROM joint GROUP BY track_id), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS t(share)", _JOINT),
 } | {f"temporal_blocks_{k}": _events(f"{_BLOCKS} AND kind = '{k}'", _RUNS) for k in KINDS}
+_HELD = f"""SELECT track_id, description, key, kind || ' ' || CAST(CAST(value AS BIGINT) AS VARCHAR) AS expected, actual, coalesce(CASE kind WHEN 'eq' THEN actual = value ELSE actual >= value END, false) AS pass,
+    CASE WHEN coalesce(CASE kind WHEN 'eq' THEN actual = value ELSE actual >= value END, false) THEN 'PASS' WHEN soft THEN 'EXPECTED_VARIANCE' ELSE 'FAIL' END AS status
+    FROM (SELECT m.track_id, e.*, CASE key WHEN 'total_points' THEN total_points WHEN 'missing' THEN missing WHEN 'backtracking' THEN backtracking WHEN 'multiple_types' THEN 0 ELSE missing_longest END::DOUBLE AS actual
+          FROM ({_METRICS}) m, (VALUES {", ".join(f"('{a}', '{b}', '{c}', {v}::DOUBLE, {soft})" for a, b, c, v, soft in EXPECTED)}) AS e(description, key, kind, value, soft))"""
+ORACLE |= {
+    "expected_figures": _events(_HELD, _RUNS + _WALK),
+    "expected_statuses": _events(f"""SELECT track_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'EXPECTED_VARIANCE') THEN 'EXPECTED_VARIANCE' ELSE 'PASS' END AS status,
+        count(*) AS checks, count(*) FILTER (NOT pass) AS failed FROM ({_HELD}) GROUP BY track_id""", _RUNS + _WALK),
+}
 ORACLE |= {"point_classes_segmented": ORACLE["point_classes"], "temporal_blocks_segmented": _events(_BLOCKS, _RUNS), "temporal_blocks_orders_segmented": ORACLE["temporal_blocks_orders"]}
 ORACLE = {k: v.replace("FILTER (", "FILTER (WHERE ") for k, v in ORACLE.items()}
 

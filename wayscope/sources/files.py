@@ -82,7 +82,8 @@ class _DocumentWriter(DataSourceWriter):
 
 
 class DocumentFiles(DataSource):
-    """df.write.format("audit_documents").option("indent", 2).mode("append").save(folder): file_name and json of each row as a file of its own."""
+    """df.write.format("audit_documents").option("indent", 2).mode("append").save(folder): file_name and json of each row as a file of its own; with
+    indent 0 the text as it is, whatever it holds."""
 
     @classmethod
     def name(cls) -> str:
@@ -216,6 +217,12 @@ def write_documents(documents: DataFrame, path: str, indent: int = 2) -> None:
     documents.select(name.alias("file_name"), text.alias("json")).write.format("audit_documents").option("indent", indent).mode("append").save(path)
 
 
+def write_gpx_files(gpx: DataFrame, path: str) -> None:
+    """What to_gpx() gives as one file per track in a folder, and a manifest of all of them."""
+    register(gpx.sparkSession)
+    gpx.select("file_name", F.col("xml").alias("json")).write.format("audit_documents").option("indent", 0).mode("append").save(path)
+
+
 def split_points(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
     """Found points of .gpx files of any size, each read by as many tasks as it has ranges of split bytes.
 
