@@ -50,6 +50,31 @@ def test_iban_before_capitals_and_digits(after):
     assert [x for x in pii.spans(text.replace("DE89", "DE87").replace("GB82", "GB81")) if x[0] == "iban"] == []
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=12))
+def test_added_spans_never_overlap(base, more):
+    base, taken = [(s, s + n) for s, n in base], []
+    own = pii._Taken(base)
+    for s, n in more:
+        free = not any(s < b and a < s + n for a, b in base + taken)
+        assert own.add(s, s + n) == free
+        taken += [(s, s + n)] if free else []
+
+
+def test_many_spans_in_one_text():
+    """Time grows with the text: a list of contacts four times as long takes about four times as long."""
+    import time
+
+    line = "mail a{0}@b.co, call 212-555-{0:04d}, card 4111 1111 1111 1111, ip 10.0.{1}.1, account DE89 3704 0044 0532 0130 00, ssn 123-45-{0:04d}; "
+    took = []
+    for n in (1000, 4000):
+        text = "".join(line.format(i % 9999 + 1, i % 256) for i in range(n))
+        began = time.process_time()
+        assert len(pii.spans(text)) >= 5 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_pii_table(spark, docs):
     d = spark.createDataFrame([(1, "x é a@b.co, 10.0.0.1"), (2, None), (None, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.digest(pii.find(d)).collect()}

@@ -8,7 +8,7 @@ iban (mod 97), ssn (words nearby needed). Added spans never overlap a span of th
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -108,13 +108,36 @@ def score(text: str, kind: str, start: int, end: int, confirmed: bool = True) ->
     return round(min(1.0, (PRIOR[kind] if confirmed else 0.4) + 0.3 * bool(_CONTEXT[kind].search(near))), 2)
 
 
+class _Taken:
+    """Spans without overlap, in order, so that whether another one overlaps any takes a search by halves."""
+
+    def __init__(self, own: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(own):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, s: int, e: int) -> bool:
+        """Take a span unless it overlaps one."""
+        i = bisect.bisect_right(self.ends, s)
+        if i < len(self.starts) and self.starts[i] < e:
+            return False
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+        return True
+
+
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float, bool]]:
     """All spans (kind, start, end, score, base) by kind as listed, then start; code points, end exclusive."""
     base = base_spans(text)
     out = {k: [(s, e, score(text, k, s, e), True) for s, e in v] for k, v in base.items()} | {"iban": [], "ssn": []}
     if not _DIGIT.search(text):
         return [(k, *x) for k in KINDS for x in out[k]]
-    taken = [x for v in base.values() for x in v]
+    taken = _Taken([x for v in base.values() for x in v])
     more = [("iban", x, True) for x in _ibans(text)]
     more += [("card", m.span(), True) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m[0])) <= 15 and d[0] in "3456" and luhn(d)]
     more += [("ssn", m.span(), True) for m in _SSN.finditer(text)]
@@ -122,9 +145,8 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
     for kind, (s, e), confirmed in more:
         # Fewer digits agree with Luhn by chance more often; there, words nearby decide.
         x = round(score(text, kind, s, e, confirmed) - 0.3 * (kind == "card"), 2)
-        if x >= threshold and not any(s < b and a < e for a, b in taken):
+        if x >= threshold and taken.add(s, e):
             out[kind].append((s, e, x, False))
-            taken.append((s, e))
     return [(k, *x) for k in KINDS for x in sorted(out[k])]
 
 
@@ -144,7 +166,8 @@ def _find(threshold: float):
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans array<struct<kind, start, end, score, base>> of each row; one narrow pass, no shuffle.
 
-    Null and empty texts have no spans; rows with the same id or text are treated one by one; other columns play no part.
+    Null and empty texts have no spans; rows with the same id or text are treated one by one; other columns play no part; an
+    empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
