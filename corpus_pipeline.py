@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayscope.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from wayscope.llm.queries import tokenizer
-from wayscope.llm.scratch import written
+from wayscope.llm.scratch import collected, remove, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage wrote on its way is deleted once its result is there, and that once the next one's is."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        with collected() as made:
+            docs = written(stage(spark, docs, sf_dir), "stage")
+        for path in [*made[:-1], *([held] if held else [])]:  # the result is what was written last
+            remove(spark, path)
+        held = made[-1]
     return STAGES[-1][1](spark, docs, sf_dir)

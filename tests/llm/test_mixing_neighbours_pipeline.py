@@ -1,12 +1,13 @@
 """Mixing, nearest neighbours and the stages of the pipeline."""
 
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayscope.llm import mixing, neighbours
+from wayscope.llm import mixing, neighbours, scratch
 
 
 def test_raking_meets_margins(spark):
@@ -145,8 +146,13 @@ def test_pipeline(spark, docs, folder):
         seen = out.count()
         assert 0 < seen <= left.count()
         left = out.cache()
+    at = Path(scratch.folder(spark).removeprefix("file://"))
+    before = {p.name for p in at.iterdir()}
     packed = corpus_pipeline.run(spark, folder)
     assert packed.select("doc_id").distinct().count() == seen
+    # Of the stages before the last one, only what the last one reads is left.
+    names = sorted({p.name.rsplit("-", 1)[0] for p in at.iterdir() if p.name not in before})
+    assert names.count("stage") == 1 and not {"digests", "known", "signed", "heads", "facts", "cells", "raked", "index", "near"} & set(names), names
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -22,14 +24,34 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_KEEPING: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of all tables and workspaces made within, for whoever knows when they are done with."""
+    made: list[str] = []
+    _KEEPING.append(made)
+    try:
+        yield made
+    finally:
+        _KEEPING.remove(made)
+
+
+def _noted(path: str) -> str:
+    for made in _KEEPING:
+        made.append(path)
+    return path
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A folder of its own for the tables of one call."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return _noted(f"{folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, or in a workspace there; a lost executor costs no recomputation of what lies before it."""
-    path = f"{within or folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else _noted(f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
