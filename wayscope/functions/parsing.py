@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 # What counts as white space around numbers and times.
 _BLANK = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _NUMBER = rf"^{_BLANK}*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
+_BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 
 def trimmed(text: Column) -> Column:
     """text without white space at both ends."""
-    return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def parse_float(text: Column) -> Column:

@@ -64,4 +64,5 @@ def classify(points: DataFrame) -> DataFrame:
 
 
 def usable_distance(metres: Column) -> Column:
-    return finite(metres) & (metres >= 0)
+    """Finite and not below 0, where the root is NaN; metres are named once, as in finite()."""
+    return finite(F.sqrt(metres))

@@ -18,14 +18,15 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("track_id"), "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
     w = Window.partitionBy("track_id").orderBy("event_id")
-    index, before = F.row_number().over(w) - 1, F.lag("ts").over(w)
+    events = events.withColumns({"index": F.row_number().over(w) - 1, "before": F.lag("ts").over(w), "start": F.first("ts").over(w)})  # once each, however often they are named
+    index = F.col("index")
     every = lambda n: F.col("event_id") % n == 0
     lat, lon = F.format_string("%.6f", F.lit(12.97) + F.coalesce("value", F.lit(0.0)) / 10000), F.format_string("%.6f", F.lit(77.59) + F.coalesce("k", F.lit(0.0)) / 10000)
     place = index % 50
     time = F.when(every(23), None).when(every(29), F.concat(F.lit("INVALID_"), "event_id"))
     # Blocks: of one time again and again, and of times long before.
-    time = time.when(place.between(20, 23), iso(F.first("ts").over(w))).when(place.between(30, 33), iso(F.col("ts") - F.expr("INTERVAL 4000 DAYS")))
-    time = time.when(every(31), iso(F.coalesce(before, "ts"))).when(every(37), iso(F.col("ts") - F.expr("INTERVAL 6 HOURS"))).otherwise(iso(F.col("ts")))
+    time = time.when(place.between(20, 23), iso(F.col("start"))).when(place.between(30, 33), iso(F.col("ts") - F.expr("INTERVAL 4000 DAYS")))
+    time = time.when(every(31), iso(F.coalesce("before", "ts"))).when(every(37), iso(F.col("ts") - F.expr("INTERVAL 6 HOURS"))).otherwise(iso(F.col("ts")))
     return events.select(
         "track_id", F.concat("track_id", F.lit(".gpx")).alias("file_name"), index.cast("bigint").alias("gpx_index"), F.lit("trkpt").alias("point_type"),
         F.when(every(97), "not-a-lat").when(every(89), "95.5").otherwise(lat).alias("raw_lat"), lon.alias("raw_lon"), F.lit(None).cast("string").alias("raw_ele"), time.alias("raw_time"), F.lit(None).cast("string").alias("extensions"),
