@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayscope.operators import density
+from wayscope.operators import density, ingest
 from wayscope.operators.medians import exact_medians
 from wayscope.operators.nearest import CELL_POINTS, levels_for, nearest_point
 
@@ -82,3 +82,31 @@ def test_density_over_batches(spark):
         want = np.exp(-0.5 * ((at[:, None] - logs) / h) ** 2).sum(axis=1) / (len(xs) * h * math.sqrt(2 * math.pi))
         got = [r.y for r in sorted((r for r in rows if r.track_id == t), key=lambda r: r.grid_i)]
         assert got == pytest.approx(list(want), rel=1e-9)
+
+
+def test_densities_make_no_grid_rows_to_shuffle(spark):
+    """Sums over the grid are a row per track: values are exchanged, grid points never are, and each density is worked out once."""
+    values = spark.createDataFrame([("a", float(i % 7 + 1)) for i in range(50)], "track_id string, v double")
+    distances, times = values.withColumnRenamed("v", "dd_meters"), values.withColumnRenamed("v", "dt_sec")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (density.kde(values, "v"), density.kde_peaks(values, "v")):
+        assert plan(df).index("Exchange") > plan(df).index("MapInArrow") and plan(df).count("MapInArrow") == 1
+    for df in (density.overview(times, distances), density.curves(times, distances)):
+        assert plan(df).count("MapInArrow") == 2
+    whole = density.kde(values, "v").cache()
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(density.kde_peaks(values, "v").collect()) == key(density.peaks(whole).collect()) != []
+
+
+def test_filters_parse_a_coordinate_once(spark):
+    """Filters move below the parsing; a coordinate named again there is parsed again."""
+    found = spark.createDataFrame([("a", 0, "trkpt", "1.5", "x", None, None, None)], "track_id string, gpx_index long, point_type string, raw_lat string, raw_lon string, raw_ele string, raw_time string, extensions string")
+    plan = ingest.points(found)._jdf.queryExecution().optimizedPlan().toString()
+    where = next(line for line in plan.split("\n") if "Filter" in line)
+    assert where.count("regexp_extract(raw_lat") <= 2 and "must be" not in where
+    odd = [("90", "180"), ("-90", "-180"), ("90.1", "0"), ("0", "-180.5"), ("NaN", "0"), ("Infinity", "1"), ("1", "-Infinity"), ("", "1"), (None, "1"), ("1", None), ("  7x", "8")]
+    rows = [("a", i, "trkpt", lat, lon, None, " ﻿ t \n", None) for i, (lat, lon) in enumerate(odd)]
+    frame = spark.createDataFrame(rows, found.schema)
+    assert sorted(r.gpx_index for r in ingest.points(frame).collect()) == [0, 1, 10]
+    assert {r.time_raw for r in ingest.points(frame).collect()} == {"t"}
+    assert sorted(r.gpx_index for r in ingest.rejected(frame).collect()) == [2, 3, 4, 5, 6, 7, 8, 9]

@@ -21,7 +21,8 @@ def safe_log(x: Column) -> Column:
 
 
 def _logs(values: DataFrame, column: str) -> DataFrame:
-    return values.where(finite(F.col(column)) & (F.col(column) > 0)).select("track_id", F.ln(column).alias("x"))
+    """Logs of positive values; the log of what isn't positive is null."""
+    return values.select("track_id", F.ln(column).alias("x")).where(finite(F.col("x")))
 
 
 def silverman(deviation: Column, n: Column) -> Column:
@@ -44,8 +45,18 @@ def kde(values: DataFrame, column: str, h: float | None = None, grid: int = GRID
     """track_id, grid_i, x_log, x_linear, y: Gaussian density of the logs at grid points from least to largest.
 
     h: the bandwidth of the logs; by default what option stands for, else Silverman's. Options below 1 make it negative, and the density with
-    it; at 0 (option 1) y is NaN. Equal values are counted first, and kernels of the distinct ones are summed batch by batch into arrays over the
-    grid, of which the sums are then added up; values are read once.
+    it; at 0 (option 1) y is NaN.
+    """
+    points = kernels(values, column, h, grid, option).select("track_id", "lo", "hi", "n", "h", F.posexplode("sums").alias("grid_i", "sum"))
+    return points.select("track_id", "grid_i", *_at(F.col("grid_i"), F.col("sum"), grid))
+
+
+def kernels(values: DataFrame, column: str, h: float | None = None, grid: int = GRID, option: float | None = None) -> DataFrame:
+    """What kde() is made of, a row per track: track_id, lo, hi, n, h, sums, the array of kernel sums over the grid, and tops, the
+    grid points whose y lies above both neighbours'.
+
+    Equal values are counted first. A track's distinct values follow each other in one task, as the windows over it left them, and their kernels are summed
+    batch by batch into one array; no grid point is a row before the sums are whole, and values are read once.
     """
     h = chosen_bandwidth(option) if h is None else h
     every = Window.partitionBy("track_id")
@@ -59,44 +70,78 @@ def kde(values: DataFrame, column: str, h: float | None = None, grid: int = GRID
         wide = wide.withColumn("h", silverman(F.when(F.col("hi") > F.col("lo"), F.sqrt(spread)), F.col("n")))
     else:
         wide = counted.withColumns(span | {"h": F.lit(float(h))})
-    sums = wide.select("track_id", "x", "c", "lo", "hi", "n", "h").mapInArrow(_kernel_sums(grid), _SUMS)
-    points = sums.select("track_id", "lo", "hi", "n", "h", F.posexplode("sums").alias("grid_i", "part"))
-    summed = points.groupBy("track_id", "grid_i", "lo", "hi", "n", "h").agg(F.sum("part").alias("kernels"))
-    x_log = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("grid_i") / F.lit(float(max(1, grid - 1)))
-    y = F.coalesce(F.try_divide(F.col("kernels"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))), F.lit(float("nan")))
-    return summed.select("track_id", "grid_i", x_log.alias("x_log"), F.exp(x_log).alias("x_linear"), y.alias("y"))
+    # The windows dealt by track and sorted; the sort named here costs nothing more.
+    return wide.select("track_id", "x", "c", "lo", "hi", "n", "h").sortWithinPartitions("track_id").mapInArrow(_kernel_sums(grid), _SUMS)
+
+
+def _at(i: Column, kernel_sum: Column, grid: int) -> list[Column]:
+    """x_log, x_linear and y of grid point i."""
+    x_log = F.col("lo") + (F.col("hi") - F.col("lo")) * i / F.lit(float(max(1, grid - 1)))
+    y = F.coalesce(F.try_divide(kernel_sum, F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))), F.lit(float("nan")))
+    return [x_log.alias("x_log"), F.exp(x_log).alias("x_linear"), y.alias("y")]
 
 
-_SUMS = "track_id string, lo double, hi double, n bigint, h double, sums array<double>"
+def kde_peaks(values: DataFrame, column: str) -> DataFrame:
+    """peaks() of kde(), without a row for any other grid point."""
+    found = kernels(values, column).select("track_id", "lo", "hi", "n", "h", "sums", F.explode("tops").alias("grid_i"))
+    return found.select("track_id", "grid_i", *_at(F.col("grid_i"), F.get("sums", F.col("grid_i")), GRID))
+
+
+_SUMS = "track_id string, lo double, hi double, n bigint, h double, sums array<double>, tops array<int>"
+#: Values of one track whose kernels are held at once, and tracks of a batch of results.
+_VALUES, _TRACKS = 2048, 512
+
+
+def _tops(sums: np.ndarray, over: float) -> np.ndarray:
+    """Indices of sums / over that are above both neighbours; divided as for y, so that the same ones are equal."""
+    if not over:
+        return np.zeros(0, np.int64)
+    up = np.diff(sums / over)
+    return np.flatnonzero((up[:-1] > 0) & (up[1:] < 0)) + 1
 
 
 def _kernel_sums(grid: int):
-    """Distinct logs with counts, with what is known of their track, to partial kernel sums over each track's grid: a row for each track that a batch
-    holds any of, so a track may be dealt to any tasks and no value meets a grid point as a row."""
+    """Distinct logs with counts, sorted by track, with what is known of their track, to a row per track with its kernel sums over the grid. A track may
+    span batches; one array is held for the open track."""
     at = np.arange(grid) / max(1, grid - 1)
+    names = ["track_id", "lo", "hi", "n", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, arrays = [], []
+
+        def made() -> pa.RecordBatch:
+            known = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(arrays) + 1) * grid, pa.int32()), pa.array(np.concatenate(arrays)))
+            tops = pa.array([_tops(a, n * h * math.sqrt(2 * math.pi)) for a, (_, _, _, n, h) in zip(arrays, done, strict=True)], pa.list_(pa.int32()))
+            done.clear()
+            arrays.clear()
+            return pa.RecordBatch.from_arrays([*known, lists, tops], [*names, "sums", "tops"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("track_id").dictionary_encode()
-            own = ids.indices.to_numpy()
-            order = np.argsort(own, kind="stable")
-            edge = np.concatenate(([0], np.flatnonzero(np.diff(own[order])) + 1))
-            first = order[edge]
-            x, c, lo, hi, h = (batch.column(k).to_numpy()[order] for k in ("x", "c", "lo", "hi", "h"))
-            sums = np.zeros((len(edge), grid))
-            # A few hundred thousand kernels at a time, track after track.
-            for t, (a, b) in enumerate(zip(edge.tolist(), [*edge[1:].tolist(), len(x)], strict=True)):
-                points = lo[a] + (hi[a] - lo[a]) * at
-                for k in range(a, b, 2048):
-                    e = min(b, k + 2048)
+            own = batch.column("track_id").dictionary_encode()
+            edge = [0, *(np.flatnonzero(np.diff(own.indices.to_numpy())) + 1).tolist(), batch.num_rows]
+            x, c, lo, hi, n, h = (batch.column(k).to_numpy() for k in ("x", "c", "lo", "hi", "n", "h"))
+            c = c.astype(float)
+            for a, b in zip(edge, edge[1:], strict=False):
+                track = batch.column("track_id")[a].as_py()
+                if not done or done[-1][0] != track:
+                    if len(done) >= _TRACKS:
+                        yield made()
+                    done.append((track, float(lo[a]), float(hi[a]), int(n[a]), float(h[a])))
+                    arrays.append(np.zeros(grid))
+                points = (lo[a] + (hi[a] - lo[a]) * at)[:, None]
+                for k in range(a, b, _VALUES):
+                    e = min(b, k + _VALUES)
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        u = (points[:, None] - x[None, k:e]) / h[a]
-                    sums[t] += np.nan_to_num(np.exp(-0.5 * u * u)) @ c[k:e].astype(float)
-            known = [batch.column(k).take(pa.array(first)) for k in ("track_id", "lo", "hi", "n", "h")]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(edge) + 1) * grid, pa.int32()), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([*known, lists], ["track_id", "lo", "hi", "n", "h", "sums"])
+                        u = (points - x[None, k:e]) / h[a]
+                        u *= u
+                        u *= -0.5
+                        np.exp(u, out=u)
+                    arrays[-1] += (u if h[a] else np.nan_to_num(u)) @ c[k:e]
+        if done:
+            yield made()
 
     return run
 
@@ -114,30 +159,40 @@ def nearest_grid(curve: DataFrame, x_log: float) -> DataFrame:
     return best.select("track_id", "p.*")
 
 
-def overview(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
-    """track_id with bandwidths, in the unit of the values, and numbers of peaks of both densities. Without positive values of a kind there are
-    0 peaks; the bandwidth is null for times and 1 for distances."""
+def _both(time_values: DataFrame, distance_values: DataFrame, whole: bool) -> DataFrame:
+    """Per track both kinds' bandwidths and numbers of peaks and, if whole, what their curves are made of; each density is worked out once."""
 
     def one(values: DataFrame, column: str, name: str) -> DataFrame:
-        found = peaks(kde(values, column)).groupBy("track_id").agg(F.count(F.lit(1)).alias(f"{name}_peaks"))
-        return bandwidth(values, column).select("track_id", F.exp("h").alias(f"{name}_bandwidth")).join(found, "track_id", "left")
+        own = [F.struct("lo", "hi", "n", "h", "sums", "tops").alias(name)] if whole else []
+        return kernels(values, column).select("track_id", F.exp("h").alias(f"{name}_bandwidth"), F.size("tops").cast("bigint").alias(f"{name}_peaks"), *own)
 
     both = one(time_values, "dt_sec", "time").join(one(distance_values, "dd_meters", "distance"), "track_id", "full_outer")
     peaks_of = {c: F.coalesce(c, F.lit(0)) for c in ("time_peaks", "distance_peaks")}
     return both.withColumns({**peaks_of, "distance_bandwidth": F.coalesce("distance_bandwidth", F.lit(1.0))})
 
 
+OVERVIEW = ("track_id", "time_bandwidth", "time_peaks", "distance_bandwidth", "distance_peaks")
+
+
+def overview(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
+    """track_id with bandwidths, in the unit of the values, and numbers of peaks of both densities. Without positive values of a kind there are
+    0 peaks; the bandwidth is null for times and 1 for distances."""
+    return _both(time_values, distance_values, False).select(*OVERVIEW)
+
+
 def curves(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
     """overview() with each density as an array of its grid points, time_curve and distance_curve, and of those that are peaks (time_tops,
     distance_tops); empty where a track has no positive values of a kind."""
-    point = F.struct("grid_i", "x_log", "x_linear", "y")
-    out = overview(time_values, distance_values)
-    for values, column, name in ((time_values, "dt_sec", "time"), (distance_values, "dd_meters", "distance")):
-        whole = kde(values, column)
-        for rows, c in ((whole, f"{name}_curve"), (peaks(whole), f"{name}_tops")):
-            out = out.join(rows.groupBy("track_id").agg(F.array_sort(F.collect_list(point)).alias(c)), "track_id", "left")
-            out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
-    return out
+    out = _both(time_values, distance_values, True)
+    names = []
+    for name in ("time", "distance"):
+        own = out.select("*", f"{name}.*")
+        point = lambda v, i: F.struct(i.alias("grid_i"), *_at(i, v, GRID))
+        top = lambda i: point(F.get("sums", i), i)
+        own = own.withColumns({f"{name}_curve": F.transform("sums", point), f"{name}_tops": F.transform("tops", top)})
+        out = own.drop("lo", "hi", "n", "h", "sums", "tops", name)
+        names += [f"{name}_curve", f"{name}_tops"]
+    return out.select(*OVERVIEW, *(F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in names))
 
 
 def bandwidth_range(curve: DataFrame, bandwidths: DataFrame) -> DataFrame:

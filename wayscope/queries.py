@@ -232,8 +232,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "density_curves": lambda s, d: density.curves(_deltas(s, d), _primary(s, d)),
     "chart_ticks": lambda s, d: density.legend_labels(_joint(s, d)).select("track_id", "share", F.col("label").alias("tick")),
     "export_distance_deltas": lambda s, d: delta_documents(sampling.distance_deltas(_classified(s, d))),
-    "kde_distance_peaks": lambda s, d: _rounded(density.peaks(density.kde(_primary(s, d), "dd_meters"))),
-    "kde_peaks": lambda s, d: _rounded(density.peaks(density.kde(_deltas(s, d), "dt_sec"))),
+    "kde_distance_peaks": lambda s, d: _rounded(density.kde_peaks(_primary(s, d), "dd_meters")),
+    "kde_peaks": lambda s, d: _rounded(density.kde_peaks(_deltas(s, d), "dt_sec")),
     "bandwidth_range": lambda s, d: _rounded(density.bandwidth_range(density.kde(_deltas(s, d), "dt_sec"), density.bandwidth(_deltas(s, d), "dt_sec"))),
     "chart_domains": lambda s, d: _rounded(density.domains(_joint(s, d))),
     "chart_viewport": lambda s, d: _rounded(density.viewport(_joint(s, d), *VIEW)),
