@@ -110,3 +110,12 @@ def test_filters_parse_a_coordinate_once(spark):
     assert sorted(r.gpx_index for r in ingest.points(frame).collect()) == [0, 1, 10]
     assert {r.time_raw for r in ingest.points(frame).collect()} == {"t"}
     assert sorted(r.gpx_index for r in ingest.rejected(frame).collect()) == [2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_medians_read_values_once_a_round(spark):
+    """The first histogram tells sizes as well, so that no pass counts alone."""
+    values = spark.createDataFrame([("a", float(i)) for i in range(9)] + [("b", math.nan), ("b", -1.0), ("b", None)], "g string, v double")
+    got = exact_medians(values, ["g"], "v", 2)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    rows = {r.g: (r.n, r.median) for r in got.collect()}
+    assert rows["a"] == (9, 4.0) and rows["b"][0] == 2 and math.isnan(rows["b"][1])

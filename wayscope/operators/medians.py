@@ -41,15 +41,19 @@ def exact_medians(values: DataFrame, by: list[str], column: str, rounds: int | N
     if rounds is None:
         rounds = ROUNDS if (sizes.agg(F.max("n")).first()[0] or 0) > FEW else 0
     half = F.floor(F.col("n") / 2)
-    wanted = F.when(F.col("n") % 2 == 1, F.array(half)).otherwise(F.array(half - 1, half))
-    targets = sizes.select(*by, "n", F.posexplode(wanted).alias("t", "k")).withColumns({"lo": F.lit(-math.inf), "hi": F.lit(math.nan)})
-    each = Window.partitionBy(*by, "t").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    for r in range(rounds + 1):
-        last = r == rounds
+    wanted = F.posexplode(F.when(F.col("n") % 2 == 1, F.array(half)).otherwise(F.array(half - 1, half))).alias("t", "k")
+    below, mine = (F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("c")), (F.col("k") - F.col("before")).alias("k")
+    tally = [F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi")]
+    upto = lambda *keys: F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if rounds:
+        # The first histogram holds all values, and so tells a group's size too.
+        first = own.groupBy(*by, _power(x).alias("bucket")).agg(*tally).withColumns({"n": F.sum("c").over(Window.partitionBy(*by)), "before": upto(*by)})
+        targets = first.select("*", wanted).where(below).select(*by, "n", "t", mine, "lo", "hi")
+    else:
+        targets = sizes.select(*by, "n", wanted).withColumns({"lo": F.lit(-math.inf), "hi": F.lit(math.nan)})
+    for r in range(min(1, rounds), rounds + 1):
         met = own.join(targets, by).where((x >= F.col("lo")) & (x <= F.col("hi")))
-        bucket = x if last else _power(x) if r == 0 else _part(x)
-        counted = met.groupBy(*by, "t", "k", "n", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        before = F.coalesce(F.sum("c").over(each), F.lit(0))
-        own_bucket = counted.withColumn("before", before).where((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("c")))
-        targets = own_bucket.select(*by, "n", "t", (F.col("k") - F.col("before")).alias("k"), "lo", "hi")
+        bucket = x if r == rounds else _part(x)
+        counted = met.groupBy(*by, "t", "k", "n", bucket.alias("bucket")).agg(*tally).withColumn("before", upto(*by, "t"))
+        targets = counted.where(below).select(*by, "n", "t", mine, "lo", "hi")
     return targets.groupBy(*by).agg(F.first("n").alias("n"), F.avg("lo").alias("median"))
