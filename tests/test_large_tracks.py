@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayscope.operators import density, ingest
+from wayscope.operators import density, ingest, sampling
+from wayscope.operators.classify import classify
 from wayscope.operators.medians import exact_medians
 from wayscope.operators.nearest import CELL_POINTS, levels_for, nearest_point
 
@@ -98,6 +99,33 @@ def test_densities_make_no_grid_rows_to_shuffle(spark):
     assert key(density.kde_peaks(values, "v").collect()) == key(density.peaks(whole).collect()) != []
 
 
+def test_density_charts_read_points_once(spark, tmp_path):
+    """Both kinds of values come from one reading of the points, with the results of two."""
+    rng = random.Random(12)
+    rows = [(t, i, "trkpt", 1 + rng.random() * (t != "still"), 2.0, None, None if t == "timeless" else f"2024-01-01T00:{rng.randint(0, 59):02}:00Z", None) for t in ("a", "b", "timeless", "still", None) for i in range(40)]
+    found = spark.createDataFrame([*rows, ("one", 0, "trkpt", 1.0, 1.0, None, None, None)], "track_id string, gpx_index long, point_type string, lat double, lon double, ele double, time_raw string, extensions string")
+    found.write.parquet(str(tmp_path / "points"))
+    c = classify(spark.read.parquet(str(tmp_path / "points")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    key = lambda rows: sorted(map(repr, rows))
+    times, distances = sampling.time_deltas(c), sampling.primary_distances(c)
+    for once, twice in ((density.series_overview, density.overview), (density.series_curves, density.curves)):
+        ours = once(sampling.series(c))
+        assert [plan(ours).count(x) for x in ("FileScan", "MapInArrow", "Exchange", "Join")] == [1, 1, 1, 0]
+        assert key(_whole(ours)) == key(_whole(twice(times, distances)))
+    assert plan(distances).count("FileScan") == plan(distances).count("Exchange") == 1
+    got = {r.track_id: r for r in density.series_overview(sampling.series(c)).collect()}
+    assert set(got) == {"a", "b", "timeless", "still", None} and got["timeless"].time_bandwidth is None and got["still"].distance_bandwidth == got[None].distance_bandwidth == 1.0
+    moved = {t: {r.to_index for r in distances.where(F.col("track_id") == t).collect()} for t in ("a", "timeless")}
+    assert moved["timeless"] == set(range(1, 40)) and moved["a"] < moved["timeless"]
+
+
+def _whole(df):
+    """Rows with doubles to ten figures, as sums may be added in another order."""
+    plain = lambda x: float(f"{x:.9e}") if isinstance(x, float) else tuple(map(plain, x)) if isinstance(x, (list, tuple)) else x
+    return [plain(tuple(r)) for r in df.select(*sorted(df.columns)).collect()]
+
+
 def test_filters_parse_a_coordinate_once(spark):
     """Filters move below the parsing; a coordinate named again there is parsed again."""
     found = spark.createDataFrame([("a", 0, "trkpt", "1.5", "x", None, None, None)], "track_id string, gpx_index long, point_type string, raw_lat string, raw_lon string, raw_ele string, raw_time string, extensions string")

@@ -58,9 +58,21 @@ def kernels(values: DataFrame, column: str, h: float | None = None, grid: int =
     Equal values are counted first. A track's distinct values follow each other in one task, as the windows over it left them, and their kernels are summed
     batch by batch into one array; no grid point is a row before the sums are whole, and values are read once.
     """
-    h = chosen_bandwidth(option) if h is None else h
-    every = Window.partitionBy("track_id")
     counted = _logs(values, column).groupBy("track_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    return _spread(counted, ["track_id"], chosen_bandwidth(option) if h is None else h).withColumn("kind", F.lit(0)).mapInArrow(_kernel_sums(grid), _SUMS)
+
+
+def kernels_by_kind(series: DataFrame) -> DataFrame:
+    """track_id, time and distance: what kernels() says of both kinds of sampling.series(), null where a track has no positive values of a kind. One
+    stream of values serves both."""
+    keys = ["track_id", "kind"]
+    counted = series.select(*keys, F.ln("value").alias("x")).where(finite(F.col("x"))).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    return _spread(counted, keys, None).mapInArrow(_kernel_sums(GRID, KINDS), f"track_id string, {', '.join(f'{k} struct<{_FIGURES}>' for k in KINDS)}")
+
+
+def _spread(counted: DataFrame, keys: list[str], h: float | None) -> DataFrame:
+    """Distinct logs x with their counts c, each with its group's lo, hi, n and h, group by group."""
+    every = Window.partitionBy(*keys)
     span = {"lo": F.min("x").over(every), "hi": F.max("x").over(every), "n": F.sum("c").over(every)}
     if h is None:
         # Squares of what lies above the least value, so that little is lost where values differ little.
@@ -71,7 +83,7 @@ def kernels(values: DataFrame, column: str, h: float | None = None, grid: int =
     else:
         wide = counted.withColumns(span | {"h": F.lit(float(h))})
     # The windows dealt by track and sorted; the sort named here costs nothing more.
-    return wide.select("track_id", "x", "c", "lo", "hi", "n", "h").sortWithinPartitions("track_id").mapInArrow(_kernel_sums(grid), _SUMS)
+    return wide.select(*keys, "x", "c", "lo", "hi", "n", "h").sortWithinPartitions(*keys)
 
 
 def _at(i: Column, kernel_sum: Column, grid: int) -> list[Column]:
@@ -87,7 +99,10 @@ def kde_peaks(values: DataFrame, column: str) -> DataFrame:
     return found.select("track_id", "grid_i", *_at(F.col("grid_i"), F.get("sums", F.col("grid_i")), GRID))
 
 
-_SUMS = "track_id string, lo double, hi double, n bigint, h double, sums array<double>, tops array<int>"
+#: Kinds of values that a chart shows, as sampling.series() numbers them.
+KINDS = ("time", "distance")
+_FIGURES = "lo double, hi double, n bigint, h double, sums array<double>, tops array<int>"
+_SUMS = f"track_id string, {_FIGURES}"
 #: Values of one track whose kernels are held at once, and tracks of a batch of results.
 _VALUES, _TRACKS = 2048, 512
 
@@ -100,37 +115,48 @@ def _tops(sums: np.ndarray, over: float) -> np.ndarray:
     return np.flatnonzero((up[:-1] > 0) & (up[1:] < 0)) + 1
 
 
-def _kernel_sums(grid: int):
-    """Distinct logs with counts, sorted by track, with what is known of their track, to a row per track with its kernel sums over the grid. A track may
-    span batches; one array is held for the open track."""
+def _kernel_sums(grid: int, kinds: tuple[str, ...] = ()):
+    """Distinct logs with counts, sorted by track and kind, with what is known of their group, to a row per track with its kernel sums over the grid; of
+    several kinds, in a struct for each. A track may span batches; one array a kind is held for the open track."""
     at = np.arange(grid) / max(1, grid - 1)
-    names = ["track_id", "lo", "hi", "n", "h"]
+    names = ["lo", "hi", "n", "h", "sums", "tops"]
+    none = (0.0, 0.0, 0, 0.0, np.zeros(0))
+
+    def figures(groups: list[tuple | None]) -> list[pa.Array]:
+        whole = [g or none for g in groups]
+        known = [pa.array([g[i] for g in whole], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int64(), pa.float64()))]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g[4]) for g in whole)]), pa.int32()), pa.array(np.concatenate([g[4] for g in whole])))
+        return [*known, lists, pa.array([_tops(a, n * h * math.sqrt(2 * math.pi)) for _, _, n, h, a in whole], pa.list_(pa.int32()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, arrays = [], []
+        tracks, done = [], []  # of each track, its groups by kind: lo, hi, n, h and the sums
 
         def made() -> pa.RecordBatch:
-            known = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(arrays) + 1) * grid, pa.int32()), pa.array(np.concatenate(arrays)))
-            tops = pa.array([_tops(a, n * h * math.sqrt(2 * math.pi)) for a, (_, _, _, n, h) in zip(arrays, done, strict=True)], pa.list_(pa.int32()))
+            columns, ids = [figures([d[k] for d in done]) for k in range(max(1, len(kinds)))], pa.array(tracks, pa.string())
+            absent = [pa.array([d[k] is None for d in done]) for k in range(len(kinds))]
+            tracks.clear()
             done.clear()
-            arrays.clear()
-            return pa.RecordBatch.from_arrays([*known, lists, tops], [*names, "sums", "tops"])
+            if not kinds:
+                return pa.RecordBatch.from_arrays([ids, *columns[0]], ["track_id", *names])
+            return pa.RecordBatch.from_arrays([ids, *(pa.StructArray.from_arrays(c, names, mask=a) for c, a in zip(columns, absent, strict=True))], ["track_id", *kinds])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column("track_id").dictionary_encode()
-            edge = [0, *(np.flatnonzero(np.diff(own.indices.to_numpy())) + 1).tolist(), batch.num_rows]
-            x, c, lo, hi, n, h = (batch.column(k).to_numpy() for k in ("x", "c", "lo", "hi", "n", "h"))
+            own = batch.column("track_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            x, c, lo, hi, n, h, kind = (batch.column(k).to_numpy() for k in ("x", "c", "lo", "hi", "n", "h", "kind"))
+            edge = [0, *(np.flatnonzero((np.diff(own) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
             c = c.astype(float)
             for a, b in zip(edge, edge[1:], strict=False):
                 track = batch.column("track_id")[a].as_py()
-                if not done or done[-1][0] != track:
+                if not done or tracks[-1] != track:
                     if len(done) >= _TRACKS:
                         yield made()
-                    done.append((track, float(lo[a]), float(hi[a]), int(n[a]), float(h[a])))
-                    arrays.append(np.zeros(grid))
+                    tracks.append(track)
+                    done.append([None] * max(1, len(kinds)))
+                if done[-1][kind[a]] is None:
+                    done[-1][kind[a]] = (float(lo[a]), float(hi[a]), int(n[a]), float(h[a]), np.zeros(grid))
+                sums = done[-1][kind[a]][4]
                 points = (lo[a] + (hi[a] - lo[a]) * at)[:, None]
                 for k in range(a, b, _VALUES):
                     e = min(b, k + _VALUES)
@@ -139,7 +165,7 @@ def _kernel_sums(grid: int):
                         u *= u
                         u *= -0.5
                         np.exp(u, out=u)
-                    arrays[-1] += (u if h[a] else np.nan_to_num(u)) @ c[k:e]
+                    sums += (u if h[a] else np.nan_to_num(u)) @ c[k:e]
         if done:
             yield made()
 
@@ -174,18 +200,38 @@ def _both(time_values: DataFrame, distance_values: DataFrame, whole: bool) -> Da
 OVERVIEW = ("track_id", "time_bandwidth", "time_peaks", "distance_bandwidth", "distance_peaks")
 
 
+def _told(both: DataFrame) -> DataFrame:
+    """kernels_by_kind() with the columns of OVERVIEW."""
+    h = {f"{k}_bandwidth": F.exp(f"{k}.h") for k in KINDS}
+    tops = {f"{k}_peaks": F.coalesce(F.when(F.col(k).isNotNull(), F.size(f"{k}.tops")), F.lit(0)).cast("bigint") for k in KINDS}
+    return both.withColumns(h | tops).withColumn("distance_bandwidth", F.coalesce("distance_bandwidth", F.lit(1.0)))
+
+
 def overview(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
     """track_id with bandwidths, in the unit of the values, and numbers of peaks of both densities. Without positive values of a kind there are
     0 peaks; the bandwidth is null for times and 1 for distances."""
     return _both(time_values, distance_values, False).select(*OVERVIEW)
 
 
+def series_overview(series: DataFrame) -> DataFrame:
+    """overview() of both kinds of sampling.series(), which is read once."""
+    return _told(kernels_by_kind(series)).select(*OVERVIEW)
+
+
 def curves(time_values: DataFrame, distance_values: DataFrame) -> DataFrame:
     """overview() with each density as an array of its grid points, time_curve and distance_curve, and of those that are peaks (time_tops,
     distance_tops); empty where a track has no positive values of a kind."""
-    out = _both(time_values, distance_values, True)
+    return _drawn(_both(time_values, distance_values, True))
+
+
+def series_curves(series: DataFrame) -> DataFrame:
+    """curves() of both kinds of sampling.series(), which is read once."""
+    return _drawn(_told(kernels_by_kind(series)))
+
+
+def _drawn(out: DataFrame) -> DataFrame:
     names = []
-    for name in ("time", "distance"):
+    for name in KINDS:
         own = out.select("*", f"{name}.*")
         point = lambda v, i: F.struct(i.alias("grid_i"), *_at(i, v, GRID))
         top = lambda i: point(F.get("sums", i), i)

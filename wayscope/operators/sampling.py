@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite
@@ -23,16 +23,30 @@ def non_positive_pairs(classified: DataFrame) -> DataFrame:
     return classified.where("dt_ms <= 0").select("track_id", F.col("last.gpx_index").alias("from_index"), F.col("gpx_index").alias("to_index"), F.col("dt_ms").alias("delta_ms"))
 
 
-def distance_deltas(classified: DataFrame) -> DataFrame:
-    """track_id, from_index, to_index, dd_meters, on_progress: adjacent points' usable distances; on_progress where time moved forward too."""
-    return classified.where(F.col("prev_index").isNotNull() & usable_distance(F.col("prev_m"))).select("track_id", F.col("prev_index").alias("from_index"), F.col("gpx_index").alias("to_index"), F.col("prev_m").alias("dd_meters"), F.coalesce(F.col("dt_ms") > 0, F.lit(False)).alias("on_progress"))
+def distance_deltas(classified: DataFrame, *more: str) -> DataFrame:
+    """track_id, from_index, to_index, dd_meters, on_progress: adjacent points' usable distances; on_progress where time moved forward too. more: further columns."""
+    return classified.where(F.col("prev_index").isNotNull() & usable_distance(F.col("prev_m"))).select("track_id", F.col("prev_index").alias("from_index"), F.col("gpx_index").alias("to_index"), F.col("prev_m").alias("dd_meters"), F.coalesce(F.col("dt_ms") > 0, F.lit(False)).alias("on_progress"), *more)
+
+
+def _moving() -> Column:
+    """Whether any time of the point's track moved forward. Tracks lie together where classify() left them, so points are read once."""
+    return F.max(F.coalesce(F.col("dt_ms") > 0, F.lit(False))).over(Window.partitionBy("track_id"))
 
 
 def primary_distances(classified: DataFrame) -> DataFrame:
     """The distance series that charts use: of pairs with forward time where the track has any, else of all pairs."""
-    d = distance_deltas(classified)
-    moving = classified.groupBy("track_id").agg(F.coalesce(F.bool_or(F.col("dt_ms") > 0), F.lit(False)).alias("moving"))
-    return d.join(moving, "track_id").where("on_progress or not moving").drop("moving")
+    d = distance_deltas(classified.withColumn("moving", _moving()), "moving")
+    return d.where("track_id is not null and (on_progress or not moving)").drop("moving")
+
+
+def series(classified: DataFrame) -> DataFrame:
+    """track_id, kind, value: the values of time_deltas() as kind 0 and of primary_distances() as kind 1, from one reading of the points."""
+    known = classified.select("track_id", "dt_ms", F.when(F.col("prev_index").isNotNull(), F.col("prev_m")).alias("metres")).withColumn("moving", _moving())
+    forward = F.coalesce(F.col("dt_ms") > 0, F.lit(False))
+    time = F.struct(F.lit(0).alias("kind"), F.when(forward, _seconds(F.col("dt_ms"))).alias("value"))
+    distance = F.struct(F.lit(1).alias("kind"), F.when(F.col("track_id").isNotNull() & (forward | ~F.col("moving")), F.col("metres")).alias("value"))
+    each = known.select("track_id", F.explode(F.array(time, distance)).alias("v")).select("track_id", "v.kind", "v.value")
+    return each.where(usable_distance(F.col("value")))  # times are positive
 
 
 def joint_pairs(classified: DataFrame) -> DataFrame:
