@@ -229,7 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kde_distance_curve": lambda s, d: _rounded(density.kde(_primary(s, d), "dd_meters")),
     "kde_nearest_grid": lambda s, d: _rounded(density.nearest_grid(density.kde(_deltas(s, d), "dt_sec"), CURSOR)),
     "density_overview": lambda s, d: _rounded(density.series_overview(sampling.series(_classified(s, d)))),
-    "density_curves": lambda s, d: density.curves(_deltas(s, d), _primary(s, d)),
+    "density_curves": lambda s, d: density.series_curves(sampling.series(_classified(s, d))),
     "chart_ticks": lambda s, d: density.legend_labels(_joint(s, d)).select("track_id", "share", F.col("label").alias("tick")),
     "export_distance_deltas": lambda s, d: delta_documents(sampling.distance_deltas(_classified(s, d))),
     "kde_distance_peaks": lambda s, d: _rounded(density.kde_peaks(_primary(s, d), "dd_meters")),
