@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayscope.operators import density, ingest, sampling
 from wayscope.operators.classify import classify
 from wayscope.operators.medians import exact_medians
-from wayscope.operators.nearest import CELL_POINTS, levels_for, nearest_point
+from wayscope.operators.nearest import CELL_POINTS, boxed, levels_for, nearest_point
 
 
 def nearest_by_hand(points, probes):
@@ -140,6 +140,29 @@ def test_filters_parse_a_coordinate_once(spark):
     assert sorted(r.gpx_index for r in ingest.rejected(frame).collect()) == [2, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_coordinates_are_parsed_once(spark):
+    """Filters on coordinates, and whatever else reads them, take what was parsed; no text is read a second time."""
+    found = spark.createDataFrame([("a", 0, "trkpt", "1.5", "x", None, None, None)], "track_id string, gpx_index long, point_type string, raw_lat string, raw_lon string, raw_ele string, raw_time string, extensions string")
+    for df in (ingest.points(found), ingest.counts(found)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(raw_lat") == plan.count("regexp_extract(raw_lon") == 1
+
+
+def test_nearest_of_boxed_points(spark, tmp_path):
+    """Points that carry their track's box are read by cells and by the last step alone."""
+    rng = random.Random(13)
+    points = [(t, i, rng.gauss(0, 1), rng.gauss(0, 9)) for t in ("a", "b") for i in range(300)] + [("one", 3, 1.0, 1.0), ("one", 9, None, 1.0), ("one", 10, 40.0, None), ("none", 1, None, None), (None, 1, 1.0, 1.0)]
+    probes = [(f"p{i}", rng.choice(["a", "b", "one", "none"]), rng.uniform(-30, 30), rng.uniform(-30, 30)) for i in range(100)]
+    spark.createDataFrame(points, "track_id string, gpx_index long, lat double, lon double").write.parquet(str(tmp_path / "points"))
+    own = spark.read.parquet(str(tmp_path / "points"))
+    asked = spark.createDataFrame(probes, "probe_id string, track_id string, lat double, lon double")
+    for levels in (0, 1, 2):
+        got, plain = nearest_point(boxed(own), asked, levels), nearest_point(own, asked, levels)
+        assert {r.probe_id: r.gpx_index for r in got.collect()} == nearest_by_hand([p for p in points if p[3] is not None], probes)
+        scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+        assert scans(got) == min(levels, 1) + 1 and scans(plain) == 2 * scans(got)
+
+
 def test_medians_read_values_once_a_round(spark):
     """The first histogram tells sizes as well, so that no pass counts alone."""
     values = spark.createDataFrame([("a", float(i)) for i in range(9)] + [("b", math.nan), ("b", -1.0), ("b", None)], "g string, v double")

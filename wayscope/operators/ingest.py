@@ -10,13 +10,14 @@ from ..schemas import POINT_TYPES
 
 
 def _parsed(found: DataFrame) -> DataFrame:
-    numbers = {"lat": parse_float(F.col("raw_lat")), "lon": parse_float(F.col("raw_lon")), "ele": parse_float(F.col("raw_ele"))}
-    return found.withColumns(numbers | {"time_raw": F.nullif(trimmed(F.col("raw_time")), F.lit(""))})
+    """found with lat, lon, ele and time_raw. Coordinates are generated, a row for each row, as filters on them stay above a generator: below
+    it they would read the texts a second time."""
+    both = F.struct(parse_float(F.col("raw_lat")).alias("lat"), parse_float(F.col("raw_lon")).alias("lon"))
+    return found.select("*", F.inline(F.array(both))).withColumns({"ele": parse_float(F.col("raw_ele")), "time_raw": F.nullif(trimmed(F.col("raw_time")), F.lit(""))})
 
 
 def _inside() -> Column:
-    """Whether both coordinates are numbers in range; NaN ranks above every number. Filters move below the parsing and then parse a coordinate wherever
-    they name it, so each is named once."""
+    """Whether both coordinates are numbers in range; NaN ranks above every number."""
     return F.coalesce((F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False))
 
 

@@ -25,17 +25,34 @@ def _squared(lat: Column, lon: Column) -> Column:
     return lat * lat + lon * lon
 
 
+def _own(points: DataFrame) -> DataFrame:
+    return points.select("track_id", "gpx_index", "lat", "lon").where("lat is not null and lon is not null")
+
+
+def _box() -> dict[str, Column]:
+    return {"lat0": F.min("lat"), "lat1": F.max("lat"), "lon0": F.min("lon"), "lon1": F.max("lon")}
+
+
+def boxed(points: DataFrame) -> DataFrame:
+    """points with the box of their track's points, lat0, lat1, lon0 and lon1, for nearest_point(): found in passing where tracks lie together already."""
+    track = Window.partitionBy("track_id")
+    return _own(points).withColumns({k: x.over(track) for k, x in _box().items()})
+
+
 def _gridded(points: DataFrame, levels: int) -> DataFrame:
     """points with cx and cy, their cell of the finest level."""
-    own = points.select("track_id", "gpx_index", "lat", "lon").where("lat is not null and lon is not null")
-    edge = own.groupBy("track_id").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))
+    own = _own(points)
+    if set(_box()) <= set(points.columns):
+        told = points
+    else:
+        told = own.join(own.groupBy("track_id").agg(*(x.alias(k) for k, x in _box().items())), "track_id")
     n = SIDE**levels
 
     def cell(x: str) -> Column:
         share = (F.col(x) - F.col(f"{x}0")) / F.nullif(F.col(f"{x}1") - F.col(f"{x}0"), F.lit(0.0))
         return F.least(F.lit(n - 1), F.coalesce(F.floor(share * n), F.lit(0))).cast("long")
 
-    return own.join(edge, "track_id").select(*own.columns, cell("lat").alias("cy"), cell("lon").alias("cx"))
+    return told.select(*own.columns, cell("lat").alias("cy"), cell("lon").alias("cx"))
 
 
 def _pyramid(gridded: DataFrame, levels: int) -> list[DataFrame]:
@@ -53,7 +70,8 @@ def nearest_point(points: DataFrame, probes: DataFrame, levels: int | None = Non
     """probe_id, track_id, gpx_index, lat, lon of each track's point nearest to each probe (probe_id, track_id, lat, lon) of that track.
 
     Nearest in squared degrees, the first of equally near ones; probes of tracks without points, and those without a position, have no row. levels:
-    of the pyramid; by default as many as the track of most points needs, which a count of the points tells. 0 compares all points of a track.
+    of the pyramid; by default as many as the track of most points needs, which a count of the points tells. 0 compares all points of a track. Boxes
+    of tracks are found by a pass over the points of their own, unless the points are boxed().
     """
     if levels is None:
         levels = levels_for(points.groupBy("track_id").count().agg(F.max("count")).first()[0] or 0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .operators import classify as _classify
 from .operators import clustering, density, drill, ingest, motion, sampling, temporal
 from .operators.medians import exact_medians
-from .operators.nearest import nearest_point
+from .operators.nearest import boxed, nearest_point
 from .operators.segmented import classify_segmented
 from .plans import audit_documents, delta_documents, held, prevalence, statuses, to_json_rows, track_metrics
 from .schemas import KINDS
@@ -165,7 +165,7 @@ def _probes(points: DataFrame) -> DataFrame:
 
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    return nearest_point(p, _probes(p), LEVELS)
+    return nearest_point(boxed(p), _probes(p), LEVELS)
 
 
 #: What is expected of every track of events: description, key, kind, value, and whether a failure is put up with.
