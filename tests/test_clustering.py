@@ -109,3 +109,25 @@ def test_tracks_over_batches(spark):
     assert numbers == sorted((t, i, of[t][v]) for t, i, v in rows)
     empty = deltas.limit(0)
     assert clustering.cluster_values(empty).count() == clustering.sequential_clusters(empty).count() == clustering.cluster_numbers(empty).count() == 0
+
+
+def test_both_counts_in_one_stream(spark, tmp_path):
+    """Numbers of clusters both ways, of tracks over many batches, are those of two streams; metrics of tracks read points three times."""
+    from wayscope.plans import track_metrics
+
+    rng = random.Random(21)
+    rows = [(f"t{t}", i, i + 1, rng.choice([1.0, 1.01, 1.02, 2.0, 2.05, rng.uniform(0.5, 3)])) for t in range(5) for i in range(1 + 90 * t)] + [(None, 0, 1, 2.0), (None, 1, 2, 5.0)]
+    rng.shuffle(rows)
+    deltas = spark.createDataFrame(rows, "track_id string, from_index long, to_index long, dt_sec double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.track_id: (r.sorted_clusters, r.sequential_clusters) for r in clustering.cluster_counts(deltas).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by_size = {r.track_id: r.n for r in clustering.cluster_values(deltas).groupBy("track_id").agg((F.max("cluster") + 1).alias("n")).collect()}
+    by_place = {r.track_id: r.sequential_clusters for r in clustering.sequential_clusters(deltas).collect()}
+    assert got == {t: (by_size[t], by_place[t]) for t in by_size} and len(got) == 6
+    assert clustering.cluster_counts(deltas.limit(0)).count() == 0
+    found = [("a", "a.gpx", 0, "trkpt", "1", "2", None, None, None)]
+    spark.createDataFrame(found, "track_id string, file_name string, gpx_index long, point_type string, raw_lat string, raw_lon string, raw_ele string, raw_time string, extensions string").write.parquet(str(tmp_path / "found"))
+    assert track_metrics(spark.read.parquet(str(tmp_path / "found")))._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3

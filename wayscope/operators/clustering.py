@@ -9,7 +9,10 @@ cluster by order statistics. Both are streams of many tracks a task, of which on
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
@@ -142,7 +145,7 @@ class SequentialClusters:
     def __init__(self, alpha: float = ALPHA):
         self.alpha, self.count, self.open = alpha, 0, None
 
-    def add(self, values: list[float]) -> None:
+    def add(self, values: Iterable[float]) -> None:
         for x in values:
             centre = self.open.middle() if self.open else 0.0
             if not self.open or not (centre <= 0 or abs(x - centre) / centre < self.alpha):
@@ -226,6 +229,50 @@ def _walk_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch()
 
 
+def _walk_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """track_id, ascending and dt_sec, of each track its values in order of place and then, ascending, by size, to track_id and how many clusters they
+    make both ways."""
+    stretches = ((name, ascending, values) for name, (flags, times) in _stretches(batches) for ascending, values in _by_flag(flags, times))
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["track_id", "sorted_clusters", "sequential_clusters"])
+        out.clear()
+        return done
+
+    for name, track in groupby(stretches, key=itemgetter(0)):
+        number, own = -1, SequentialClusters()
+        for ascending, part in groupby(track, key=itemgetter(1)):
+            values = (v for _, _, vs in part for v in vs)
+            if ascending:
+                for number, *_ in sorted_clusters((v, sum(1 for _ in same)) for v, same in groupby(values)):
+                    pass
+            else:
+                own.add(values)
+        out.append((name, number + 1, own.count))
+        if len(out) >= _BATCH:
+            yield batch()
+    if out:
+        yield batch()
+
+
+def _by_flag(flags: list[bool], values: list[float]) -> Iterator[tuple[bool, list[float]]]:
+    """The values of a stretch without the flag, and those with it, which follow."""
+    first = bisect_left(flags, True)
+    for flag, own in ((False, values[:first]), (True, values[first:])):
+        if own:
+            yield flag, own
+
+
+def cluster_counts(deltas: DataFrame) -> DataFrame:
+    """track_id, sorted_clusters and sequential_clusters: the numbers of clusters of cluster_values() and sequential_clusters(), of deltas (track_id,
+    to_index, dt_sec) that are read once. Each delta is there twice, to be sorted by place and by size."""
+    dealt = deltas.select("track_id", "to_index", "dt_sec").repartition("track_id")
+    twice = dealt.select("track_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("ascending"), "to_index", "dt_sec")
+    placed = twice.withColumn("place", F.when(~F.col("ascending"), F.col("to_index"))).drop("to_index").sortWithinPartitions("track_id", "ascending", "place", "dt_sec")
+    return placed.select("track_id", "ascending", "dt_sec").mapInArrow(_walk_both, "track_id string, sorted_clusters bigint, sequential_clusters bigint")
+
+
 def cluster_values(deltas: DataFrame) -> DataFrame:
     """Of deltas (track_id, dt_sec), a row per distinct value of each track: its cluster, n copies, how far off these joined (sums and maxima), and
     the cluster's final centre. Copies are counted before tracks are sorted."""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import finite
 from ..operators import ingest, motion, sampling, temporal
 from ..operators.classify import classify, usable_distance
-from ..operators.clustering import cluster_values, sequential_clusters
+from ..operators.clustering import cluster_counts
 from ..schemas import KINDS, SCHEMA_VERSION
 
 _EMPTY = "array<struct<gpxIndex:bigint,pointType:string,rawLat:string,rawLon:string,rawEle:string,rawTime:string,reason:string>>"
@@ -139,8 +139,7 @@ def track_metrics(found: DataFrame) -> DataFrame:
         (F.max_by("last_ms", "last_at") - F.min_by("first_ms", "first_at")).alias("duration_ms"), F.max("depth").alias("max_depth_ms"), *(F.sum(k).alias(k) for k in counts), *(F.sum(F.when(of(k), F.col("n"))).alias(k) for k in ("forward", *KINDS)),
         *(F.max(F.when(of(k) & (F.col("n") > 1), F.col("n"))).alias(f"{k}_longest") for k in KINDS), F.sum("up").alias("up"), F.sum("down").alias("down"),
     )
-    deltas = sampling.time_deltas(c)
-    clusters = cluster_values(deltas).groupBy("track_id").agg((F.max("cluster") + 1).alias("sorted_clusters")).join(sequential_clusters(deltas), "track_id")
+    clusters = cluster_counts(sampling.time_deltas(c))
     every = ingest.counts(found).withColumnRenamed("has_multiple_point_types", "multiple_types").join(tracks, "track_id", "left").join(clusters, "track_id", "left")
     up, down = F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))
     n = lambda *names: [F.coalesce(x, F.lit(0)).alias(x) for x in names]
